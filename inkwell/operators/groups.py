@@ -1,10 +1,12 @@
 """Ordered work inside groups of any size.
 
-One group may hold a third of all rows, so nothing here puts a whole group into
-one task. Rows of a group are cut into blocks along their order; each block is
-worked on by itself, the blocks' small summaries are put in order, and what they
-carry over is joined back to the rows. Block numbers are a function of the row,
-so a task that runs again after a lost executor does the same work.
+One group may hold a third of all rows, so nothing here puts a heavy group into
+one task. Its rows are cut into blocks along their order; each block is worked on
+by itself, the blocks' small summaries are put in order, and what they carry over
+is joined back to the rows. Block numbers are a function of the row, so a task
+that runs again after a lost executor does the same work. Groups that are not
+heavy are one block, and where no group is heavy the carrying over is an empty
+table, which AQE takes out of the plan.
 
 Group keys must not be NULL.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inkwell.session import written
 
-BLOCK_SPAN = 65_536
+BLOCK_SPAN = 16_384
 SEGMENT_CHARS = 1_000_000
 
 # A key is heavy above 1/10,000 of the rows, so there are fewer than 10,000 of them.
@@ -32,6 +34,21 @@ def block_of(order: Column | str, span: int = BLOCK_SPAN) -> Column:
     return F.floor(order / F.lit(span))
 
 
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column, floor: int) -> DataFrame:
+    """Rows with ``_heavy`` and ``_block``; only the keys are read to find heavy groups."""
+    if not keys:
+        return df.withColumn("_heavy", F.lit(True)).withColumn("_block", block.cast("bigint"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = F.broadcast(heavy_keys(counts, keys, "_n", floor))
+    return (
+        df.withColumn("_block", block.cast("bigint"))
+        .join(heavy, list(keys), "left")
+        .withColumn("_heavy", F.col("_fan").isNotNull())
+        .withColumn("_block", F.when(F.col("_heavy"), F.col("_block")).otherwise(F.lit(0)))
+        .drop("_fan")
+    )
+
+
 def running_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,6 +56,7 @@ def running_before(
     value: Column,
     block: Column,
     out: str,
+    floor: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group.
 
@@ -46,16 +64,16 @@ def running_before(
     within the group. The rows move once, by (keys, block); the join with the
     block totals reuses that placement.
     """
-    rows = df.withColumn("_block", block).withColumn("_value", value)
+    rows = _blocked(df.withColumn("_value", value), keys, block, HEAVY_FLOOR if floor is None else floor)
     within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    totals = rows.where("_heavy").groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    base = totals.select(*keys, "_block", F.sum("_total").over(across).alias("_base"))
     zero = F.lit(0)
-    base = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(across), zero).alias("_base"))
     return (
         rows.withColumn("_local", F.coalesce(F.sum("_value").over(within), zero))
-        .join(base, [*keys, "_block"])
-        .withColumn(out, F.col("_base") + F.col("_local"))
+        .join(base, [*keys, "_block"], "left")
+        .withColumn(out, F.coalesce("_base", zero) + F.col("_local"))
         .select(*df.columns, out)
     )
 
@@ -68,18 +86,24 @@ def position_in_group(
 
 
 def previous_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: Column, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    block: Column,
+    out: str,
+    floor: int | None = None,
 ) -> DataFrame:
     """Add ``out``: ``value`` of the row before, NULL for the first row of the group."""
-    rows = df.withColumn("_block", block)
+    rows = _blocked(df, keys, block, HEAVY_FLOOR if floor is None else floor)
     within = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
-    last = rows.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    last = rows.where("_heavy").groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carried = last.select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
     return (
         rows.withColumn("_row", F.row_number().over(within))
         .withColumn("_lag", F.lag(value).over(within))
-        .join(carried, [*keys, "_block"])
+        .join(carried, [*keys, "_block"], "left")
         .withColumn(out, F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_lag")))
         .select(*df.columns, out)
     )

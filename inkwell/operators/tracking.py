@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions.pricing import dollars, price_of
 from inkwell.functions.text import fixed_text, grouped_digits
@@ -288,12 +289,14 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
 
 
+STORED = T.StructType([*BATCH.fields, T.StructField("bucket", T.IntegerType())])
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """The stored batch table, empty if there is none yet."""
-    schema = f"{BATCH.simpleString()[7:-1]},bucket:int"
     if not path_exists(spark, path):
         return spark.createDataFrame([], BATCH)
-    return spark.read.schema(schema).parquet(path).drop("bucket")
+    return spark.read.schema(STORED).parquet(path).where(F.col("id").isNotNull()).drop("bucket")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -301,11 +304,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def save_batches(batches: DataFrame, path: str, buckets: Sequence[int] | None = None) -> None:
-    """Write the table, or replace only the given id buckets. One writer at a time."""
-    rows = batches.withColumn("bucket", _bucket())
-    if buckets is not None:
-        rows = rows.where(F.col("bucket").isin(*buckets))
+def save_batches(batches: DataFrame, path: str, buckets: Sequence[int] = range(BUCKETS)) -> None:
+    """Replace the given id buckets of the table by these rows. One writer at a time.
+
+    Every bucket also gets a row without an id, so that a bucket whose last batch
+    was deleted is replaced too.
+    """
+    spark = batches.sparkSession
+    marks = spark.createDataFrame([(b,) for b in buckets], "bucket int")
+    rows = batches.withColumn("bucket", _bucket()).unionByName(marks, allowMissingColumns=True)
     (
         rows.repartition("bucket")
         .write.mode("overwrite").partitionBy("bucket")
@@ -313,27 +320,27 @@ def save_batches(batches: DataFrame, path: str, buckets: Sequence[int] | None =
     )
 
 
+def _touched(ids: DataFrame) -> list[int]:
+    return [r[0] for r in ids.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+
+
+def _replace(changed: DataFrame, path: str, buckets: list[int]) -> None:
+    # Written aside first: the buckets are not read while they are replaced.
+    save_batches(written(changed, "batches"), path, buckets)
+
+
 def store_upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
     """Upsert into the stored table. Only the buckets of updated ids are rewritten."""
-    spark = updates.sparkSession
     updates = written(updates, "updates")
-    touched = [r[0] for r in updates.select(_bucket()).distinct().collect()]  # at most BUCKETS rows
-    if not touched:
-        return
-    if path_exists(spark, path):
-        stored = read_batches(spark, path).where(_bucket().isin(*touched))
-    else:
-        stored = spark.createDataFrame([], BATCH)
-    # Written aside first: the buckets are not read while they are replaced.
-    merged = written(upsert_batches(stored, updates, order), "merged")
-    save_batches(merged, path)
+    touched = _touched(updates)
+    if touched:
+        stored = read_batches(updates.sparkSession, path).where(_bucket().isin(*touched))
+        _replace(upsert_batches(stored, updates, order), path, touched)
 
 
 def store_delete(ids: DataFrame, path: str) -> None:
-    """Delete ids from the stored table, rewriting their buckets, emptied ones included."""
-    spark = ids.sparkSession
-    if not path_exists(spark, path):
-        return
-    kept = written(delete_batches(read_batches(spark, path), ids), "kept")
-    rows = kept.withColumn("bucket", _bucket()).repartition("bucket")
-    rows.write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "static").parquet(path)
+    """Delete ids from the stored table. Only their buckets are rewritten."""
+    touched = _touched(ids)
+    if touched:
+        stored = read_batches(ids.sparkSession, path).where(_bucket().isin(*touched))
+        _replace(delete_batches(stored, ids), path, touched)

@@ -434,9 +434,9 @@ from (select *, lag(event_type) over (partition by user_id order by ts, event_id
 where previous is null or previous <> event_type"""
 
 
-def day_of(ts: str = "ts"):
-    """Days as blocks of the time order."""
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(86_400))
+def minute_of(ts: str = "ts"):
+    """Minutes as blocks of the time order."""
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(60))
 
 
 @query(CHANGES_SQL)
@@ -444,7 +444,7 @@ def status_changes(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("status")
     )
-    return tracking.status_changes(seen, day_of(), "id", ("ts", "event_id"))
+    return tracking.status_changes(seen, minute_of(), "id", ("ts", "event_id"))
 
 
 @query(
