@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import content_hash
-from inkwell.operators.groups import HEAVY_FLOOR, block_of, join_to_one, latest_by, ordered_segments
+from inkwell.operators.groups import block_of, join_to_one, latest_by, ordered_segments
 
 
 def hashed(prompts: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def unique_prompts(prompts: DataFrame) -> DataFrame:
     )
 
 
-def dedup_links(prompts: DataFrame, floor: int = HEAVY_FLOOR) -> DataFrame:
+def dedup_links(prompts: DataFrame) -> DataFrame:
     """One row per prompt with the first copy it stands for: ``idx, hash, first_idx``."""
     groups = dedup_groups(prompts)
     return join_to_one(
-        hashed(prompts), groups.select("hash", "first_idx"), ["hash"], groups, "copies", floor
+        hashed(prompts), groups.select("hash", "first_idx"), ["hash"], groups, "copies"
     ).select("idx", "hash", "first_idx")
 
 
@@ -51,7 +51,7 @@ def index_lists(prompts: DataFrame, segment_items: int = 100_000) -> DataFrame:
     )
 
 
-def expand_results(prompts: DataFrame, results: DataFrame, floor: int = HEAVY_FLOOR) -> DataFrame:
+def expand_results(prompts: DataFrame, results: DataFrame) -> DataFrame:
     """Give each prompt the result of its first copy; ``results`` has ``custom_id, seq, …``.
 
     The last of several results with one id wins. A prompt without a result is a
@@ -63,7 +63,7 @@ def expand_results(prompts: DataFrame, results: DataFrame, floor: int = HEAVY_FL
     answers = groups.join(last, F.col("first_idx").cast("string") == F.col("_first_id"), "left").select(
         "hash", *payload
     )
-    return join_to_one(hashed(prompts), answers, ["hash"], groups, "copies", floor).select(
+    return join_to_one(hashed(prompts), answers, ["hash"], groups, "copies").select(
         F.col("idx").cast("string").alias("custom_id"), *payload
     )
 

@@ -28,18 +28,18 @@ HEAVY_PARTS = 10_000
 HEAVY_FLOOR = 100_000
 
 
-def block_of(order: Column | str, span: int = BLOCK_SPAN) -> Column:
+def block_of(order: Column | str, span: int | None = None) -> Column:
     """Block number for an integer position."""
     order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(span))
+    return F.floor(order / F.lit(span or BLOCK_SPAN))
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column, floor: int) -> DataFrame:
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     """Rows with ``_heavy`` and ``_block``; only the keys are read to find heavy groups."""
     if not keys:
         return df.withColumn("_heavy", F.lit(True)).withColumn("_block", block.cast("bigint"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = F.broadcast(heavy_keys(counts, keys, "_n", floor))
+    heavy = F.broadcast(heavy_keys(counts, keys, "_n"))
     return (
         df.withColumn("_block", block.cast("bigint"))
         .join(heavy, list(keys), "left")
@@ -56,7 +56,6 @@ def running_before(
     value: Column,
     block: Column,
     out: str,
-    floor: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group.
 
@@ -64,7 +63,7 @@ def running_before(
     within the group. The rows move once, by (keys, block); the join with the
     block totals reuses that placement.
     """
-    rows = _blocked(df.withColumn("_value", value), keys, block, HEAVY_FLOOR if floor is None else floor)
+    rows = _blocked(df.withColumn("_value", value), keys, block)
     within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.where("_heavy").groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
@@ -92,10 +91,9 @@ def previous_in_group(
     value: str,
     block: Column,
     out: str,
-    floor: int | None = None,
 ) -> DataFrame:
     """Add ``out``: ``value`` of the row before, NULL for the first row of the group."""
-    rows = _blocked(df, keys, block, HEAVY_FLOOR if floor is None else floor)
+    rows = _blocked(df, keys, block)
     within = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
     last = rows.where("_heavy").groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
@@ -197,14 +195,14 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
     )
 
 
-def heavy_keys(counts: DataFrame, on: Sequence[str], n: str, floor: int = HEAVY_FLOOR) -> DataFrame:
+def heavy_keys(counts: DataFrame, on: Sequence[str], n: str) -> DataFrame:
     """Keys above the heavy limit and how many ways to spread each: ``on, _fan``.
 
-    The limit is 1/10,000 of all rows or ``floor``, whichever is more; by
+    The limit is 1/10,000 of all rows or ``HEAVY_FLOOR``, whichever is more; by
     counting, fewer than 10,000 keys can pass it, which is what makes the result
     safe to broadcast.
     """
-    limit = F.greatest(F.col("_all") / HEAVY_PARTS, F.lit(float(floor)))
+    limit = F.greatest(F.col("_all") / HEAVY_PARTS, F.lit(float(HEAVY_FLOOR)))
     total = counts.agg(F.sum(n).alias("_all"))
     return (
         counts.crossJoin(F.broadcast(total))
@@ -213,16 +211,14 @@ def heavy_keys(counts: DataFrame, on: Sequence[str], n: str, floor: int = HEAVY_
     )
 
 
-def join_to_one(
-    many: DataFrame, one: DataFrame, on: Sequence[str], counts: DataFrame, n: str, floor: int = HEAVY_FLOOR
-) -> DataFrame:
+def join_to_one(many: DataFrame, one: DataFrame, on: Sequence[str], counts: DataFrame, n: str) -> DataFrame:
     """Left join of rows to one row per key, with heavy keys spread over many tasks.
 
     ``counts`` holds the number of rows per key on the many side. Rows of a heavy
     key are salted by their content and its one partner row is copied to every
     salt; other keys join as they are.
     """
-    heavy = F.broadcast(heavy_keys(counts, on, n, floor))
+    heavy = F.broadcast(heavy_keys(counts, on, n))
     fan = F.coalesce("_fan", F.lit(1))
     salted = (
         many.join(heavy, list(on), "left")
