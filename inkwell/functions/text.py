@@ -44,7 +44,7 @@ def word_count(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
 def content_hash(text: Column) -> Column:

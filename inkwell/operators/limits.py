@@ -88,18 +88,27 @@ def _follow(keys: Sequence[str]):
     return walk
 
 
-def _number(token_limit: int, request_limit: int, columns: Sequence[str]):
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        ends = _minute_ends(pdf["tokens"].to_numpy(np.int64), token_limit, request_limit)
-        start, minute = int(pdf["entry"].iloc[0]), int(pdf["first_minute"].iloc[0])
-        minutes = np.full(len(pdf), minute - 1, dtype=np.int64)
-        while start < len(pdf):
-            minutes[start : ends[start]] = minute
-            start, minute = int(ends[start]), minute + 1
-        return pdf.assign(minute=minutes)[list(columns)]
-
-    return assign
+def _number(keys: Sequence[str], columns: Sequence[str], token_limit: int, request_limit: int):
+    """Numbers the minutes of sorted pieces as they stream by; nothing but the open minute is held."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, sent, minute = None, 0, 0, 0
+        for frame in frames:
+            minutes = []
+            piece_keys = zip(*[frame[k] for k in [*keys, "piece"]])
+            entries = zip(frame["pos"], frame["own_start"], frame["first_minute"])
+            for key, (pos, start, first), tokens in zip(piece_keys, entries, frame["tokens"]):
+                if key != current:
+                    current, used, sent, minute = key, token_limit, request_limit, first - 1
+                # Rows ahead of the piece's first own minute end the minute before.
+                if pos >= start:
+                    if used + tokens > token_limit or sent >= request_limit:
+                        used, sent, minute = 0, 0, minute + 1
+                    used, sent = used + tokens, sent + 1
+                minutes.append(minute)
+            yield frame.assign(minute=minutes)[list(columns)]
+
+    return run
 
 
 def admission_plan(
@@ -114,7 +123,8 @@ def admission_plan(
     """Add ``minute``: the minute, from 0, each request of its key can go out in.
 
     Requests have ``tokens``. One above the token limit can never go: its minute
-    is NULL and it takes no room. No task holds more than one piece of a key.
+    is NULL and it takes no room. Only keys of more than one piece need the entry
+    tables, and no task holds more than one piece of a key.
     """
     if piece_rows < request_limit:
         raise ValueError("a piece must hold at least one full minute of requests")
@@ -124,10 +134,13 @@ def admission_plan(
     placed = position_in_group(fitting, keys, order, block, "pos").withColumn(
         "piece", F.floor(F.col("pos") / F.lit(piece_rows)).cast("bigint")
     )
+    several = (
+        fitting.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select(*keys)
+    )
     # The head of a piece is also the tail of the one before, to finish its last minute.
     head = (F.col("pos") % F.lit(piece_rows) < request_limit) & (F.col("piece") > 0)
     pieces = F.when(head, F.array(F.col("piece"), F.col("piece") - 1)).otherwise(F.array("piece"))
-    overlapped = placed.withColumn("piece", F.explode(pieces))
+    overlapped = placed.join(several, list(keys), "left_semi").withColumn("piece", F.explode(pieces))
 
     def typed(names: Sequence[str]) -> str:
         return ", ".join(f"{n} {placed.schema[n].dataType.simpleString()}" for n in names)
@@ -140,10 +153,17 @@ def admission_plan(
     path = tables.groupBy(*keys).applyInPandas(
         _follow(keys), f"piece bigint, entry bigint, first_minute bigint, {typed(keys)}"
     )
+    started = placed.join(path, [*keys, "piece"], "left").select(
+        *kept, "piece", "pos",
+        (F.col("piece") * piece_rows + F.coalesce("entry", F.lit(0))).alias("own_start"),
+        F.coalesce("first_minute", F.lit(0)).alias("first_minute"),
+    )
     numbered = (
-        placed.join(path, [*keys, "piece"])
-        .groupBy(*keys, "piece")
-        .applyInPandas(_number(token_limit, request_limit, [*kept, "minute"]), f"{typed(kept)}, minute bigint")
+        started.repartition(*keys, "piece")
+        .sortWithinPartitions(*keys, "piece", "pos")
+        .mapInPandas(
+            _number(keys, [*kept, "minute"], token_limit, request_limit), f"{typed(kept)}, minute bigint"
+        )
     )
     rejected = narrow.where(F.col("tokens") > token_limit).withColumn("minute", F.lit(None).cast("bigint"))
     return numbered.unionByName(rejected)

@@ -19,6 +19,7 @@ from inkwell.plans.registry import (
     pick_sql,
     query,
     source_batches,
+    spread_documents,
     table,
 )
 from inkwell.schemas import ERROR_LINE
@@ -133,7 +134,7 @@ def parse_result_lines(spark, sf_dir):
     line = F.struct(
         F.col("doc_id").cast("string").alias("custom_id"), F.array(F.struct(message.alias("message"))).alias("choices")
     )
-    lines = documents(spark, sf_dir).select(F.to_json(line).alias("value"))
+    lines = spread_documents(spark, sf_dir).select(F.to_json(line).alias("value"))
     return results.parse_result_lines(lines).select("custom_id", "content")
 
 
@@ -162,7 +163,7 @@ def structured_responses(spark, sf_dir):
     # An array of one string is the shortest way to a JSON string literal.
     literal = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
     content = F.replace(pick(SHAPES, F.col("doc_id")), F.lit("%s"), literal)
-    checked = documents(spark, sf_dir).select("doc_id", parse_structured(content).alias("r"))
+    checked = spread_documents(spark, sf_dir).select("doc_id", parse_structured(content).alias("r"))
     return checked.select(
         "doc_id", "r.valid", "r.summary", F.size("r.key_points").alias("_n"), "r.error"
     ).select("doc_id", "valid", "summary", F.when(F.col("valid"), F.col("_n")).alias("points"), "error")
@@ -180,7 +181,7 @@ KEYWORDS = ("the", "WITH", "nicht", "que")
 )
 def eval_keyword(spark, sf_dir):
     verdict = Evaluator().evaluate("keyword", F.col("text"), {"keywords": KEYWORDS})
-    return documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
+    return spread_documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 
 @query(
@@ -189,7 +190,7 @@ def eval_keyword(spark, sf_dir):
 )
 def eval_regex(spark, sf_dir):
     verdict = Evaluator().evaluate("regex", F.col("text"), {"pattern": r"[0-9]{2,}|\.\n"})
-    return documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
+    return spread_documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 
 @query(

@@ -13,6 +13,7 @@ from inkwell.plans.registry import (
     documents,
     filename_of,
     query,
+    spread_documents,
     table,
 )
 from inkwell.sources.files import metadata_struct
@@ -27,7 +28,7 @@ from (select doc_id, chunks, unnest(range(len(chunks))) as i
 
 @query(WORD_CHUNKS_SQL)
 def chunk_words(spark, sf_dir):
-    return chunking.chunk_words(documents(spark, sf_dir).select("doc_id", "text"), 200, 20)
+    return chunking.chunk_words(spread_documents(spark, sf_dir).select("doc_id", "text"), 200, 20)
 
 
 # The fold over units, with elements and accumulator of one struct type. RE2 has no
@@ -71,7 +72,7 @@ from (select {keys}, chunks, unnest(range(len(chunks))) as i from chunked)"""
 
 @query(CHAR_CHUNKS_SQL.format(source="documents", keys="doc_id"))
 def chunk_chars(spark, sf_dir):
-    return chunking.chunk_chars(documents(spark, sf_dir).select("doc_id", "text"))
+    return chunking.chunk_chars(spread_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query(
@@ -82,7 +83,7 @@ def chunk_chars(spark, sf_dir):
             source=f"(select {FILENAME_SQL} as filename, text from documents)", keys="filename")})"""
 )
 def label_prompts(spark, sf_dir):
-    files = documents(spark, sf_dir).select(filename_of().alias("filename"), "text")
+    files = spread_documents(spark, sf_dir).select(filename_of().alias("filename"), "text")
     return chunking.label_prompts(files)
 
 
@@ -96,7 +97,7 @@ def label_prompts(spark, sf_dir):
 )
 def prompt_split(spark, sf_dir):
     marked = F.replace(F.col("text"), F.lit(". "), F.lit("\n---\n"))
-    return chunking.split_prompts(documents(spark, sf_dir).select("doc_id", marked.alias("text")))
+    return chunking.split_prompts(spread_documents(spark, sf_dir).select("doc_id", marked.alias("text")))
 
 
 @query(
@@ -296,4 +297,4 @@ def _echo():
                           from ({WORD_CHUNKS_SQL})))) group by 1, 2"""
 )
 def document_responses(spark, sf_dir):
-    return completion.document_responses(documents(spark, sf_dir), _echo, max_words=200, overlap=20)
+    return completion.document_responses(spread_documents(spark, sf_dir), _echo, max_words=200, overlap=20)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -61,6 +63,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is long per row."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text", "n_chars"), "doc_id")
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("idx"), "text")
 

@@ -21,6 +21,7 @@ from inkwell.plans.registry import (
     pick_sql,
     prompts,
     query,
+    spread_documents,
     table,
 )
 from inkwell.sources.files import content_digest, extract_text
@@ -47,7 +48,7 @@ def sanitize_text(spark, sf_dir):
 )
 def token_counts(spark, sf_dir):
     body = F.col("text")
-    return documents(spark, sf_dir).select(
+    return spread_documents(spark, sf_dir).select(
         "doc_id", text.token_count(body).alias("tokens"), text.word_count(body).alias("words")
     )
 
@@ -63,7 +64,7 @@ def text_stats(spark, sf_dir):
     """The driver's texts hold no code, so sentence ends are turned into class lines."""
     body = F.col("text")
     code = F.concat(F.lit("def f():\n"), F.replace(body, F.lit(". "), F.lit("\n class ")))
-    return documents(spark, sf_dir).select(
+    return spread_documents(spark, sf_dir).select(
         "doc_id",
         text.line_count(body).alias("lines"),
         text.char_count(body).alias("characters"),
@@ -252,7 +253,7 @@ def assign_batches_by_key(spark, sf_dir):
         from (select doc_id, text, {MODEL_SQL} as model from documents)"""
 )
 def build_requests(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("custom_id"), "text")
+    rows = spread_documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("custom_id"), "text")
     built = requests.build_requests(rows, model_of())
     return built.select(
         "doc_id", "custom_id", "method", "url", "body.model",
@@ -263,7 +264,7 @@ def build_requests(spark, sf_dir):
 
 
 def _usage(spark, sf_dir):
-    return documents(spark, sf_dir).select(
+    return spread_documents(spark, sf_dir).select(
         model_of().alias("model"),
         text.token_count(F.col("text")).alias("input_tokens"),
         F.floor(F.col("n_chars") / 4).cast("bigint").alias("output_tokens"),
@@ -315,7 +316,7 @@ def cost_by_model(spark, sf_dir):
         from ({cost_sql(model="'gpt-4o-mini'", output="1024", reasoning="0")}) where is_total = 1"""
 )
 def estimate_batch_cost(spark, sf_dir):
-    return requests.estimate_batch_cost(documents(spark, sf_dir).select("text"), "gpt-4o-mini", 1024, budget=10.0)
+    return requests.estimate_batch_cost(spread_documents(spark, sf_dir).select("text"), "gpt-4o-mini", 1024, budget=10.0)
 
 
 RUN_COST_SQL = f"""
