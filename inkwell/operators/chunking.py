@@ -100,7 +100,13 @@ def exploded(df: DataFrame, chunks: Column) -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
     # The array is built once, below the generator, and not again per output row.
     cut = df.withColumn("_chunks", chunks).select(*kept, F.size("_chunks").alias("n_chunks"), "_chunks")
-    return cut.select(*kept, "n_chunks", F.posexplode("_chunks").alias("chunk_index", "content"))
+    return _rows(cut, [*kept, "n_chunks"], F.col("_chunks"), "chunk_index", "content")
+
+
+def _rows(df: DataFrame, kept: list[str], items: Column, position: str, item: str) -> DataFrame:
+    """``posexplode``, by way of the outer form: for the inner one Spark adds a filter on
+    the array ahead of everything, and so builds it several times over."""
+    return df.select(*kept, F.posexplode_outer(items).alias(position, item)).where(F.col(position).isNotNull())
 
 
 def chunk_words(df: DataFrame, max_words: int = 2000, overlap: int = 50) -> DataFrame:
@@ -132,4 +138,4 @@ def split_prompts(df: DataFrame, mark: str = "---") -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
     trimmed = F.transform(F.split(F.col("text"), mark, -1), strip)
     parts = F.filter(trimmed, lambda p: p != "")
-    return df.select(*kept, F.posexplode(parts).alias("prompt_no", "prompt"))
+    return _rows(df, kept, parts, "prompt_no", "prompt")
