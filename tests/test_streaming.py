@@ -1,0 +1,134 @@
+"""Each stream equals its batch twin, also over a restart."""
+
+import json
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkwell.operators.limits import rate_usage
+from inkwell.operators.tracking import read_batches, status_changes
+from inkwell.schemas import BATCH
+from inkwell.streaming.arrivals import new_input_stream, upsert_stream
+from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
+from inkwell.streaming.status import on_status_change, status_change_stream
+
+START = datetime(2024, 1, 1)
+
+
+def drop(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def seen(i, status, minute):
+    return {"id": i, "status": status, "ts": (START + timedelta(minutes=minute)).isoformat()}
+
+
+def stream(spark, folder, schema, per_trigger=1):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(str(folder))
+
+
+SEEN = "id string, status string, ts timestamp"
+
+
+def run_changes(spark, folder, tmp_path, **options):
+    query = (
+        status_change_stream(stream(spark, folder, SEEN), **options).writeStream.format("parquet").outputMode("append")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("id", "ts").collect()
+    return [(r["id"], r["status"], r["ts"]) for r in rows]
+
+
+def test_status_changes_over_a_restart(spark, tmp_path):
+    folder = tmp_path / "in"
+    one = [seen("a", "validating", 0), seen("b", "validating", 0), seen("a", "in_progress", 2), seen("a", "validating", 1)]
+    two = [seen("a", "in_progress", 3), seen("a", "completed", 4), seen("b", "in_progress", 5)]
+    drop(folder, "1.json", one)
+    run_changes(spark, folder, tmp_path)
+    drop(folder, "2.json", two)
+    got = run_changes(spark, folder, tmp_path)
+    rows = spark.read.schema(SEEN).json(str(folder))
+    twin = status_changes(rows, F.lit(0), order=("ts",)).orderBy("id", "ts").collect()
+    assert got == [(r["id"], r["status"], r["ts"]) for r in twin]
+
+
+def test_late_rows_and_rows_after_the_end_are_dropped(spark, tmp_path):
+    folder = tmp_path / "in"
+    drop(folder, "1.json", [seen("a", "in_progress", 5)])
+    run_changes(spark, folder, tmp_path)
+    drop(folder, "2.json", [seen("a", "validating", 1), seen("a", "failed", 6), seen("a", "in_progress", 7)])
+    run_changes(spark, folder, tmp_path)
+    drop(folder, "3.json", [seen("a", "in_progress", 8)])
+    assert [s for _, s, _ in run_changes(spark, folder, tmp_path)] == ["in_progress", "failed"]
+
+
+def test_callback_gets_each_change_once_and_may_fail(spark, tmp_path):
+    folder, got = tmp_path / "in", []
+    drop(folder, "1.json", [seen("a", "validating", 0), seen("a", "validating", 1), seen("a", "completed", 2)])
+
+    def note(batch, epoch):
+        got.extend((r["id"], r["status"]) for r in batch.collect())
+        raise RuntimeError("ignored")
+
+    changes = status_change_stream(stream(spark, folder, SEEN))
+    on_status_change(changes, note, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(got) == [("a", "completed"), ("a", "validating")]
+
+
+def test_silent_batch_times_out(spark, tmp_path):
+    import time
+
+    folder, got = tmp_path / "in", []
+    drop(folder, "1.json", [seen("a", "in_progress", 0), seen("b", "completed", 0)])
+    changes = status_change_stream(stream(spark, folder, SEEN), timeout_minutes=1 / 60)
+    query = on_status_change(
+        changes, lambda b, e: got.extend((r["id"], r["status"], r["previous"]) for r in b.collect()),
+        str(tmp_path / "cp"), processingTime="1 second",
+    )
+    deadline = time.time() + 60
+    while ("a", "unknown", "in_progress") not in got and time.time() < deadline:
+        time.sleep(0.5)
+    query.stop()
+    assert ("a", "unknown", "in_progress") in got and ("b", "unknown", "completed") not in got
+
+
+def test_upserts(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    drop(folder, "1.json", [{"id": "a", "status": "validating", "created_at": "1"}, {"id": "b", "status": "x", "created_at": "1"}])
+    run = lambda: upsert_stream(stream(spark, folder, BATCH), table, ["created_at"], str(tmp_path / "cp")).awaitTermination()
+    run()
+    drop(folder, "2.json", [{"id": "a", "status": "late", "created_at": "2"}, {"id": "a", "status": "done", "created_at": "3"}])
+    run()
+    assert {(r["id"], r["status"]) for r in read_batches(spark, table).collect()} == {("a", "done"), ("b", "x")}
+
+
+def test_new_input_files(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    run = lambda: new_input_stream(spark, str(folder), table, str(tmp_path / "cp")).awaitTermination()
+    drop(folder, "batch_1704067200_x.jsonl", [{}])
+    drop(folder, "ignored.jsonl", [{}])
+    run()
+    drop(folder, "batch_b.jsonl", [{}])
+    run()
+    got = {r["id"]: r for r in read_batches(spark, table).collect()}
+    assert set(got) == {"batch_1704067200_x", "batch_b"}
+    assert got["batch_1704067200_x"]["created_at"] == "2024-01-01T00:00:00" and got["batch_b"]["status"] == "detected"
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_rate_usage(spark, tmp_path, files):
+    folder = tmp_path / "in"
+    rows = [{"ts": (START + timedelta(seconds=7 * i)).isoformat(), "tokens": 5000 + i} for i in range(60)]
+    for n in range(files):
+        drop(folder, f"{n}.json", rows[n::files])
+    asked = "ts timestamp, tokens bigint"
+    write_updates(
+        rate_usage_stream(stream(spark, folder, asked)), str(tmp_path / "out"), str(tmp_path / "cp")
+    ).awaitTermination()
+    got = current_usage(spark, str(tmp_path / "out")).orderBy("minute").collect()
+    twin = rate_usage(spark.read.schema(asked).json(str(folder))).orderBy("minute").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in twin]
