@@ -190,8 +190,8 @@ def file_id(*parts: Column) -> Column:
 
 def default_prompts(spark: SparkSession, system_path: str, user_path: str) -> DataFrame:
     """One row: ``system, user``, each a whole file."""
-    system = spark.read.option("wholetext", "true").text(system_path).withColumnRenamed("value", "system")
-    user = spark.read.option("wholetext", "true").text(user_path).withColumnRenamed("value", "user")
+    system = spark.read.text(system_path, wholetext=True).withColumnRenamed("value", "system")
+    user = spark.read.text(user_path, wholetext=True).withColumnRenamed("value", "user")
     return system.crossJoin(F.broadcast(user))  # two single-row tables
 
 
