@@ -1,4 +1,4 @@
-"""Durations and time stamps. Times are UTC; the session zone is expected to be UTC."""
+"""Durations and time stamps. A time without a zone is UTC, whatever the session zone is."""
 
 from __future__ import annotations
 
@@ -16,26 +16,36 @@ def poll_interval_seconds(interval: Column) -> Column:
     return amount * F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(1)
 
 
+ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
 def parse_time(value: Column) -> Column:
     """ISO text or epoch seconds as a timestamp; NULL where neither."""
     epoch = F.timestamp_seconds(F.when(value.rlike(r"^\d{1,12}$"), value).try_cast("bigint"))
-    iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value))
-    return F.coalesce(epoch, iso)
+    day = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T00:00:00Z")))
+    moment = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), value)
+    zoned = F.when(moment.rlike(ZONE), moment).otherwise(F.concat(moment, F.lit("Z")))
+    return F.coalesce(epoch, F.try_to_timestamp(F.coalesce(day, zoned)))
+
+
+def _utc_clock(moment: Column) -> Column:
+    """The UTC wall clock of a timestamp, free of any zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
 
 
 def format_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss", zone: str = "UTC") -> Column:
     """Text in ``zone``; ``N/A`` for a missing or unreadable time."""
-    moment = parse_time(value)
+    clock = _utc_clock(parse_time(value))
     if zone != "UTC":
-        moment = F.from_utc_timestamp(moment, zone)
-    return F.coalesce(F.date_format(moment, pattern), F.lit("N/A"))
+        clock = F.convert_timezone(F.lit("UTC"), F.lit(zone), clock)
+    return F.coalesce(F.date_format(clock, pattern), F.lit("N/A"))
 
 
 def completion_time(start: Column, minutes: Column) -> Column:
     """Start plus minutes, followed by the zone if the start named one; else ``Unknown``."""
-    moment = parse_time(start) + F.make_dt_interval(mins=minutes)
-    zone = F.when(start.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), "UTC").otherwise("")
-    return F.coalesce(F.concat(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), zone), F.lit("Unknown"))
+    clock = _utc_clock(parse_time(start)) + F.make_dt_interval(mins=minutes)
+    zone = F.when(start.rlike(ZONE), "UTC").otherwise("")
+    return F.coalesce(F.concat(F.date_format(clock, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), zone), F.lit("Unknown"))
 
 
 def elapsed_text(seconds: Column) -> Column:

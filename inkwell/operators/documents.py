@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import ARCHIVE_MEMBER_LIMIT, base_name, member_is_text, member_type
+from inkwell.functions.text import ARCHIVE_MEMBER_LIMIT, SPACE, base_name, member_is_text, member_type
 from inkwell.operators.groups import (
     SEGMENT_CHARS,
     block_of,
     dense_index,
     ordered_segments,
     ordered_text,
-    position_in_group,
+    running_before,
 )
 
 
@@ -65,28 +65,24 @@ def document_from_blocks(blocks: DataFrame, segment_chars: int = SEGMENT_CHARS)
     Paragraphs that are not blank come first, then the tables, numbered.
     ``kind`` is ``paragraph``, ``table`` or ``image``.
     """
-    said = F.col("text").rlike(r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}]")
-    paragraphs = blocks.where((F.col("kind") == "paragraph") & said)
-    tables = position_in_group(
-        blocks.where(F.col("kind") == "table"), ["doc_id"], ["seq"], block_of("seq"), "_table"
-    )
+    is_table = F.col("kind") == "table"
+    said = (F.col("kind") == "paragraph") & F.col("text").rlike(f"[^{SPACE}]")
+    parts = blocks.where(is_table | said).withColumn("part", is_table.cast("int"))
+    # Blocks of the second part follow all blocks of the first.
+    span = F.col("part").cast("bigint") * F.lit(1 << 40) + block_of("seq")
+    order = ["part", "seq"]
+    # Paragraphs count nothing, so what runs before a table is the number of tables.
+    numbered = running_before(parts, ["doc_id"], order, F.col("part").cast("bigint"), span, "_table")
     title = F.format_string("\nTable %d:\n", F.col("_table") + 1)
-    pieces = paragraphs.select(
-        "doc_id", F.lit(0).alias("part"), "seq", F.concat("text", F.lit("\n")).alias("piece")
-    ).unionByName(
-        tables.select(
-            "doc_id", F.lit(1).alias("part"), "seq",
-            F.concat(title, _table_rows(F.col("cells")), F.lit("\n")).alias("piece"),
-        )
+    piece = F.when(is_table, F.concat(title, _table_rows(F.col("cells")), F.lit("\n"))).otherwise(
+        F.concat("text", F.lit("\n"))
     )
     facts = blocks.groupBy("doc_id").agg(
-        F.count_if((F.col("kind") == "paragraph") & said).alias("paragraphs"),
-        F.count_if(F.col("kind") == "table").alias("tables"),
+        F.count_if(said).alias("paragraphs"),
+        F.count_if(is_table).alias("tables"),
         F.bool_or(F.col("kind") == "image").alias("has_images"),
     )
-    # Blocks of the second part follow all blocks of the first.
-    span = F.col("part").cast("bigint") * F.lit(1 << 40) + block_of("seq")
-    texts = ordered_text(pieces, ["doc_id"], ["part", "seq"], F.col("piece"), "", span, segment_chars)
+    texts = ordered_text(numbered, ["doc_id"], order, piece, "", span, segment_chars)
     none = F.struct(F.lit(0).cast("bigint").alias("segment_no"), F.lit("").alias("text"))
     joined = facts.join(texts.select("doc_id", F.struct("segment_no", "text").alias("_t")), "doc_id", "left")
     return joined.select(

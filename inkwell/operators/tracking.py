@@ -24,7 +24,7 @@ from inkwell.session import written
 ACTIVE = ("in_progress", "validating")
 TERMINAL = ("completed", "failed", "expired", "cancelled")
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def active_batches(batches: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def batch_stats(spark, sf_dir):
        where o_orderdate >= timestamp '1998-08-02 00:00:00' - interval 30 day"""
 )
 def prune_batches(spark, sf_dir):
-    as_of = F.lit("1998-08-02 00:00:00").cast("timestamp")
+    as_of = F.lit("1998-08-02 00:00:00Z").cast("timestamp")
     return tracking.prune_batches(_order_batches(spark, sf_dir), as_of).select("id")
 
 
@@ -405,7 +405,7 @@ def upsert_batches(spark, sf_dir):
 )
 def update_batches(spark, sf_dir):
     current = _customer_rows(spark, sf_dir).withColumn("last_updated", F.lit(None).cast("string"))
-    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     return tracking.update_batches(current, _event_updates(spark, sf_dir), ["ts", "event_id"], now)
 
 

@@ -6,7 +6,7 @@ from inkwell.functions import pricing, text
 from inkwell.functions.answers import classify_error, retry_delay, retryable
 from inkwell.operators import dedup, limits, requests
 from inkwell.operators.documents import archive_members
-from inkwell.operators.groups import block_of, latest_by, position_in_group
+from inkwell.operators.groups import block_of, position_in_group
 from inkwell.plans.registry import (
     FILENAME_SQL,
     MODEL_SQL,
@@ -453,14 +453,14 @@ def retry_attempts(spark, sf_dir):
         from ({ATTEMPTS_SQL}) group by user_id"""
 )
 def retry_outcomes(spark, sf_dir):
-    tried = _attempts(spark, sf_dir)
-    last = latest_by(tried.select("user_id", "attempt", "status_code"), "user_id", ["attempt"])
-    sums = tried.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum("delay"), F.lit(0.0)).alias("waited")
-    )
-    return sums.join(last, "user_id").select(
-        "user_id", "attempts", "waited", F.col("status_code").alias("final_status"),
-        (F.col("status_code") == 200).alias("success"),
+    return (
+        _attempts(spark, sf_dir)
+        .groupBy("user_id")
+        .agg(
+            F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum("delay"), F.lit(0.0)).alias("waited"),
+            F.max_by("status_code", "attempt").alias("final_status"),
+        )
+        .withColumn("success", F.col("final_status") == 200)
     )
 
 

@@ -47,7 +47,7 @@ def test_ids_sort_as_numbers(spark):
     assert [r[0] for r in dedup.in_id_order(df).collect()] == ["2", "9", "10"]
 
 
-def reference_size(total, largest):
+def plain_size(total, largest):
     if total <= largest:
         return total
     return next((s for s in range(largest, 1000, -500) if total % s < 100), largest)
@@ -59,7 +59,7 @@ def test_batch_size(column):
     assert got == [10, 2500, 5000, 4000, 5000, 1000, 0]
     totals = [random.Random(1).randrange(1, 60000) for _ in range(200)]
     for largest in (900, 1200, 5000):
-        assert column(lambda c: requests.batch_size(c, largest), totals, "bigint") == [reference_size(t, largest) for t in totals]
+        assert column(lambda c: requests.batch_size(c, largest), totals, "bigint") == [plain_size(t, largest) for t in totals]
 
 
 def test_batches_cover_the_index_once(spark):
