@@ -69,29 +69,39 @@ def batch_size(total: Column, max_batch_size: int = 5000) -> Column:
 
 
 def assign_batches(
-    requests: DataFrame, index: str = "idx", total: DataFrame | None = None, max_batch_size: int = 5000
+    requests: DataFrame,
+    index: str = "idx",
+    total: DataFrame | None = None,
+    max_batch_size: int = 5000,
+    ids: Column | None = None,
 ) -> DataFrame:
     """Add ``batch_no, custom_id, start_item, end_item`` from a dense index.
 
     Ids start again at 0 in every batch, so the key is (batch_no, custom_id).
+    Prompts that were de-duplicated keep the index of their first copy instead:
+    give it as ``ids``, or the answers cannot be spread to the copies.
     """
     if total is None:
         total = requests.agg(F.count(F.lit(1)).alias("_total"))
     sized = total.select("_total", batch_size(F.col("_total"), max_batch_size).alias("_size"))
     start = (F.col("batch_no") * F.col("_size")).cast("bigint")
+    custom_id = F.col(index) % F.col("_size") if ids is None else ids
     return (
         requests.crossJoin(F.broadcast(sized))  # one row
         .withColumn("batch_no", F.floor(F.col(index) / F.col("_size")).cast("bigint"))
-        .withColumn("custom_id", (F.col(index) % F.col("_size")).cast("string"))
+        .withColumn("custom_id", custom_id.cast("string"))
         .withColumn("start_item", start)
         .withColumn("end_item", F.least(start + F.col("_size"), F.col("_total")))
         .drop("_total", "_size")
     )
 
 
-def assign_batches_in_order(requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000) -> DataFrame:
-    """As ``assign_batches`` for rows without a dense index."""
-    return assign_batches(dense_index(requests, order), "idx", max_batch_size=max_batch_size)
+def assign_batches_in_order(
+    requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000, ids: Column | None = None
+) -> DataFrame:
+    """As ``assign_batches`` for rows without a dense index; adds ``position`` as well."""
+    placed = dense_index(requests, order, "position")
+    return assign_batches(placed, "position", max_batch_size=max_batch_size, ids=ids)
 
 
 def cost_by_model(results: DataFrame) -> DataFrame:

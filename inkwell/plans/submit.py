@@ -263,6 +263,28 @@ def build_requests(spark, sf_dir):
     )
 
 
+@query(
+    f"""select idx as doc_id, pos // size as batch_no, cast(idx as varchar) as custom_id, (pos // size) * size as start_item,
+               least((pos // size) * size + size, total) as end_item, clean as content, 'medium' as reasoning_effort
+        from (select *, row_number() over (order by idx) - 1 as pos,
+                     cast({BATCH_SIZE_SQL.format(n="total")} as bigint) as size
+              from (select *, count(*) over () as total
+                    from (select doc_id as idx, {SANITIZE_SQL.format(c="text")} as clean from documents
+                          qualify row_number() over (partition by md5(clean) order by doc_id) = 1)))"""
+)
+def submit_batches(spark, sf_dir):
+    """From prompts to request records: clean, drop copies, cut into batches, shape."""
+    cleaned = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("idx"), text.sanitize(F.col("text")).alias("text")
+    )
+    unique = dedup.unique_prompts(cleaned).drop("hash")
+    batched = requests.assign_batches_in_order(unique, ["idx"], ids=F.col("idx"))
+    return requests.build_requests(batched, "o1-mini").select(
+        F.col("idx").alias("doc_id"), "batch_no", "custom_id", "start_item", "end_item",
+        F.col("body.messages")[0]["content"].alias("content"), "body.reasoning_effort",
+    )
+
+
 def _usage(spark, sf_dir):
     return spread_documents(spark, sf_dir).select(
         model_of().alias("model"),
