@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from inkwell.session import written
 
 BLOCK_SPAN = 16_384
-SEGMENT_CHARS = 1_000_000
+# Also bounds the aggregation: up to 128 segments are held per task before it sorts.
+SEGMENT_CHARS = 250_000
 
 # A key is heavy above 1/10,000 of the rows, so there are fewer than 10,000 of them.
 HEAVY_PARTS = 10_000

@@ -236,15 +236,14 @@ def blocks_to_documents(spark, sf_dir):
 
 
 @query(
-    """select c_nationkey, segment_no,
-              case when segment_no = 0 then 'c_custkey,c_name,c_mktsegment' || chr(10) else '' end
-                || string_agg(line, '' order by c_custkey) as text,
-              any_value(n) as rows, 3::bigint as columns
-       from (select *, cast(coalesce(sum(length(line)) over (partition by c_nationkey order by c_custkey
-                       rows between unbounded preceding and 1 preceding), 0) // 1000000 as bigint) as segment_no
-             from (select c_nationkey, c_custkey, count(*) over (partition by c_nationkey) as n,
-                          c_custkey || ',"' || c_name || ', ""' || c_mktsegment || '""' || '",' || c_mktsegment || chr(10) as line
-                   from customer)) group by 1, 2"""
+    f"""select c_nationkey, segment_no,
+               case when segment_no = 0 then 'c_custkey,c_name,c_mktsegment' || chr(10) else '' end
+                 || string_agg(line, '' order by c_custkey) as text,
+               any_value(n) as rows, 3::bigint as columns
+        from (select *, {SEGMENT_SQL.format(size="length(line)", keys="c_nationkey", order="c_custkey")} as segment_no
+              from (select c_nationkey, c_custkey, count(*) over (partition by c_nationkey) as n,
+                           c_custkey || ',"' || c_name || ', ""' || c_mktsegment || '""' || '",' || c_mktsegment || chr(10) as line
+                    from customer)) group by 1, 2"""
 )
 def table_to_csv(spark, sf_dir):
     """Customers per nation as sheets; names get a comma and quotes so that quoting shows."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.groups import SEGMENT_CHARS
 from inkwell.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,10 @@ MODEL_SQL = pick_sql(MODELS, "doc_id")
 FILENAME_SQL = f"'f' || doc_id || {pick_sql(SUFFIXES, 'doc_id')}"
 TOKENS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
 WORDS_SQL = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
-SEGMENT_SQL = "cast(coalesce(sum({size}) over (partition by {keys} order by {order} rows between unbounded preceding and 1 preceding), 0) // 1000000 as bigint)"
+SEGMENT_SQL = (
+    "cast(coalesce(sum({size}) over (partition by {keys} order by {order} "
+    f"rows between unbounded preceding and 1 preceding), 0) // {SEGMENT_CHARS} as bigint)"
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
