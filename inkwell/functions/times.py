@@ -28,14 +28,14 @@ def parse_time(value: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(F.coalesce(day, zoned)))
 
 
-def _utc_clock(moment: Column) -> Column:
+def utc_clock(moment: Column) -> Column:
     """The UTC wall clock of a timestamp, free of any zone."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
 
 
 def format_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss", zone: str = "UTC") -> Column:
     """Text in ``zone``; ``N/A`` for a missing or unreadable time."""
-    clock = _utc_clock(parse_time(value))
+    clock = utc_clock(parse_time(value))
     if zone != "UTC":
         clock = F.convert_timezone(F.lit("UTC"), F.lit(zone), clock)
     return F.coalesce(F.date_format(clock, pattern), F.lit("N/A"))
@@ -43,7 +43,7 @@ def format_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss", zone: str =
 
 def completion_time(start: Column, minutes: Column) -> Column:
     """Start plus minutes, followed by the zone if the start named one; else ``Unknown``."""
-    clock = _utc_clock(parse_time(start)) + F.make_dt_interval(mins=minutes)
+    clock = utc_clock(parse_time(start)) + F.make_dt_interval(mins=minutes)
     zone = F.when(start.rlike(ZONE), "UTC").otherwise("")
     return F.coalesce(F.concat(F.date_format(clock, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), zone), F.lit("Unknown"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from inkwell.functions.pricing import dollars, price_of
 from inkwell.functions.text import fixed_text, grouped_digits
-from inkwell.functions.times import format_time, older_than
+from inkwell.functions.times import format_time, older_than, utc_clock
 from inkwell.operators.groups import latest_by, previous_in_group
 from inkwell.schemas import BATCH
 from inkwell.session import written
@@ -27,6 +27,10 @@ TERMINAL = ("completed", "failed", "expired", "cancelled")
 BUCKETS = 32
 
 
+def _iso(moment: Column) -> Column:
+    return F.date_format(utc_clock(moment), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def active_batches(batches: DataFrame) -> DataFrame:
     return batches.where(F.col("status").isin(*ACTIVE))
 
@@ -203,7 +207,6 @@ def detected_batches(files: DataFrame, tracked: DataFrame, now: Column) -> DataF
     """
     stamp = F.regexp_extract("id", r"^[^_]*_(\d+)(_|$)", 1).try_cast("bigint")
     created = F.coalesce(F.timestamp_seconds(stamp), F.col("modified"), now)
-    text = F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss")
     metadata = F.create_map(
         F.lit("input_file"), F.col("path"), F.lit("auto_detected"), F.lit("true"),
         F.lit("file_size"), F.col("length").cast("string"),
@@ -211,10 +214,10 @@ def detected_batches(files: DataFrame, tracked: DataFrame, now: Column) -> DataF
     return untracked(files, tracked).select(
         "id",
         F.lit("detected").alias("status"),
-        text.alias("created_at"),
+        _iso(created).alias("created_at"),
         F.lit(None).cast("string").alias("model"),
         F.lit(0).cast("bigint").alias("request_count"),
-        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"),
+        _iso(now).alias("last_updated"),
         metadata.alias("metadata"),
     )
 
@@ -246,8 +249,7 @@ def update_batches(current: DataFrame, changes: DataFrame, order: Sequence[str],
         if name in given:
             fields.append(F.coalesce(f"_{name}", name).alias(name))
         elif name == "last_updated":
-            stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
-            fields.append(F.when(F.col("_hit"), stamp).otherwise(F.col(name)).alias(name))
+            fields.append(F.when(F.col("_hit"), _iso(now)).otherwise(F.col(name)).alias(name))
         else:
             fields.append(F.col(name))
     return joined.select(*fields)

@@ -405,7 +405,7 @@ def upsert_batches(spark, sf_dir):
 )
 def update_batches(spark, sf_dir):
     current = _customer_rows(spark, sf_dir).withColumn("last_updated", F.lit(None).cast("string"))
-    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    now = F.lit("2024-02-01 00:00:00Z").cast("timestamp")
     return tracking.update_batches(current, _event_updates(spark, sf_dir), ["ts", "event_id"], now)
 
 
@@ -539,5 +539,5 @@ def elapsed_texts(spark, sf_dir):
 )
 def stable_ids(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
-    made = times.stable_id("batch", F.col("o_orderdate").cast("timestamp"), key)
+    made = times.stable_id("batch", times.parse_time(F.col("o_orderdate").cast("string")), key)
     return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("id"))

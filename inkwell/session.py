@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Completion calls cost money: never run the same task twice on purpose.
     "spark.speculation": "false",
+    # As in Python, the last of repeated keys in a JSON object counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 _fallback_folder: str | None = None
