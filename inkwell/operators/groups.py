@@ -24,9 +24,9 @@ BLOCK_SPAN = 16_384
 # Also bounds the aggregation: up to 128 segments are held per task before it sorts.
 SEGMENT_CHARS = 250_000
 
-# A key is heavy above 1/10,000 of the rows, so there are fewer than 10,000 of them.
-HEAVY_PARTS = 10_000
-HEAVY_FLOOR = 100_000
+# A key is heavy above 1/100,000 of the rows, so there are fewer than 100,000 of them.
+HEAVY_PARTS = 100_000
+HEAVY_FLOOR = 20_000
 
 
 def block_of(order: Column | str, span: int | None = None) -> Column:
@@ -199,8 +199,8 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
 def heavy_keys(counts: DataFrame, on: Sequence[str], n: str) -> DataFrame:
     """Keys above the heavy limit and how many ways to spread each: ``on, _fan``.
 
-    The limit is 1/10,000 of all rows or ``HEAVY_FLOOR``, whichever is more; by
-    counting, fewer than 10,000 keys can pass it, which is what makes the result
+    The limit is 1/100,000 of all rows or ``HEAVY_FLOOR``, whichever is more; by
+    counting, fewer than 100,000 keys can pass it, which is what makes the result
     safe to broadcast.
     """
     limit = F.greatest(F.col("_all") / HEAVY_PARTS, F.lit(float(HEAVY_FLOOR)))

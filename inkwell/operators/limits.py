@@ -26,12 +26,19 @@ def budget_cutoff(
     return spent.withColumn("admitted", admitted)
 
 
-def rate_usage(requests: DataFrame, ts: str = "ts", tokens: str = "tokens", keys: Sequence[str] = ()) -> DataFrame:
+def rate_usage(
+    requests: DataFrame,
+    ts: str = "ts",
+    tokens: str = "tokens",
+    keys: Sequence[str] = (),
+    token_limit: int = TOKENS_PER_MINUTE,
+    request_limit: int = REQUESTS_PER_MINUTE,
+) -> DataFrame:
     """Tokens and requests per minute against the limits. Works on streams with a watermark."""
     used = requests.groupBy(*keys, F.window(ts, "1 minute").alias("_w")).agg(
         F.sum(tokens).cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("requests")
     )
-    over = (F.col("tokens") > TOKENS_PER_MINUTE) | (F.col("requests") > REQUESTS_PER_MINUTE)
+    over = (F.col("tokens") > token_limit) | (F.col("requests") > request_limit)
     return used.select(*keys, F.col("_w.start").alias("minute"), "tokens", "requests", over.alias("over_limit"))
 
 

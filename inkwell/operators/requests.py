@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.pricing import dollars, price_of
+from inkwell.functions.pricing import REPORT_DEFAULT, REPORT_PRICES, Price, dollars, price_of
 from inkwell.functions.text import sanitize, token_count
 from inkwell.operators.groups import dense_index
 
@@ -104,7 +104,20 @@ def assign_batches_in_order(
     return assign_batches(placed, "position", max_batch_size=max_batch_size, ids=ids)
 
 
-def cost_by_model(results: DataFrame) -> DataFrame:
+def failed_batches(batched: DataFrame, failures: DataFrame) -> DataFrame:
+    """Batches that could not be sent: ``batch_index`` (from 1), ``start_item, end_item, error``.
+
+    ``failures`` has ``batch_no, error``. The other batches go on.
+    """
+    spans = batched.select("batch_no", "start_item", "end_item").distinct()
+    return spans.join(failures, "batch_no").select(
+        (F.col("batch_no") + 1).alias("batch_index"), "start_item", "end_item", "error"
+    )
+
+
+def cost_by_model(
+    results: DataFrame, prices: Sequence[Price] = REPORT_PRICES, default: Price = REPORT_DEFAULT
+) -> DataFrame:
     """Tokens and USD per lower-cased model, and a total row with model ``NULL``.
 
     Tokens are summed before the shuffle and priced once per model. Decimals keep
@@ -114,7 +127,8 @@ def cost_by_model(results: DataFrame) -> DataFrame:
     kinds = ("input", "output", "reasoning")
     tokens = [F.sum(F.coalesce(f"{k}_tokens", F.lit(0))).cast("bigint").alias(f"{k}_tokens") for k in kinds]
     priced = [
-        (F.col(f"{k}_tokens").cast("decimal(20,0)") * price_of(F.col("model"), k)).alias(f"_{k}") for k in kinds
+        (F.col(f"{k}_tokens").cast("decimal(20,0)") * price_of(F.col("model"), k, prices, default)).alias(f"_{k}")
+        for k in kinds
     ]
     per_model = (
         results.groupBy(model.alias("model"))
@@ -136,7 +150,12 @@ def cost_by_model(results: DataFrame) -> DataFrame:
 
 
 def estimate_batch_cost(
-    prompts: DataFrame, model: Column | str, max_tokens: int = 1024, budget: float | None = None
+    prompts: DataFrame,
+    model: Column | str,
+    max_tokens: int = 1024,
+    budget: float | None = None,
+    prices: Sequence[Price] = REPORT_PRICES,
+    default: Price = REPORT_DEFAULT,
 ) -> DataFrame:
     """One row: prompts, estimated tokens and USD, and whether the budget holds (equality does)."""
     model = F.lit(model) if isinstance(model, str) else model
@@ -146,7 +165,7 @@ def estimate_batch_cost(
         F.lit(max_tokens).cast("bigint").alias("output_tokens"),
         F.lit(0).cast("bigint").alias("reasoning_tokens"),
     )
-    total = cost_by_model(usage).where("is_total = 1")
+    total = cost_by_model(usage, prices, default).where("is_total = 1")
     within = F.lit(True) if budget is None else F.coalesce(F.col("total_cost") <= budget, F.lit(True))
     return total.select(
         F.col("requests").alias("prompts"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.functions.pricing import dollars, price_of
+from inkwell.functions.pricing import REPORT_DEFAULT, REPORT_PRICES, Price, dollars, price_of
 from inkwell.functions.text import fixed_text, grouped_digits
 from inkwell.functions.times import format_time, older_than, utc_clock
 from inkwell.operators.groups import latest_by, previous_in_group
@@ -106,7 +106,12 @@ def requests_by_model(batches: DataFrame, results: DataFrame) -> DataFrame:
     return per_model.withColumn("share", F.col("requests") / F.sum("requests").over(whole))
 
 
-def allocated_cost(batches: DataFrame, flat_results: DataFrame) -> DataFrame:
+def allocated_cost(
+    batches: DataFrame,
+    flat_results: DataFrame,
+    prices: Sequence[Price] = REPORT_PRICES,
+    default: Price = REPORT_DEFAULT,
+) -> DataFrame:
     """All tokens of completed batches spread over models by their share of requests, and priced."""
     completed = batches.where(F.col("status") == "completed").select("id")
     kinds = ("input", "output", "reasoning")
@@ -119,13 +124,19 @@ def allocated_cost(batches: DataFrame, flat_results: DataFrame) -> DataFrame:
         "model", "requests", "share",
         *[(F.col(f"_{k}") * F.col("share")).alias(f"{k}_tokens") for k in kinds],
         *[
-            (F.col(f"_{k}") * F.col("share") * price_of(model, k).cast("double") / F.lit(1e6)).alias(f"{k}_cost")
+            dollars(F.col(f"_{k}") * F.col("share") * price_of(model, k, prices, default).cast("double")).alias(f"{k}_cost")
             for k in kinds
         ],
     ).withColumn("total_cost", F.col("input_cost") + F.col("output_cost") + F.col("reasoning_cost"))
 
 
-def batch_summary(batches: DataFrame, flat_results: DataFrame, errors: DataFrame) -> DataFrame:
+def batch_summary(
+    batches: DataFrame,
+    flat_results: DataFrame,
+    errors: DataFrame,
+    prices: Sequence[Price] = REPORT_PRICES,
+    default: Price = REPORT_DEFAULT,
+) -> DataFrame:
     """Counts, success rate, tokens and cost per batch.
 
     ``summed_tokens`` is input + output + reasoning, which differs from the sum
@@ -136,10 +147,11 @@ def batch_summary(batches: DataFrame, flat_results: DataFrame, errors: DataFrame
         flat_results.groupBy(F.col("batch_id").alias("id"), F.lower("model").alias("_m"))
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"{k}_tokens").alias(f"_{k}") for k in kinds])
     )
-    cost = sum(
-        (F.col(f"_{k}").cast("decimal(20,0)") * price_of(F.col("_m"), k) for k in kinds[1:]),
-        F.col("_input").cast("decimal(20,0)") * price_of(F.col("_m"), "input"),
-    )
+
+    def priced(kind: str) -> Column:
+        return F.col(f"_{kind}").cast("decimal(20,0)") * price_of(F.col("_m"), kind, prices, default)
+
+    cost = priced("input") + priced("output") + priced("reasoning")
     per_batch = per_model.withColumn("_cost", cost).groupBy("id").agg(
         F.sum("_n").alias("results"),
         *[F.sum(f"_{k}").alias(f"{k}_tokens") for k in kinds],
@@ -287,18 +299,21 @@ def poll_timeouts(
 # -- the table on disk ---------------------------------------------------------
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+def _bucket(batch_id: Column | str = "id") -> Column:
+    return F.pmod(F.xxhash64(batch_id), F.lit(BUCKETS)).cast("int")
 
 
 STORED = T.StructType([*BATCH.fields, T.StructField("bucket", T.IntegerType())])
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The stored batch table, empty if there is none yet."""
+def read_batches(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
+    """The stored batch table, empty if there is none yet. One id reads one bucket."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], BATCH)
-    return spark.read.schema(STORED).parquet(path).where(F.col("id").isNotNull()).drop("bucket")
+    rows = spark.read.schema(STORED).parquet(path)
+    if batch_id is not None:
+        rows = batch_by_id(rows.where(F.col("bucket") == _bucket(F.lit(batch_id))), batch_id)
+    return rows.where(F.col("id").isNotNull()).drop("bucket")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

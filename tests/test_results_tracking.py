@@ -132,6 +132,9 @@ def test_stored_table(spark, tmp_path):
     tracking.store_upsert(batches(spark, [("b7", "completed", "t", "m"), ("new", "failed", "t", "m")]), path, ["created_at"])
     stored = {r["id"]: r["status"] for r in tracking.read_batches(spark, path).collect()}
     assert len(stored) == 201 and stored["b7"] == "completed" and stored["new"] == "failed" and stored["b8"] == "validating"
+    one = tracking.read_batches(spark, path, "b7")
+    assert [r["status"] for r in one.collect()] == ["completed"] and tracking.read_batches(spark, path, "zz").count() == 0
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
     everything = tracking.read_batches(spark, path).select("id")
     tracking.store_delete(everything.where("id <> 'b7'"), path)
     assert [r["id"] for r in tracking.read_batches(spark, path).collect()] == ["b7"]

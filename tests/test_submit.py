@@ -167,3 +167,20 @@ def test_rate_usage(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:10", 59_000), ("2024-01-01 00:00:59", 1_001), ("2024-01-01 00:01:00", 60_000)], "t string, tokens bigint")
     got = limits.rate_usage(df.withColumn("ts", F.col("t").cast("timestamp"))).orderBy("minute").collect()
     assert [(r["tokens"], r["requests"], r["over_limit"]) for r in got] == [(60_001, 2, True), (60_000, 1, False)]
+
+
+def test_failed_batches(spark):
+    batched = requests.assign_batches(spark.range(2750).select(F.col("id").alias("idx")), max_batch_size=1200)
+    failures = spark.createDataFrame([(2, "429")], "batch_no bigint, error string")
+    assert [tuple(r) for r in requests.failed_batches(batched, failures).collect()] == [(3, 2400, 2750, "429")]
+
+
+def test_own_prices(spark):
+    from decimal import Decimal
+
+    from inkwell.functions.pricing import Price
+
+    own = [Price("mini", Decimal("1"), Decimal("2")), Price("gpt", Decimal("10"), Decimal("20"), Decimal("30"))]
+    rows = usage(spark, [("gpt-mini", 10**6, 10**6, 10**6), ("GPT-x", 10**6, 0, 10**6), ("zzz", 5, 5, 5)])
+    got = {r["model"]: r["total_cost"] for r in requests.cost_by_model(rows, own, Price("free", Decimal(0), Decimal(0))).collect()}
+    assert got == {"gpt-mini": 3.0, "gpt-x": 40.0, "zzz": 0.0, None: 43.0}
