@@ -31,7 +31,7 @@ def sanitize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides (``trim`` takes off spaces only)."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.regexp_replace(text, f"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\\z", "")
 
 
 def token_count(text: Column) -> Column:
@@ -60,8 +60,12 @@ def char_count(text: Column) -> Column:
 
 
 def definition_count(text: Column, keyword: str) -> Column:
-    """Lines that open a ``class`` or ``def``. The d flag makes only \\n end a line."""
-    pattern = f"(?md)^[{SPACE}]*{keyword}[{SPACE}]+[{WORD_CHAR}]+"
+    """Lines that open a ``class`` or ``def``. The d flag makes only \\n end a line.
+
+    The indent stays within its line, so that blank lines are not gone over again
+    from each of them.
+    """
+    pattern = f"(?md)^[{SPACE}&&[^\\n]]*+{keyword}[{SPACE}]+[{WORD_CHAR}]+"
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 

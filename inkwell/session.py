@@ -20,6 +20,7 @@ SETTINGS = {
 }
 
 _fallback_folder: str | None = None
+_made: list[str] = []
 
 
 def build_session(app_name: str = "inkwell", master: str | None = None, **extra: str) -> SparkSession:
@@ -54,7 +55,18 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder name not used before. Nothing is deleted until ``clean_work``."""
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process wrote; results read from them must be saved first."""
+    context = spark.sparkContext
+    while _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
