@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import content_hash
 from inkwell.operators.groups import block_of, join_to_one, latest_by, ordered_segments
+from inkwell.session import written
 
 
 def hashed(prompts: DataFrame) -> DataFrame:
@@ -18,13 +19,25 @@ def hashed(prompts: DataFrame) -> DataFrame:
     return prompts.select("idx", content_hash(F.col("text")).alias("hash"))
 
 
-def dedup_groups(prompts: DataFrame) -> DataFrame:
-    """One row per distinct text: ``hash, first_idx, copies``."""
-    return hashed(prompts).groupBy("hash").agg(
+def fingerprints(prompts: DataFrame) -> DataFrame:
+    """``idx, hash`` written once, so that several passes read the texts only once.
+
+    The operators below also take such a table in place of the prompts.
+    """
+    return prompts if "hash" in prompts.columns else written(hashed(prompts), "hashes")
+
+
+def _groups(prints: DataFrame) -> DataFrame:
+    return prints.where(F.col("hash").isNotNull()).groupBy("hash").agg(
         F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("copies")
     )
 
 
+def dedup_groups(prompts: DataFrame) -> DataFrame:
+    """One row per distinct text: ``hash, first_idx, copies``. A prompt without text is in no group."""
+    return _groups(prompts if "hash" in prompts.columns else hashed(prompts))
+
+
 def unique_prompts(prompts: DataFrame) -> DataFrame:
     """First copy of each text: ``idx, hash, text``. Copies fold together before the shuffle."""
     first = F.min(F.struct("idx", "text")).alias("first")
@@ -38,16 +51,18 @@ def unique_prompts(prompts: DataFrame) -> DataFrame:
 
 def dedup_links(prompts: DataFrame) -> DataFrame:
     """One row per prompt with the first copy it stands for: ``idx, hash, first_idx``."""
-    groups = dedup_groups(prompts)
+    prints = fingerprints(prompts)
+    groups = _groups(prints)
     return join_to_one(
-        hashed(prompts), groups.select("hash", "first_idx"), ["hash"], groups, "copies"
+        prints.select("idx", "hash"), groups.select("hash", "first_idx"), ["hash"], groups, "copies"
     ).select("idx", "hash", "first_idx")
 
 
 def index_lists(prompts: DataFrame, segment_items: int = 100_000) -> DataFrame:
     """Ascending indices per hash, in segments of bounded length: ``hash, segment_no, items``."""
+    prints = fingerprints(prompts).where(F.col("hash").isNotNull())
     return ordered_segments(
-        hashed(prompts), ["hash"], ["idx"], F.col("idx"), F.lit(1), block_of("idx", 1 << 20), segment_items
+        prints, ["hash"], ["idx"], F.col("idx"), F.lit(1), block_of("idx", 1 << 20), segment_items
     )
 
 
@@ -57,13 +72,14 @@ def expand_results(prompts: DataFrame, results: DataFrame) -> DataFrame:
     The last of several results with one id wins. A prompt without a result is a
     row with only its ``custom_id``. Not sorted: order by the id as a number.
     """
-    groups = dedup_groups(prompts)
+    prints = fingerprints(prompts)
+    groups = _groups(prints)
     payload = [c for c in results.columns if c not in ("custom_id", "seq")]
     last = latest_by(results, "custom_id", ["seq"]).withColumnRenamed("custom_id", "_first_id")
     answers = groups.join(last, F.col("first_idx").cast("string") == F.col("_first_id"), "left").select(
         "hash", *payload
     )
-    return join_to_one(hashed(prompts), answers, ["hash"], groups, "copies").select(
+    return join_to_one(prints.select("idx", "hash"), answers, ["hash"], groups, "copies").select(
         F.col("idx").cast("string").alias("custom_id"), *payload
     )
 

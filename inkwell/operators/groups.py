@@ -40,13 +40,12 @@ def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     if not keys:
         return df.withColumn("_heavy", F.lit(True)).withColumn("_block", block.cast("bigint"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = F.broadcast(heavy_keys(counts, keys, "_n"))
+    heavy = heavy_keys(counts, keys, "_n").select(*keys, F.lit(True).alias("_heavy"))
     return (
         df.withColumn("_block", block.cast("bigint"))
-        .join(heavy, list(keys), "left")
-        .withColumn("_heavy", F.col("_fan").isNotNull())
+        .join(F.broadcast(heavy), list(keys), "left")
+        .withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
         .withColumn("_block", F.when(F.col("_heavy"), F.col("_block")).otherwise(F.lit(0)))
-        .drop("_fan")
     )
 
 
@@ -203,6 +202,9 @@ def heavy_keys(counts: DataFrame, on: Sequence[str], n: str) -> DataFrame:
     counting, fewer than 100,000 keys can pass it, which is what makes the result
     safe to broadcast.
     """
+    # Joins add this filter on one of the two uses below; said here, both share one shuffle.
+    for key in on:
+        counts = counts.where(F.col(key).isNotNull())
     limit = F.greatest(F.col("_all") / HEAVY_PARTS, F.lit(float(HEAVY_FLOOR)))
     total = counts.agg(F.sum(n).alias("_all"))
     return (
