@@ -73,6 +73,10 @@ def read_results(spark: SparkSession, path: str, batch_id: str | None = None) ->
     return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
 
 
+def _plain_name(uri_name: Column) -> Column:
+    return F.url_decode(F.replace(uri_name, F.lit("+"), F.lit("%2B")))
+
+
 def read_batch_records(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON record per batch; the id is the file name, unreadable files are left out,
     missing fields take their defaults. ``results`` and ``errors`` are arrays here;
@@ -92,7 +96,7 @@ def read_batch_records(spark: SparkSession, folder: str) -> DataFrame:
         return F.array().cast(BATCH_RECORD[name].dataType)
 
     return records.select(
-        F.regexp_replace("_file", r"\.json$", "").alias("id"),
+        F.regexp_replace(_plain_name(F.col("_file")), r"\.json$", "").alias("id"),
         default("status", F.lit("unknown")),
         "created_at", "model",
         default("request_count", F.lit(0).cast("bigint")),
@@ -124,12 +128,17 @@ def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_bytes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Whole files: ``path, filename, length, content``."""
+    """Whole files: ``path, filename, length, content``, and ``listed_name`` to filter by.
+
+    A filter on ``listed_name`` (the name as a URI) is applied to the listing, so
+    files it leaves out are never opened.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path).select(
-        "path", F.substring_index("path", "/", -1).alias("filename"), "length", "content"
+        "path", F.substring_index("path", "/", -1).alias("filename"), "length", "content",
+        F.col("_metadata.file_name").alias("listed_name"),
     )
 
 
@@ -180,7 +189,9 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 
 def typed_files(files: DataFrame, archives: bool) -> DataFrame:
-    return files.withColumn("file_type", file_type(F.col("filename"), archives))
+    """Add ``file_type``; filtering files by it prunes the listing."""
+    name = "listed_name" if "listed_name" in files.columns else "filename"
+    return files.withColumn("file_type", file_type(F.col(name), archives))
 
 
 def file_id(*parts: Column) -> Column:

@@ -53,12 +53,12 @@ def test_batch_records(spark, tmp_path):
         json.dumps({"id": "other", "status": "completed", "created_at": "2024-01-01T00:00:00", "model": "gpt",
                     "results": [{"custom_id": "0"}, {"custom_id": "1"}], "metadata": {"file_size": 12, "auto": True}}, indent=2)
     )
-    (tmp_path / "b2.json").write_text("{}")
+    (tmp_path / "b2 +ü.json").write_text("{}")
     (tmp_path / "b3.json").write_text("{not json")
     records = files.read_batch_records(spark, str(tmp_path))
     got = {r["id"]: r for r in records.collect()}
-    assert set(got) == {"b1", "b2"}
-    assert (got["b2"]["status"], got["b2"]["request_count"], got["b2"]["metadata"], got["b2"]["results"]) == ("unknown", 0, {}, [])
+    assert set(got) == {"b1", "b2 +ü"}
+    assert (got["b2 +ü"]["status"], got["b2 +ü"]["request_count"], got["b2 +ü"]["metadata"], got["b2 +ü"]["results"]) == ("unknown", 0, {}, [])
     assert got["b1"]["last_updated"] == "2024-01-01T00:00:00" and got["b1"]["metadata"] == {"file_size": "12", "auto": "true"}
     assert [tuple(r)[:2] for r in files.child_rows(records, "results").collect()] == [("b1", "0"), ("b1", "1")]
     assert files.child_rows(records, "errors").count() == 0
@@ -126,6 +126,29 @@ def test_separate_files(spark, mixed):
     assert "Processed 6 files" in file_summary(process_files(spark, str(mixed))).orderBy("number").first()["entry"]
 
 
+def opened(df):
+    """The rows of a query, and the number of files each of its scans opened."""
+    counts = []
+
+    def walk(node):
+        if node.metrics().contains("numFiles"):
+            counts.append(node.metrics().apply("numFiles").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    rows = df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, counts
+
+
+def test_files_of_other_types_are_not_opened(spark, mixed):
+    (mixed / "g h.PDF").write_bytes(b"two")
+    typed = files.typed_files(files.read_bytes(spark, str(mixed)), archives=True)
+    pdfs = typed.where(F.col("file_type") == "pdf").select("filename", "content")
+    rows, counts = opened(pdfs)
+    assert {r["filename"] for r in rows} == {"e.pdf", "g h.PDF"} and counts == [2]
+
+
 def test_archives_and_readers(spark, mixed):
     readers = Readers()
     readers.register("pdf", pdf_reader)
