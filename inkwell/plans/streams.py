@@ -14,14 +14,15 @@ from inkwell.streaming.arrivals import upsert_stream
 from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
 from inkwell.streaming.status import status_change_stream
 
-FILES_PER_TRIGGER = 64
+# Bounds what one task can see of one id in a micro-batch.
+BYTES_PER_TRIGGER = "8g"
 
 
 def event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     # Written as a pattern, the path may be one file as well as a folder of files.
     return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
         .parquet(f"{sf_dir}/[e]vents.parquet")
     )
 

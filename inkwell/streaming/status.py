@@ -25,7 +25,7 @@ def status_change_stream(
     silent that long is closed with status ``unknown``.
 
     What one task sees of an id is its rows of one micro-batch, so size those at
-    the source (``maxFilesPerTrigger``).
+    the source (``maxBytesPerTrigger`` or ``maxFilesPerTrigger``).
     """
     id_type = seen.schema["id"].dataType.simpleString()
     ended = frozenset(terminal)
