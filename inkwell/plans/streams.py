@@ -15,7 +15,7 @@ from inkwell.streaming.rates import current_usage, rate_usage_stream, write_upda
 from inkwell.streaming.status import status_change_stream
 
 # Bounds what one task can see of one id in a micro-batch.
-BYTES_PER_TRIGGER = "8g"
+BYTES_PER_TRIGGER = 4 * 1024**3
 
 
 def event_stream(spark, sf_dir):
