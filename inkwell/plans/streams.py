@@ -7,12 +7,12 @@ there, with its own checkpoint, and reads back what was written.
 from pyspark.sql import functions as F
 
 from inkwell.operators.tracking import read_batches
-from inkwell.plans.answers import CHANGES_SQL, LATEST_SQL
+from inkwell.plans.answers import CHANGES_SQL, LATEST_SQL, minute_of
 from inkwell.plans.registry import query, table
 from inkwell.session import fresh_folder
 from inkwell.streaming.arrivals import upsert_stream
 from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
-from inkwell.streaming.status import status_change_stream
+from inkwell.streaming.status import follow_status, status_change_stream
 
 # Bounds what one task can see of one id in a micro-batch.
 BYTES_PER_TRIGGER = 4 * 1024**3
@@ -27,19 +27,34 @@ def event_stream(spark, sf_dir):
     )
 
 
-@query(f"select id, status, ts, previous from ({CHANGES_SQL})")
-def stream_status_changes(spark, sf_dir):
-    seen = event_stream(spark, sf_dir).select(
+def _seen(spark, sf_dir):
+    return event_stream(spark, sf_dir).select(
         F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts")
     )
+
+
+def _read_changes(spark, path):
+    rows = spark.read.parquet(path).select("id", "status", "ts", "previous")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"select id, status, ts, previous from ({CHANGES_SQL})")
+def stream_status_changes(spark, sf_dir):
+    out, state, checkpoint = [fresh_folder(spark, n) for n in ("changes", "state", "checkpoint")]
+    follow_status(_seen(spark, sf_dir), out, state, checkpoint, minute_of(), terminal=()).awaitTermination()
+    return _read_changes(spark, out)
+
+
+@query(f"select id, status, ts, previous from ({CHANGES_SQL})")
+def stream_status_live(spark, sf_dir):
+    """The same by way of the state store."""
     out, checkpoint = fresh_folder(spark, "changes"), fresh_folder(spark, "checkpoint")
     running = (
-        status_change_stream(seen, terminal=()).writeStream.format("parquet").outputMode("append")
+        status_change_stream(_seen(spark, sf_dir), terminal=()).writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    changes = spark.read.parquet(out)
-    return changes.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _read_changes(spark, out)
 
 
 @query(f"select cast(user_id as varchar) as id, event_type as status, 0::bigint as request_count from ({LATEST_SQL})")

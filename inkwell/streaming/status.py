@@ -1,4 +1,9 @@
-"""Following batch status as a stream."""
+"""Following batch status as a stream.
+
+``status_change_stream`` keeps its state in Spark's state store and suits live
+polling. ``follow_status`` keeps it as a small table per micro-batch and works in
+blocks, so a micro-batch may be as large as a backlog and hold one very busy id.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inkwell.operators.tracking import TERMINAL
+from inkwell.operators.groups import join_to_one, latest_by
+from inkwell.operators.tracking import TERMINAL, path_exists, status_changes
+from inkwell.session import written
 
 STATE = "status string, ts timestamp, closed boolean"
 
@@ -63,6 +71,60 @@ def status_change_stream(
     )
 
 
+def follow_status(
+    seen: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    block: Column,
+    terminal: Sequence[str] = TERMINAL,
+    **trigger: Any,
+) -> StreamingQuery:
+    """Write changes of ``id, status, ts`` to ``out/epoch=N``, with ``previous``.
+
+    The last row per id is kept in ``state/epoch=N``, one folder per micro-batch;
+    only the newest is read. A micro-batch that runs again replaces its folders.
+    ``block`` must not decrease with ``ts``.
+    """
+
+    def ended(column: str) -> Column:
+        return F.col(column).isin(*terminal) if terminal else F.lit(False)
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = written(batch.select("id", "status", "ts"), "seen")
+        before = f"{state}/epoch={epoch - 1}"
+        if path_exists(spark, before):
+            known = spark.read.schema(rows.schema).parquet(before)
+        else:
+            known = spark.createDataFrame([], rows.schema)
+        counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        last = known.select("id", F.col("status").alias("_status"), F.col("ts").alias("_ts"))
+        # Nothing older than what is known, and nothing after a terminal status.
+        going_on = join_to_one(rows, last, ["id"], counts, "n").where(
+            F.col("_ts").isNull() | (~ended("_status") & (F.col("ts") >= F.col("_ts")))
+        )
+        ends = going_on.where(ended("status")).groupBy("id").agg(F.min("ts").alias("_end"))
+        live = written(
+            join_to_one(going_on.select("id", "status", "ts"), ends, ["id"], counts, "n")
+            .where(F.col("_end").isNull() | (F.col("ts") <= F.col("_end")))
+            .select("id", "status", "ts"),
+            "live",
+        )
+        # What is known of an id stands ahead of its new rows.
+        start = known.join(counts.select("id"), "id", "left_semi").withColumn("_new", F.lit(0))
+        changes = status_changes(
+            start.unionByName(live.withColumn("_new", F.lit(1))), block, "id", ("ts", "_new")
+        )
+        changes.where("_new = 1").select("id", "status", "ts", "previous").write.mode("overwrite").parquet(
+            f"{out}/epoch={epoch}"
+        )
+        latest_by(known.unionByName(live), "id", ["ts"]).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    writer = seen.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def on_status_change(
     changes: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, **trigger: Any
 ) -> StreamingQuery:

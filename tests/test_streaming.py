@@ -11,7 +11,7 @@ from inkwell.operators.tracking import read_batches, status_changes
 from inkwell.schemas import BATCH
 from inkwell.streaming.arrivals import new_input_stream, upsert_stream
 from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
-from inkwell.streaming.status import on_status_change, status_change_stream
+from inkwell.streaming.status import follow_status, on_status_change, status_change_stream
 
 START = datetime(2024, 1, 1)
 
@@ -32,6 +32,13 @@ def stream(spark, folder, schema, per_trigger=1):
 SEEN = "id string, status string, ts timestamp"
 
 
+def run_followed(spark, folder, tmp_path):
+    out, state, checkpoint = (str(tmp_path / n) for n in ("out", "state", "cp"))
+    block = F.floor(F.unix_seconds("ts") / 60)
+    follow_status(stream(spark, folder, SEEN), out, state, checkpoint, block).awaitTermination()
+    return [(r["id"], r["status"], r["ts"]) for r in spark.read.parquet(out).orderBy("id", "ts").collect()]
+
+
 def run_changes(spark, folder, tmp_path, **options):
     query = (
         status_change_stream(stream(spark, folder, SEEN), **options).writeStream.format("parquet").outputMode("append")
@@ -43,27 +50,42 @@ def run_changes(spark, folder, tmp_path, **options):
     return [(r["id"], r["status"], r["ts"]) for r in rows]
 
 
-def test_status_changes_over_a_restart(spark, tmp_path):
+BOTH = pytest.mark.parametrize("run", [run_changes, run_followed])
+
+
+@BOTH
+def test_status_changes_over_a_restart(spark, tmp_path, small_limits, run):
     folder = tmp_path / "in"
     one = [seen("a", "validating", 0), seen("b", "validating", 0), seen("a", "in_progress", 2), seen("a", "validating", 1)]
     two = [seen("a", "in_progress", 3), seen("a", "completed", 4), seen("b", "in_progress", 5)]
     drop(folder, "1.json", one)
-    run_changes(spark, folder, tmp_path)
+    run(spark, folder, tmp_path)
     drop(folder, "2.json", two)
-    got = run_changes(spark, folder, tmp_path)
+    got = run(spark, folder, tmp_path)
     rows = spark.read.schema(SEEN).json(str(folder))
     twin = status_changes(rows, F.lit(0), order=("ts",)).orderBy("id", "ts").collect()
     assert got == [(r["id"], r["status"], r["ts"]) for r in twin]
 
 
-def test_late_rows_and_rows_after_the_end_are_dropped(spark, tmp_path):
+@BOTH
+def test_late_rows_and_rows_after_the_end_are_dropped(spark, tmp_path, small_limits, run):
     folder = tmp_path / "in"
     drop(folder, "1.json", [seen("a", "in_progress", 5)])
-    run_changes(spark, folder, tmp_path)
+    run(spark, folder, tmp_path)
     drop(folder, "2.json", [seen("a", "validating", 1), seen("a", "failed", 6), seen("a", "in_progress", 7)])
-    run_changes(spark, folder, tmp_path)
+    run(spark, folder, tmp_path)
     drop(folder, "3.json", [seen("a", "in_progress", 8)])
-    assert [s for _, s, _ in run_changes(spark, folder, tmp_path)] == ["in_progress", "failed"]
+    assert [s for _, s, _ in run(spark, folder, tmp_path)] == ["in_progress", "failed"]
+
+
+def test_followed_status_equals_its_twin_on_a_busy_id(spark, tmp_path, small_limits):
+    folder = tmp_path / "in"
+    rows = [seen("hot" if i % 3 else f"k{i % 7}", "abc"[(i * i // 5) % 3], i) for i in range(120)]
+    for n in range(4):
+        drop(folder, f"{n}.json", rows[n * 30 : n * 30 + 30])
+        got = run_followed(spark, folder, tmp_path)
+    twin = status_changes(spark.read.schema(SEEN).json(str(folder)), F.lit(0), order=("ts",)).orderBy("id", "ts")
+    assert got == [(r["id"], r["status"], r["ts"]) for r in twin.collect()]
 
 
 def test_callback_gets_each_change_once_and_may_fail(spark, tmp_path):
