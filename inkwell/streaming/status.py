@@ -87,39 +87,41 @@ def follow_status(
     ``block`` must not decrease with ``ts``.
     """
 
-    def ended(column: str) -> Column:
-        return F.col(column).isin(*terminal) if terminal else F.lit(False)
+    def still_open(rows: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
+        """Rows no older than what is known of their id, unless that was terminal."""
+        last = known.select("id", F.col("status").alias("_status"), F.col("ts").alias("_ts"))
+        follows = F.col("ts") >= F.col("_ts")
+        if terminal:
+            follows = follows & ~F.col("_status").isin(*terminal)
+        return join_to_one(rows, last, ["id"], counts, "n").where(F.col("_ts").isNull() | follows)
+
+    def until_end(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """Rows up to the first terminal status of their id."""
+        ends = rows.where(F.col("status").isin(*terminal)).groupBy("id").agg(F.min("ts").alias("_end"))
+        return join_to_one(rows.select("id", "status", "ts"), ends, ["id"], counts, "n").where(
+            F.col("_end").isNull() | (F.col("ts") <= F.col("_end"))
+        )
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = written(batch.select("id", "status", "ts"), "seen")
-        before = f"{state}/epoch={epoch - 1}"
+        counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        before, known, live = f"{state}/epoch={epoch - 1}", None, rows
         if path_exists(spark, before):
             known = spark.read.schema(rows.schema).parquet(before)
-        else:
-            known = spark.createDataFrame([], rows.schema)
-        counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        last = known.select("id", F.col("status").alias("_status"), F.col("ts").alias("_ts"))
-        # Nothing older than what is known, and nothing after a terminal status.
-        going_on = join_to_one(rows, last, ["id"], counts, "n").where(
-            F.col("_ts").isNull() | (~ended("_status") & (F.col("ts") >= F.col("_ts")))
-        )
-        ends = going_on.where(ended("status")).groupBy("id").agg(F.min("ts").alias("_end"))
-        live = written(
-            join_to_one(going_on.select("id", "status", "ts"), ends, ["id"], counts, "n")
-            .where(F.col("_end").isNull() | (F.col("ts") <= F.col("_end")))
-            .select("id", "status", "ts"),
-            "live",
-        )
-        # What is known of an id stands ahead of its new rows.
-        start = known.join(counts.select("id"), "id", "left_semi").withColumn("_new", F.lit(0))
-        changes = status_changes(
-            start.unionByName(live.withColumn("_new", F.lit(1))), block, "id", ("ts", "_new")
-        )
-        changes.where("_new = 1").select("id", "status", "ts", "previous").write.mode("overwrite").parquet(
-            f"{out}/epoch={epoch}"
-        )
-        latest_by(known.unionByName(live), "id", ["ts"]).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+            live = still_open(live, counts, known)
+        if terminal:
+            live = until_end(live, counts)
+        if live is not rows:
+            live = written(live.select("id", "status", "ts"), "live")
+        ordered, newest = live.withColumn("_new", F.lit(1)), live
+        if known is not None:
+            # What is known of an id stands ahead of its new rows.
+            start = known.join(counts.select("id"), "id", "left_semi").withColumn("_new", F.lit(0))
+            ordered, newest = ordered.unionByName(start), newest.unionByName(known)
+        changes = status_changes(ordered, block, "id", ("ts", "_new")).where("_new = 1")
+        changes.select("id", "status", "ts", "previous").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        latest_by(newest, "id", ["ts"]).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
     writer = seen.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
