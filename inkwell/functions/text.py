@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ TEXT_MIME_EXTENSIONS = (
 ARCHIVE_MEMBER_LIMIT = 10 * 1024 * 1024
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sanitize(text: Column) -> Column:
     """Drop angle brackets and every unprintable character but newline, return and tab."""
     return F.regexp_replace(text, UNPRINTABLE, "")

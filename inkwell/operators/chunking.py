@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import SPACE, strip, word_count, words
+from inkwell.functions.text import SPACE, once, strip, word_count, words
 
 SENTENCE_END = f"(?<=[.!?])[{SPACE}]+"
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, also where a lambda inside uses it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def word_chunks(text: Column, max_words: int = 2000, overlap: int = 50) -> Column:
     """Windows of words as an array. Text within the limit stays untouched, spaces included."""
     if not 0 <= overlap < max_words:
@@ -26,7 +19,7 @@ def word_chunks(text: Column, max_words: int = 2000, overlap: int = 50) -> Colum
         starts = F.sequence(F.lit(0), F.size(split) - 1, F.lit(max_words - overlap))
         return F.transform(starts, lambda s: F.array_join(F.slice(split, s + 1, F.lit(max_words)), " "))
 
-    return F.when(word_count(text) <= max_words, F.array(text)).otherwise(_bind(words(text), windows))
+    return F.when(word_count(text) <= max_words, F.array(text)).otherwise(once(words(text), windows))
 
 
 def _units(text: Column, limit: int) -> Column:
@@ -82,7 +75,7 @@ def char_chunks(text: Column, max_chars: int = 4000, overlap: int = 200, drop_em
     if drop_empty:
         packed = F.filter(packed, lambda c: c != "")
     if overlap > 0:
-        packed = _bind(
+        packed = once(
             packed,
             lambda chunks: F.transform(
                 chunks,
