@@ -131,14 +131,14 @@ def scored(pairs: DataFrame, columns: list[str], function, ddl: str) -> DataFram
 
 
 def count_bins(k: int, bins: int):
-    def counts(scores, c_ids, own, rows, low, step):
+    def counts(scores, c_ids, own, rows, low, width):
         found: dict[str, list] = {"row": [], "bin": [], "n": []}
         for i, row in enumerate(rows):
-            if not step[i]:
+            if not width[i]:
                 continue  # its k-th score is known
             line = scores[i][~own[i]]
             offset = line - low[i]
-            inside = offset[(offset >= 0) & (offset < step[i] * bins)] // step[i]
+            inside = offset[(offset >= 0) & (offset < width[i])] // -(-width[i] // bins)
             # Below the bin where this block alone has k scores the k-th best cannot lie.
             values, n = np.unique(inside, return_counts=True)
             last = int(np.searchsorted(np.cumsum(n[::-1]), k)) + 1
@@ -190,13 +190,12 @@ def top_k(
     state = asked.join(longest, "dim").select(
         "row", (-beyond).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("above")
     )
-    state = written(state.withColumn("step", F.ceil((1 - 2 * F.col("low")) / bins).cast("bigint")), "bounds")
-    while True:
-        width = state.agg(F.max("step")).first()[0]
-        if width is None or width == 0:
-            break
-        pairs = grid(with_state(q_blocks, state, ["low", "step"]), c_blocks, n_queries, n_candidates)
-        counts = scored(pairs, ["low", "step"], count_bins(k, bins), "row bigint, bin bigint, n bigint")
+    # A query's k-th score lies in the ``width`` values from ``low`` up; ``above`` scores lie beyond them.
+    state = written(state.withColumn("width", 1 - 2 * F.col("low")), "bounds")
+    step = F.ceil(F.col("width") / bins).cast("bigint")
+    while state.agg(F.max("width")).first()[0]:
+        pairs = grid(with_state(q_blocks, state, ["low", "width"]), c_blocks, n_queries, n_candidates)
+        counts = scored(pairs, ["low", "width"], count_bins(k, bins), "row bigint, bin bigint, n bigint")
         totals = counts.groupBy("row", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("row").orderBy(F.desc("bin"))
         reached = totals.withColumn("_upto", F.sum("n").over(down)).join(state, "row")
@@ -204,13 +203,13 @@ def top_k(
             F.max_by(F.struct("bin", (F.col("_upto") - F.col("n")).alias("before")), "bin").alias("_hit")
         )
         # Queries with fewer than k others keep all of them: the lower end stays.
+        hit = F.col("_hit").isNotNull()
         state = written(
             state.join(first, "row", "left").select(
                 "row",
-                F.when(F.col("_hit").isNotNull(), F.col("low") + F.col("_hit.bin") * F.col("step")).otherwise(F.col("low")).alias("low"),
+                F.when(hit, F.col("low") + F.col("_hit.bin") * step).otherwise(F.col("low")).alias("low"),
                 (F.col("above") + F.coalesce("_hit.before", F.lit(0))).cast("bigint").alias("above"),
-                F.when(F.col("_hit").isNull() | (F.col("step") <= 1), F.lit(0))
-                .otherwise(F.ceil(F.col("step") / bins)).cast("bigint").alias("step"),
+                F.when(hit & (step > 1), step).otherwise(F.lit(0)).cast("bigint").alias("width"),
             ),
             "bounds",
         )
