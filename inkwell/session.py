@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ SETTINGS = {
 
 _fallback_folder: str | None = None
 _made: list[str] = []
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "inkwell", master: str | None = None, **extra: str) -> SparkSession:
@@ -34,7 +37,23 @@ def build_session(app_name: str = "inkwell", master: str | None = None, **extra:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='inkwell-')}/inkwell.zip"
+    with ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, f"{package.name}/{path.relative_to(package)}")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
 
 
 def work_folder(spark: SparkSession) -> str:
