@@ -21,9 +21,9 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
-def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], Sequence], ddl: str) -> DataFrame:
+def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], Sequence], ddl: str | StructType) -> DataFrame:
     """Apply ``function`` to slices of rows; it returns one list or Arrow array per column of ``ddl``."""
-    schema = schema_of(ddl)
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, packing, sharding, token_counts, topk
+from inkwell.llm import bpe, packing, secrets, sharding, token_counts, topk, toxicity
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(table(spark, sf_dir, "documents"), **PACKING)
+
+
+def not_held_out(key: str = "doc_id") -> Column:
+    """Rows whose labels may be learnt."""
+    return F.crc32(F.col(key).cast("string")) % 4 != 2
+
+
+@query()
+def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), not_held_out())
+    return toxicity.score(docs, model).select("doc_id", (~not_held_out()).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
