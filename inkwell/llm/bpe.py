@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
+from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import map_slices, parsed_tokenizer, shared_file
 
 #: Words a worker remembers; beyond that it starts anew, so memory is bounded.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 
 # The code points below which normalisation is lower-casing alone,
 # and the pattern by which the vocabulary file cuts words.
@@ -57,8 +59,8 @@ class PairIndex:
         found.append(self.vocab.get(piece[-1] + self.end))
         return [s for s in found if s is not None]
 
-    def encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each non-empty piece."""
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each non-empty piece, as 32-bit numbers."""
         symbol: list[int] = []
         first = []
         for piece in pieces:
@@ -75,6 +77,15 @@ class PairIndex:
                 places.setdefault(rank, []).append(at)
         active = list(places)
         heapq.heapify(active)
+
+        def add(rank: int, place: int) -> None:
+            if rank in places:
+                places[rank].append(place)
+            else:
+                places[rank] = [place]
+                heapq.heappush(active, rank)
+
+        rank_of = ranks.get
         while active:
             rank = heapq.heappop(active)
             left, right, merged = rules[rank]
@@ -84,31 +95,30 @@ class PairIndex:
                 if symbol[at] != left or symbol[here] != right:
                     continue  # a part was merged away meanwhile
                 if at < paused:
-                    if rank not in places:
-                        places[rank] = []
-                        heapq.heappush(active, rank)
-                    places[rank].append(at)
+                    add(rank, at)
                     continue
                 symbol[at], symbol[here] = merged, -2
                 then = after[here]
-                after[at], before[then] = then, at
                 ahead = before[at]
-                for place, pair in ((ahead, (symbol[ahead], merged)), (at, (merged, symbol[then]))):
-                    new = ranks.get(pair) if place >= 0 else None
-                    if new is not None:
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(active, new)
-                        places[new].append(place)
-                        if new < rank:  # goes first in this piece: the piece's later places wait
-                            paused = symbol.index(-1, at)
+                after[at], before[then] = then, at
+                lower = rank
+                new = rank_of((symbol[ahead], merged)) if ahead >= 0 else None
+                if new is not None:
+                    add(new, ahead)
+                    lower = new
+                new = rank_of((merged, symbol[then]))
+                if new is not None:
+                    add(new, at)
+                    lower = min(lower, new)
+                if lower < rank:  # goes first in this piece: the piece's later places wait
+                    paused = symbol.index(-1, at)
         out = []
         for start in first:
             ids, at = [], start
             while symbol[at] != -1:
                 ids.append(symbol[at])
                 at = after[at]
-            out.append(tuple(ids))
+            out.append(array("i", ids).tobytes())
         return out
 
 
@@ -126,8 +136,8 @@ class WordCodec:
         self.index = PairIndex(bpe["vocab"], merges, bpe["end_of_word_suffix"] or "")
         self.names = {i: t for t, i in bpe["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, word: str) -> list[str]:
         """Pre-tokens of a word, in byte letters."""
@@ -144,21 +154,25 @@ class WordCodec:
         """Encode words that are not known yet, all through one index."""
         if len(self.known) > REMEMBERED:
             self.known = {}
+        plain = {w: w.lower() for w in words if w.isalpha() and w.isascii()}  # one piece each
         cut = {}
-        for word in words:
+        for word in words - plain.keys():
             parts = self.cut.split(word) if self.cut else [word]
             cut[word] = [p if p in self.special else self.pieces(p) for p in parts if p]
         new = {p for parts in cut.values() for part in parts if not isinstance(part, str) for p in part}
+        new.update(plain.values())
         new = list(new - self.known.keys())
         self.known.update(zip(new, self.index.encode(new)))
+        ids_of = self.known.__getitem__
+        self.words.update(zip(plain, map(ids_of, plain.values())))
         for word, parts in cut.items():
-            self.words[word] = tuple(chain.from_iterable(
-                (self.special[part],) if isinstance(part, str) else chain.from_iterable(map(self.known.get, part))
+            self.words[word] = b"".join(
+                array("i", [self.special[part]]).tobytes() if isinstance(part, str) else b"".join(map(ids_of, part))
                 for part in parts
-            ))
+            )
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; NULL is the empty text."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as 32-bit numbers; NULL is the empty text."""
         split = [SPACES.split(t) if t and SEPARATORS.search(t) else (t or "").split() for t in texts]
         needed = set(chain.from_iterable(split))
         needed.discard("")
@@ -166,9 +180,9 @@ class WordCodec:
             self.words = {w: self.words[w] for w in needed & self.words.keys()}
         self.learn(needed - self.words.keys())
         ids_of = self.words.__getitem__
-        return [list(chain.from_iterable(map(ids_of, filter(None, s)))) for s in split]
+        return [b"".join(map(ids_of, filter(None, s))) for s in split]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Tokens joined by blanks, special ones too: the file has no decoder. Ids outside the vocabulary are left out."""
         names = self.names
         try:
@@ -182,12 +196,10 @@ def codec(content: bytes) -> WordCodec:
     return WordCodec(content)
 
 
-def id_lists(lists: list[list[int]]) -> pa.Array:
+def id_lists(lists: list[bytes]) -> pa.Array:
     """Lists of ids as an Arrow array of lists."""
-    offsets = [0]
-    for ids in lists:
-        offsets.append(offsets[-1] + len(ids))
-    flat = pa.array(chain.from_iterable(lists), pa.int32(), size=offsets[-1])
+    offsets = [0, *accumulate(len(ids) // 4 for ids in lists)]
+    flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(lists))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
@@ -224,7 +236,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batch: pa.RecordBatch):
         one = codec(content.value)
         ids = one.encode(batch.column(1).to_pylist())
-        return batch.column(0), id_lists(ids), [one.decode(x) for x in ids]
+        return batch.column(0), id_lists(ids), [one.decode(memoryview(x).cast("i")) for x in ids]
 
     return map_slices(narrow(docs, key, text), run, f"{key} {kind(docs, key)}, ids array<int>, decoded string")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, packing, secrets, sharding, token_counts, topk, toxicity
+from inkwell.llm import bpe, packing, quality, secrets, sharding, token_counts, topk, toxicity
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,79 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_sql(rules: quality.Rules) -> str:
+    """The rules of ``quality.judge`` over the lists of each document."""
+    known = quality.vocabulary()
+    languages = ", ".join(f"'{n}'" for n in quality.COMMON_WORDS)
+    left, classes = "j", []
+    for pattern in quality.CLASSES.values():
+        quoted = pattern.replace("'", "''")
+        rest = f"regexp_replace({left}, '{quoted}', '', 'g')"
+        classes.append(f"length({left}) - length({rest})")
+        left = rest
+    classes.append(f"length({left})")
+    words = "list_concat(common, [n_words - list_sum(common)])"
+
+    def sums(column: str, n: int) -> str:
+        return "[" + ", ".join(f"sum({column}[{i + 1}])" for i in range(n)) + "]"
+
+    def reference(name: str, rows: str) -> str:
+        return f"""{name} as (
+            select list_transform(c, lambda x: x / list_sum(c)) as cs, list_transform(v, lambda x: x / list_sum(v)) as vs
+            from (select {sums("classes", len(classes))} as c, {sums("all_words", len(known) + 1)} as v from {rows}
+                  where lang in ({languages}) group by lang having sum(n_words) > 0)
+        )"""
+
+    def distance(counts: str, total: str, shares: str) -> str:
+        def half(p: str, q: str) -> str:
+            return f"(case when {p} > 0 then {p} * log2(2 * {p} / ({p} + {q})) else 0 end)"
+
+        both = f"{half('z.p', 'z.q')} + {half('z.q', 'z.p')}"
+        return f"""sqrt(greatest(list_sum(list_transform(
+            list_transform(list_zip({counts}, {shares}), lambda y: {{'p': y[1] / greatest({total}, 1), 'q': y[2]}}), lambda z: {both})) / 2, 0))"""
+
+    def judged(name: str, rows: str, references: str) -> str:
+        return f"""{name} as (
+            select r.*, (select min({distance("r.classes", "r.word_chars", "k.cs")}) from {references} k) as cd,
+                   (select min({distance("r.all_words", "r.n_words", "k.vs")}) from {references} k) as wd from {rows} r
+        )"""
+
+    strange = f"""coalesce(word_chars >= {rules.least_chars} and cd > {rules.classes} + {rules.allowance} / sqrt(greatest(word_chars, 1))
+        or n_words >= {rules.least_words} and wd > {rules.words}, false)"""
+    return rf"""with cut as materialized (
+            select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(t, '[^ 	-
+]+') as w, array_to_string(w, '') as j,
+                   list_filter(w, lambda x: x in ({", ".join(f"'{w}'" for w in known)})) as cw,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as lines
+            from documents
+        ), windows as (
+            select doc_id, i, count(*) over (partition by doc_id, s) as n
+            from (select doc_id, unnest(v) as s, generate_subscripts(v, 1) as i
+                  from (select doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as v from cut))
+        ), covered as (
+            select doc_id, count(distinct k) as n_repeat_words
+            from (select doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) as k from windows where n > 1) group by doc_id
+        ), base as materialized (
+            select doc_id, lang, len(w) as n_words, length(j) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+                   len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+                   [{", ".join(classes)}] as classes,
+                   list_transform({known}, lambda v: len(list_filter(cw, lambda x: x = v))) as common, {words} as all_words
+            from cut left join covered using (doc_id)
+        ), measured as materialized (
+            select *, n_words < {quality.LEAST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words as base_failed from base
+        ), {reference("crude", "measured")}, {judged("first", "measured", "crude")},
+        trimmed as (select * from first where not base_failed and not {strange}),
+        {reference("known", "trimmed")}, {judged("last", "measured", "known")}
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and not {strange} as kept from last"""
+
+
+@query(quality_sql(quality.Rules()))
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 @query(
     """with rows as (
            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
