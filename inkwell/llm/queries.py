@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, packing, quality, secrets, sharding, token_counts, topk, toxicity
+from inkwell.llm import bpe, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,13 @@ def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+#: Key of the surrogates here; a deployment keeps its own.
+SURROGATE_SECRET = "surrogates-of-the-corpus"
+
+
+@query()
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_SECRET).select("doc_id", "n_entities", "text")
