@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
+from inkwell.llm import bpe, jaccard, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,8 @@ SURROGATE_SECRET = "surrogates-of-the-corpus"
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, SURROGATE_SECRET).select("doc_id", "n_entities", "text")
+
+
+@query()
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
