@@ -48,6 +48,10 @@ class Rules:
     least_words: int = 150
 
 
+#: Shares of classes and of common words, by language.
+References = dict[str, tuple[list[float], list[float]]]
+
+
 def vocabulary() -> list[str]:
     return sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 
@@ -126,37 +130,40 @@ def common_counts(words: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, key: str, text: str, lang: str | None) -> DataFrame:
-    """Base measures and both histograms of every text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    language = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
-    cut = docs.select(
-        F.col(key).alias("_id"),
-        language.alias("_lang"),
-        F.regexp_count(body, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
-        duplicate_lines(body).alias("n_dup_lines"),
-        bind(
-            words_of(body),
-            lambda w: F.struct(
+def measured(body: Column) -> Column:
+    """Base measures and both histograms of a text, as one struct."""
+
+    def of_words(w: Column) -> Column:
+        return bind(
+            F.array_join(w, ""),
+            lambda j: F.struct(
                 F.size(w).cast("bigint").alias("n_words"),
+                F.length(j).cast("bigint").alias("word_chars"),
+                F.regexp_count(body, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
+                duplicate_lines(body).alias("n_dup_lines"),
                 repeated_words(w).alias("n_repeat_words"),
                 common_counts(w).alias("common"),
-                bind(F.array_join(w, ""), lambda j: F.struct(F.length(j).cast("bigint").alias("n"), class_counts(j).alias("classes"))).alias("chars"),
+                class_counts(j).alias("classes"),
             ),
-        ).alias("_m"),
-    )
-    return cut.select(
-        "_id", "_lang", F.col("_m.n_words"), F.col("_m.chars.n").alias("word_chars"), "n_symbols", "n_dup_lines",
-        F.col("_m.n_repeat_words"), F.col("_m.common"), F.col("_m.chars.classes"),
-    )
+        )
+
+    return bind(words_of(body), of_words)
+
+
+def measures(docs: DataFrame, key: str | None, text: str, lang: str | None) -> DataFrame:
+    """``_id, _lang, _m`` of every row, written."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    language = F.col(lang) if lang else F.lit(None)
+    names = [F.col(key).alias("_id")] if key else []
+    return written(docs.select(*names, language.cast("string").alias("_lang"), measured(body).alias("_m")), "quality")
 
 
-def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(rows: DataFrame) -> References:
     """Shares by language: classes, and common words with all others last. One row per language of the word lists."""
-    sums = measured.where(F.col("_lang").isin(*COMMON_WORDS)).groupBy("_lang").agg(
-        F.sum("n_words").alias("n"),
-        *[F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(vocabulary()))],
-        *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
+    sums = rows.where(F.col("_lang").isin(*COMMON_WORDS)).groupBy("_lang").agg(
+        F.sum("_m.n_words").alias("n"),
+        *[F.sum(F.col("_m.common")[i]).alias(f"w{i}") for i in range(len(vocabulary()))],
+        *[F.sum(F.col("_m.classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
     )
     found = {}
     for r in sums.collect():
@@ -168,6 +175,12 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return found
 
 
+def trimmed_references(rows: DataFrame, rules: Rules) -> References:
+    """References of all documents are drawn towards junk; those of what they accept are not."""
+    m, first = F.col("_m"), references(rows)
+    return references(rows.where(~base_failed(m) & ~strange(m, first, rules)))
+
+
 def divergence(counts: Column, total: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of counts from reference shares."""
     shares = F.array(*map(F.lit, reference))
@@ -179,48 +192,60 @@ def divergence(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", rules: Rules = Rules()) -> DataFrame:
-    """``key``, the base measures, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``, one row per row.
-
-    Distances are the least over the languages with a reference; NULL without
-    any, and a text below the minimum length or without a reference is judged by
-    the base rules alone. ``lang`` only chooses whose documents make up which
-    reference; NULL and unknown languages make up none. NULL and empty texts
-    have no words and fail. Equal rows stay; other columns, whatever their
-    names, are not read.
-    """
-    measured = written(measures(docs, key, text, lang), "quality")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    # References of all documents are drawn towards junk; those of what they accept are not.
-    first = measured.where(~failed).select("*", *distances(references(measured)))
-    known = references(first.where(~strange(rules)))
-    judged = measured.select("*", failed.alias("base_failed"), *distances(known))
-    return judged.select(
-        F.col("_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", (~F.col("base_failed") & ~strange(rules)).alias("kept"),
-    )
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
 
 
-def distances(known: dict[str, tuple[list[float], list[float]]]) -> list[Column]:
-    """The least distances over the references, NULL without any."""
+def distances(m: Column, known: References) -> tuple[Column, Column]:
+    """The least class and word distances over the references, NULL without any."""
 
     def least(found: list[Column]) -> Column:
         return F.least(*found) if len(found) > 1 else (found or [F.lit(None).cast("double")])[0]
 
-    rest = F.col("n_words") - F.aggregate("common", F.lit(0).cast("bigint"), lambda a, n: a + n)
-    words = F.concat("common", F.array(rest))
-    chars, some = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    return [
-        least([divergence(F.col("classes"), chars, c) for c, _ in known.values()]).alias("class_distance"),
-        least([divergence(words, some, w) for _, w in known.values()]).alias("word_distance"),
-    ]
+    rest = m["n_words"] - F.aggregate(m["common"], F.lit(0).cast("bigint"), lambda a, n: a + n)
+    words = F.concat(m["common"], F.array(rest))
+    chars, some = F.greatest(m["word_chars"], F.lit(1)), F.greatest(m["n_words"], F.lit(1))
+    return (
+        least([divergence(m["classes"], chars, c) for c, _ in known.values()]),
+        least([divergence(words, some, w) for _, w in known.values()]),
+    )
 
 
-def strange(rules: Rules) -> Column:
+def strange(m: Column, known: References, rules: Rules) -> Column:
     """Long enough to judge, and far from every reference."""
+    classes, words = distances(m, known)
+    bound = rules.classes + rules.allowance / F.sqrt(F.greatest(m["word_chars"], F.lit(1)))
     return F.coalesce(
-        (F.col("word_chars") >= rules.least_chars)
-        & (F.col("class_distance") > rules.classes + rules.allowance / F.sqrt(F.greatest("word_chars", F.lit(1))))
-        | (F.col("n_words") >= rules.least_words) & (F.col("word_distance") > rules.words),
+        (m["word_chars"] >= rules.least_chars) & (classes > bound)
+        | (m["n_words"] >= rules.least_words) & (words > rules.words),
         F.lit(False),
     )
+
+
+def judge(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", rules: Rules = Rules()
+) -> DataFrame:
+    """``key``, the base measures, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``, one row per row.
+
+    Distances are the least over the languages with a reference; NULL without
+    any, and a text below the minimum length or without a reference is judged by
+    the base rules alone. ``lang`` only chooses whose documents make up which
+    reference; NULL and unknown languages make up none. NULL and empty texts
+    have no words and fail. Equal rows stay; other columns, whatever their
+    names, are not read.
+    """
+    rows, m = measures(docs, key, text, lang), F.col("_m")
+    known = trimmed_references(rows, rules)
+    classes, words = distances(m, known)
+    return rows.select(
+        F.col("_id").alias(key), *[m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base_failed(m).alias("base_failed"), classes.alias("class_distance"), words.alias("word_distance"),
+        (~base_failed(m) & ~strange(m, known, rules)).alias("kept"),
+    )
+
+
+def keep(docs: DataFrame, text: str = "text", lang: str | None = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The rows, with all their columns, that ``judge`` would keep; texts are measured again instead of moved."""
+    known = trimmed_references(measures(docs, None, text, lang), rules)
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.where(bind(measured(body), lambda m: ~base_failed(m) & ~strange(m, known, rules)))
