@@ -96,6 +96,6 @@ def length_buckets(
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_length")), F.lit(1))
     return spots.select(
         key, "piece", "first_token", "n_tokens", "bucket_length",
-        F.floor(F.col("_spot") / room).cast("bigint").alias("batch_no"),
+        F.when(F.col("bucket_length").isNotNull(), F.floor(F.col("_spot") / room)).cast("bigint").alias("batch_no"),
         F.when(F.col("bucket_length").isNotNull(), F.col("_spot") % room).cast("int").alias("place"),
     )

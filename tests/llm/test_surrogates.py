@@ -1,0 +1,109 @@
+"""Surrogates: types, formats, coreference, distinctness."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkwell.llm import surrogates
+
+
+def replaced(spark, texts, secret="key"):
+    docs = spark.createDataFrame([(i, t, "?") for i, t in enumerate(texts)], "doc_id long, text string, n_entities string")
+    return [(r["text"], r["n_entities"]) for r in surrogates.replace_entities(docs, secret).orderBy("doc_id").collect()]
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(re.sub(r"\D", "", number))):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def shape(text):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text)))
+
+
+def test_types_and_formats(spark):
+    texts = [
+        "+1 (743) 555-3824", "743-555-3824", "bob.lee42@mail.foo.co", "108.51.216.133", "10.20.30.40", "078-05-1120",
+        "4111 1111 1111 1111", "4465758382889437", "DE89 3704 0044 0532 0130 00",
+    ]
+    got = replaced(spark, texts)
+    assert all(n == 1 and new != old for (new, n), old in zip(got, texts))
+    new = [g[0] for g in got]
+    for i in (0, 1, 5, 6, 7, 8):
+        assert shape(new[i]).replace("A", "0") == shape(texts[i]).replace("A", "0")
+    assert new[0].startswith("+1 (") and re.sub(r"\D", "", new[0])[1:] == re.sub(r"\D", "", new[1])
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d{2}@[a-z]{4}\.example\.(com|net|org)", new[2])
+    assert re.fullmatch(r"\d+\.\d+\.\d+\.\d+", new[3]) and new[4].startswith("10.")
+    assert luhn(new[6]) and luhn(new[7]) == luhn(texts[7]) and new[6][0] == "4"
+
+
+def test_names_keep_gender_script_and_tokens(spark):
+    got = [t for t, _ in replaced(spark, ["Mr. John Smith met Mrs Anna-Maria Smith.", "Frau Smith und Herr John Smith", "Господин Иван Петров", "Κυρία Μαρία"])]
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+)-(\w+) (\w+)\.", got[0])
+    assert one and one[2] == one[5] and one[3] != one[4]
+    assert one[1].lower().endswith(surrogates.SCRIPTS["Latin"][2]) and one[3].lower().endswith(surrogates.SCRIPTS["Latin"][3])
+    assert got[1] == f"Frau {one[2]} und Herr {one[1]} {one[2]}"
+    assert re.fullmatch(r"Господин [А-Я][а-я]+ [А-Я][а-я]+", got[2]) and "Иван" not in got[2]
+    assert re.fullmatch(r"Κυρία [Α-Ω][α-ωςάέήίόύώ]+", got[3])
+
+
+def test_same_key_same_surrogates(spark):
+    texts = ["call 743-555-3824 now", "or (743) 555-3824", "BOB@FOO.COM bob@foo.com ann@foo.com"]
+    first, again, other = replaced(spark, texts), replaced(spark, texts[::-1]), replaced(spark, texts, "another")
+    assert first == again[::-1] and first != other
+    a, b, c = first[2][0].split(" ")
+    assert a == b.upper() and b.split("@")[1] == c.split("@")[1] and b != c
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    # Two digits only: fifty of the ninety numbers are entities, and surrogates must be none of them and differ.
+    entities = spark.createDataFrame([("phone", str(n)) for n in range(10, 50)], "type string, canon string")
+    again = {(r["type"], r["canon"]): r["attempt"] for r in surrogates.redrawn(entities, "key").collect()}
+    assert again and all(n > 0 for n in again.values())
+    rows = entities.collect()
+    df = spark.createDataFrame([(r["type"], r["canon"], again.get(tuple(r), 0)) for r in rows], "type string, canon string, attempt int")
+    made = [r[0] for r in df.select(surrogates.surrogate(F.col("type"), F.col("canon"), F.col("attempt"), "key")).collect()]
+    assert len(set(made)) == len(rows) and not set(made) & {r["canon"] for r in rows}
+
+
+def test_redrawn_surrogates_reach_the_texts(spark, monkeypatch):
+    real = surrogates.redrawn
+
+    def all_again(entities, secret):
+        return entities.withColumn("attempt", F.lit(3))
+
+    texts = ["call 743-555-3824 now", "nothing here", "Mr. John Smith", None]
+    plain = replaced(spark, texts)
+    monkeypatch.setattr(surrogates, "redrawn", all_again)
+    other = replaced(spark, texts)
+    monkeypatch.setattr(surrogates, "redrawn", real)
+    assert [n for _, n in plain] == [n for _, n in other] == [1, 0, 1, 0]
+    assert plain[0] != other[0] and plain[2] != other[2] and plain[1] == other[1] and other[3] == (None, 0)
+
+
+@pytest.mark.parametrize("text", ["1.2.3.4.5", "2020-01-02 10:30", "v12345 1234567", "a@b", "Mr Smithson1", "x" * 5000, "word" * 3000 + "@", ""])
+def test_clean_texts_stay(spark, text):
+    assert replaced(spark, [text]) == [(text, 0)]
+
+
+def test_odd_rows_and_columns(odd, none):
+    got = surrogates.replace_entities(odd, "key")
+    assert got.columns == [*odd.columns, "n_entities"] and got.count() == odd.count()
+    assert surrogates.replace_entities(none, "key").count() == 0
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_documents_lose_their_entities(documents):
+    got = surrogates.replace_entities(documents, "key").join(documents.select("doc_id", F.col("text").alias("old")), "doc_id").collect()
+    pattern = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)")
+    seen = 0
+    for r in got:
+        old = pattern.findall(r["old"])
+        seen += len(old)
+        assert not any(x in r["text"] for x in old)
+        assert r["n_entities"] or r["text"] == r["old"]
+    assert seen
