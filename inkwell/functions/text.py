@@ -18,10 +18,10 @@ CODE_EXTENSIONS = ("js", "html", "css", "json", "ts", "jsx", "tsx")
 ARCHIVE_EXTENSIONS = (
     "txt", "py", "js", "html", "css", "json", "md", "xml", "csv", "docx", "pdf", "c", "cpp", "java",
 )
-# The extensions Python's mimetypes module maps to text/*.
+# The extensions that the mimetypes module of Python 3.13 maps to text/*.
 TEXT_MIME_EXTENSIONS = (
-    "bat", "c", "css", "csv", "etx", "h", "htm", "html", "js", "ksh", "md", "mjs", "n3", "pl", "py", "rtx", "sgm",
-    "sgml", "srt", "tsv", "txt", "vcf", "vtt", "xml",
+    "bat", "c", "css", "csv", "etx", "h", "htm", "html", "js", "ksh", "markdown", "md", "mjs", "n3", "pl", "py", "rst",
+    "rtf", "rtx", "sgm", "sgml", "srt", "tsv", "txt", "vcf", "vtt", "xml",
 )
 ARCHIVE_MEMBER_LIMIT = 10 * 1024 * 1024
 

@@ -19,13 +19,23 @@ def poll_interval_seconds(interval: Column) -> Column:
 ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
+ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def parse_time(value: Column) -> Column:
-    """ISO text or epoch seconds as a timestamp; NULL where neither."""
-    epoch = F.timestamp_seconds(F.when(value.rlike(r"^\d{1,12}$"), value).try_cast("bigint"))
-    day = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T00:00:00Z")))
-    moment = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), value)
-    zoned = F.when(moment.rlike(ZONE), moment).otherwise(F.concat(moment, F.lit("Z")))
-    return F.coalesce(epoch, F.try_to_timestamp(F.coalesce(day, zoned)))
+    """ISO text, extended or compact, or epoch seconds (9 digits or more) as a timestamp; NULL where neither.
+
+    A part of the clock that is left out is 0.
+    """
+    epoch = F.timestamp_seconds(F.when(value.rlike(r"^\d{9,12}$"), value).try_cast("bigint"))
+
+    def part(n: int, otherwise: str) -> Column:
+        found = F.regexp_extract(value, ISO, n)
+        return F.when(found == "", otherwise).otherwise(found)
+
+    clock = F.concat(part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), F.translate(part(7, ""), ",", "."))
+    iso = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit("T"), clock, part(8, "Z"))
+    return F.coalesce(epoch, F.try_to_timestamp(F.when(value.rlike(ISO), iso)))
 
 
 def utc_clock(moment: Column) -> Column:

@@ -39,14 +39,18 @@ def dedup_groups(prompts: DataFrame) -> DataFrame:
 
 
 def unique_prompts(prompts: DataFrame) -> DataFrame:
-    """First copy of each text: ``idx, hash, text``. Copies fold together before the shuffle."""
-    first = F.min(F.struct("idx", "text")).alias("first")
-    return (
-        prompts.select("idx", "text", content_hash(F.col("text")).alias("hash"))
-        .groupBy("hash")
-        .agg(first)
-        .select("first.idx", "hash", "first.text")
-    )
+    """First copy of each text: ``idx, hash, text``. A prompt without text is left out, as in ``dedup_groups``.
+
+    The first copies are found on hashes; the texts move once, to meet them.
+    """
+    first = dedup_groups(prompts).select(F.col("first_idx").alias("idx"), "hash")
+    rows = prompts.select("idx", content_hash(F.col("text")).alias("hash"), "text")
+    return rows.join(first, ["idx", "hash"], "left_semi").select("idx", "hash", "text")
+
+
+def missing_prompts(prompts: DataFrame) -> DataFrame:
+    """``prompts``: how many have no text and so take no part in de-duplication."""
+    return prompts.where(F.col("text").isNull()).agg(F.count(F.lit(1)).alias("prompts"))
 
 
 def dedup_links(prompts: DataFrame) -> DataFrame:

@@ -116,12 +116,26 @@ def table_text(
     )
 
 
-def archive_members(manifest: DataFrame) -> DataFrame:
-    """Members worth reading, with the type they are read as: at most 10 MiB and text by name."""
-    name = base_name(F.col("rel_path"))
-    return manifest.where(
-        (F.col("size") <= ARCHIVE_MEMBER_LIMIT) & (name != "archive.zip") & member_is_text(F.col("rel_path"))
-    ).select("*", member_type(F.col("rel_path")).alias("file_type"), F.lit(True).alias("from_zip"))
+def member_verdicts(manifest: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT) -> DataFrame:
+    """All members with ``skipped``: why one is not read, NULL for those that are.
+
+    A member above ``limit`` bytes, one of unknown size, one that is not text by
+    name and the archive itself are skipped.
+    """
+    path, size = F.col("rel_path"), F.col("size")
+    return manifest.withColumn(
+        "skipped",
+        F.when(path.isNull(), "no name").when(base_name(path) == "archive.zip", "the archive itself")
+        .when(~member_is_text(path), "not text by name").when(size.isNull(), "size unknown")
+        .when(size > limit, "too large"),
+    )
+
+
+def archive_members(manifest: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT) -> DataFrame:
+    """Members worth reading, with the type they are read as. What is left out is in ``member_verdicts``."""
+    return member_verdicts(manifest, limit).where(F.col("skipped").isNull()).drop("skipped").select(
+        "*", member_type(F.col("rel_path")).alias("file_type"), F.lit(True).alias("from_zip")
+    )
 
 
 def _blocked(

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.groups import position_in_group, running_before
+from inkwell.operators.groups import running_before
 
 # What the service lets through per minute.
 TOKENS_PER_MINUTE = 60_000
@@ -41,136 +39,3 @@ def rate_usage(
     over = (F.col("tokens") > token_limit) | (F.col("requests") > request_limit)
     return used.select(*keys, F.col("_w.start").alias("minute"), "tokens", "requests", over.alias("over_limit"))
 
-
-# -- admission plan ------------------------------------------------------------
-#
-# Requests of a key are packed greedily into minutes, so where a minute starts
-# depends on all requests before it. A minute holds at most ``request_limit``
-# requests, so the first minute start inside a piece of the sequence lies within
-# its first ``request_limit`` rows. Each piece can thus be solved for all those
-# starts at once, by itself, as a short table "entered here -> next piece entered
-# there, so many minutes on"; following one row per piece then fixes the real
-# starts, and the pieces are numbered in parallel.
-
-
-def _minute_ends(tokens: np.ndarray, token_limit: int, request_limit: int) -> np.ndarray:
-    """For each row, the first row that no longer fits in a minute starting there."""
-    total = np.concatenate(([0], np.cumsum(tokens)))
-    ends = np.searchsorted(total, total[:-1] + token_limit, side="right") - 1
-    return np.minimum(ends, np.arange(len(tokens)) + request_limit)
-
-
-def _entry_tables(piece_rows: int, token_limit: int, request_limit: int, keys: Sequence[str]):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        piece = int(pdf["piece"].iloc[0])
-        own = int((pdf["pos"] < (piece + 1) * piece_rows).sum())
-        ends = _minute_ends(pdf["tokens"].to_numpy(np.int64), token_limit, request_limit).tolist()
-        leaves, minutes = [0] * own, [0] * own
-        for i in range(own - 1, -1, -1):
-            if ends[i] >= own:
-                leaves[i], minutes[i] = ends[i] - own, 1
-            else:
-                leaves[i], minutes[i] = leaves[ends[i]], minutes[ends[i]] + 1
-        kept = min(own, request_limit)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "piece": piece, "leaves": leaves[:kept], "minutes": minutes[:kept]}])
-
-    return solve
-
-
-def _follow(keys: Sequence[str]):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece")
-        entry, minute, out = 0, 0, []
-        for row in pdf.itertuples(index=False):
-            out.append((row.piece, entry, minute))
-            if entry < len(row.leaves):  # else the last minute runs past this piece
-                entry, minute = row.leaves[entry], minute + row.minutes[entry]
-        placed = pd.DataFrame(out, columns=["piece", "entry", "first_minute"])
-        for k in keys:
-            placed[k] = pdf[k].iloc[0]
-        return placed
-
-    return walk
-
-
-def _number(keys: Sequence[str], columns: Sequence[str], token_limit: int, request_limit: int):
-    """Numbers the minutes of sorted pieces as they stream by; nothing but the open minute is held."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, sent, minute = None, 0, 0, 0
-        for frame in frames:
-            minutes = []
-            piece_keys = zip(*[frame[k] for k in [*keys, "piece"]])
-            entries = zip(frame["pos"], frame["own_start"], frame["first_minute"])
-            for key, (pos, start, first), tokens in zip(piece_keys, entries, frame["tokens"]):
-                if key != current:
-                    current, used, sent, minute = key, token_limit, request_limit, first - 1
-                # Rows ahead of the piece's first own minute end the minute before.
-                if pos >= start:
-                    if used + tokens > token_limit or sent >= request_limit:
-                        used, sent, minute = 0, 0, minute + 1
-                    used, sent = used + tokens, sent + 1
-                minutes.append(minute)
-            yield frame.assign(minute=minutes)[list(columns)]
-
-    return run
-
-
-def admission_plan(
-    requests: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column,
-    token_limit: int = TOKENS_PER_MINUTE,
-    request_limit: int = REQUESTS_PER_MINUTE,
-    piece_rows: int = 4_000_000,
-) -> DataFrame:
-    """Add ``minute``: the minute, from 0, each request of its key can go out in.
-
-    Requests have ``tokens``. One above the token limit can never go: its minute
-    is NULL and it takes no room. Only keys of more than one piece need the entry
-    tables, and no task holds more than one piece of a key.
-    """
-    if piece_rows < request_limit:
-        raise ValueError("a piece must hold at least one full minute of requests")
-    kept = list(dict.fromkeys([*keys, *order, "tokens"]))
-    narrow = requests.select(*kept)
-    fitting = narrow.where(F.col("tokens") <= token_limit)
-    placed = position_in_group(fitting, keys, order, block, "pos").withColumn(
-        "piece", F.floor(F.col("pos") / F.lit(piece_rows)).cast("bigint")
-    )
-    several = (
-        fitting.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select(*keys)
-    )
-    # The head of a piece is also the tail of the one before, to finish its last minute.
-    head = (F.col("pos") % F.lit(piece_rows) < request_limit) & (F.col("piece") > 0)
-    pieces = F.when(head, F.array(F.col("piece"), F.col("piece") - 1)).otherwise(F.array("piece"))
-    overlapped = placed.join(several, list(keys), "left_semi").withColumn("piece", F.explode(pieces))
-
-    def typed(names: Sequence[str]) -> str:
-        return ", ".join(f"{n} {placed.schema[n].dataType.simpleString()}" for n in names)
-
-    tables = overlapped.select(*keys, "piece", "pos", "tokens").groupBy(*keys, "piece").applyInPandas(
-        _entry_tables(piece_rows, token_limit, request_limit, keys),
-        f"{typed(keys)}, piece bigint, leaves array<int>, minutes array<bigint>",
-    )
-    # One row of at most request_limit numbers per piece of millions of requests.
-    path = tables.groupBy(*keys).applyInPandas(
-        _follow(keys), f"piece bigint, entry bigint, first_minute bigint, {typed(keys)}"
-    )
-    started = placed.join(path, [*keys, "piece"], "left").select(
-        *kept, "piece", "pos",
-        (F.col("piece") * piece_rows + F.coalesce("entry", F.lit(0))).alias("own_start"),
-        F.coalesce("first_minute", F.lit(0)).alias("first_minute"),
-    )
-    numbered = (
-        started.repartition(*keys, "piece")
-        .sortWithinPartitions(*keys, "piece", "pos")
-        .mapInPandas(
-            _number(keys, [*kept, "minute"], token_limit, request_limit), f"{typed(kept)}, minute bigint"
-        )
-    )
-    rejected = narrow.where(F.col("tokens") > token_limit).withColumn("minute", F.lit(None).cast("bigint"))
-    return numbered.unionByName(rejected)

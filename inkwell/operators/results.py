@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.answers import parse_structured
+from inkwell.functions.text import strip
 from inkwell.schemas import ERROR_LINE, RESULT_LINE
 
 
@@ -61,7 +62,7 @@ def parse_lines(lines: DataFrame, schema=RESULT_LINE, value: str = "value") -> D
     """JSON lines to columns; blank lines are skipped and a bad line raises."""
     extra = [c for c in lines.columns if c != value]
     record = F.from_json(value, schema, {"mode": "FAILFAST"})
-    return lines.where(F.trim(value) != "").select(*extra, record.alias("_r")).select(*extra, "_r.*")
+    return lines.where(strip(F.col(value)) != "").select(*extra, record.alias("_r")).select(*extra, "_r.*")
 
 
 def parse_result_lines(lines: DataFrame, service_status: Column | None = None) -> DataFrame:

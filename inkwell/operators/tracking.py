@@ -274,21 +274,35 @@ def delete_batches(current: DataFrame, ids: DataFrame) -> DataFrame:
 def status_changes(
     seen: DataFrame, block: Column, key: str = "id", order: Sequence[str] = ("ts",), status: str = "status"
 ) -> DataFrame:
-    """Rows whose status differs from the one before, the first of each id included."""
-    with_previous = previous_in_group(seen, [key], order, status, block, "previous")
-    return with_previous.where(F.col("previous").isNull() | (F.col("previous") != F.col(status)))
+    """Rows whose status differs from the one before, the first of each id included. NULL is a status like others."""
+    # As a struct, a NULL status differs from there being no row before.
+    seen = seen.withColumn("_entry", F.struct(F.col(status).alias("status")))
+    with_previous = previous_in_group(seen, [key], order, "_entry", block, "_before").drop("_entry")
+    previous = F.col("_before.status")
+    changed = with_previous.where(F.col("_before").isNull() | ~previous.eqNullSafe(F.col(status)))
+    return changed.withColumn("previous", previous).drop("_before")
 
 
 def poll_timeouts(
-    seen: DataFrame, as_of: Column, timeout_minutes: int = 1440, key: str = "id", status: str = "status", ts: str = "ts"
+    seen: DataFrame,
+    as_of: Column,
+    timeout_minutes: int = 1440,
+    key: str = "id",
+    status: str = "status",
+    ts: str = "ts",
+    sequence: str | None = None,
 ) -> DataFrame:
     """Per id: first and last sighting, last status, and whether polling has run out.
 
     Polling runs out when the last status is not terminal and more than the
     timeout has passed since the first sighting. A missing status is ``unknown``.
+    Of sightings at one time the last by ``sequence`` counts, without one the
+    greatest status.
     """
     last = seen.groupBy(key).agg(
-        F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.max_by(status, ts).alias("_status")
+        F.min(ts).alias("first_seen"),
+        F.max(ts).alias("last_seen"),
+        F.max_by(status, F.struct(ts, sequence or status)).alias("_status"),
     )
     waited = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))
     final = F.coalesce("_status", F.lit("unknown"))
@@ -303,7 +317,16 @@ def _bucket(batch_id: Column | str = "id") -> Column:
     return F.pmod(F.xxhash64(batch_id), F.lit(BUCKETS)).cast("int")
 
 
-STORED = T.StructType([*BATCH.fields, T.StructField("bucket", T.IntegerType())])
+STORED = T.StructType([
+    *BATCH.fields, T.StructField("version", T.ArrayType(T.StringType())), T.StructField("bucket", T.IntegerType())
+])
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """Stored rows with their ``version``; empty if there is no table yet."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], T.StructType(STORED.fields[:-1]))
+    return spark.read.schema(STORED).parquet(path).where(F.col("id").isNotNull()).drop("bucket")
 
 
 def read_batches(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
@@ -313,7 +336,7 @@ def read_batches(spark: SparkSession, path: str, batch_id: str | None = None) ->
     rows = spark.read.schema(STORED).parquet(path)
     if batch_id is not None:
         rows = batch_by_id(rows.where(F.col("bucket") == _bucket(F.lit(batch_id))), batch_id)
-    return rows.where(F.col("id").isNotNull()).drop("bucket")
+    return rows.where(F.col("id").isNotNull()).drop("bucket", "version")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -346,18 +369,43 @@ def _replace(changed: DataFrame, path: str, buckets: list[int]) -> None:
     save_batches(written(changed, "batches"), path, buckets)
 
 
+def version_of(updates: DataFrame, order: Sequence[str]) -> Column:
+    """The values of ``order`` as texts that sort as the values do, so they can be stored beside any row."""
+    texts = []
+    for name in order:
+        kind, value = updates.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.IntegralType):
+            value = F.lpad((value.cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")
+        elif isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        elif not isinstance(kind, T.StringType):
+            raise TypeError(f"{name} is {kind.simpleString()}: order by whole numbers, times or texts")
+        texts.append(F.coalesce(value, F.lit("")))
+    return F.array(*texts)
+
+
 def store_upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Upsert into the stored table. Only the buckets of updated ids are rewritten."""
-    updates = written(updates, "updates")
+    """Upsert into the stored table. Only the buckets of updated ids are rewritten.
+
+    A stored row is replaced by an update that is not before it in ``order``, so
+    updates may come in any order over any number of calls.
+    """
+    updates = written(updates.withColumn("version", version_of(updates, order)), "updates")
     touched = _touched(updates)
     if touched:
-        stored = read_batches(updates.sparkSession, path).where(_bucket().isin(*touched))
-        _replace(upsert_batches(stored, updates, order), path, touched)
+        stored = _stored(updates.sparkSession, path).where(_bucket().isin(*touched))
+        columns = stored.columns
+        newest = latest_by(updates, "id", order).select(*columns).withColumn("_new", F.lit(1))
+        both = stored.withColumn("_new", F.lit(0)).unionByName(newest)
+        rank = [F.coalesce("version", F.array().cast("array<string>")).alias("v"), F.col("_new")]
+        rest = [c for c in columns if c != "id"]
+        kept = both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("_row"))
+        _replace(kept.select("id", "_row.*").select(*columns), path, touched)
 
 
 def store_delete(ids: DataFrame, path: str) -> None:
     """Delete ids from the stored table. Only their buckets are rewritten."""
     touched = _touched(ids)
     if touched:
-        stored = read_batches(ids.sparkSession, path).where(_bucket().isin(*touched))
+        stored = _stored(ids.sparkSession, path).where(_bucket().isin(*touched))
         _replace(delete_batches(stored, ids), path, touched)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import times
 from inkwell.functions.answers import parse_structured
-from inkwell.functions.evaluation import Evaluator
+from inkwell.functions.evaluation import scored
 from inkwell.operators import results, tracking
 from inkwell.operators.groups import latest_by
 from inkwell.plans.registry import (
@@ -180,7 +180,7 @@ KEYWORDS = ("the", "WITH", "nicht", "que")
               from documents)"""
 )
 def eval_keyword(spark, sf_dir):
-    verdict = Evaluator().evaluate("keyword", F.col("text"), {"keywords": KEYWORDS})
+    verdict = scored("keyword", F.col("text"), {"keywords": KEYWORDS})
     return spread_documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 
@@ -189,7 +189,7 @@ def eval_keyword(spark, sf_dir):
         from (select doc_id, regexp_matches(text, '[0-9]{2,}|\.\n') as hit from documents)"""
 )
 def eval_regex(spark, sf_dir):
-    verdict = Evaluator().evaluate("regex", F.col("text"), {"pattern": r"[0-9]{2,}|\.\n"})
+    verdict = scored("regex", F.col("text"), {"pattern": r"[0-9]{2,}|\.\n"})
     return spread_documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 
@@ -198,7 +198,7 @@ def eval_regex(spark, sf_dir):
               'length=' || length(text) as details from documents"""
 )
 def eval_length(spark, sf_dir):
-    verdict = Evaluator().evaluate("length", F.col("text"), {"min_length": 100, "max_length": 3000})
+    verdict = scored("length", F.col("text"), {"min_length": 100, "max_length": 3000})
     return documents(spark, sf_dir).select("doc_id", verdict.alias("v")).select("doc_id", "v.*")
 
 

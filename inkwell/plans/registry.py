@@ -117,9 +117,13 @@ def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.functions.text import token_count
 
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    tokens = token_count(F.col("text"))
-    output = F.floor(F.col("n_chars") / 4).cast("bigint")
-    return documents(spark, sf_dir).join(good, "doc_id").select(
+    # Counted before the join, so that no text goes through it.
+    counted = documents(spark, sf_dir).select(
+        "doc_id", "source", "lang", token_count(F.col("text")).alias("tokens"),
+        F.floor(F.col("n_chars") / 4).cast("bigint").alias("output"),
+    )
+    tokens, output = F.col("tokens"), F.col("output")
+    return counted.join(good, "doc_id").select(
         F.col("source").alias("batch_id"),
         F.col("doc_id").cast("string").alias("custom_id"),
         model_of().alias("model"),

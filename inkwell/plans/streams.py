@@ -85,5 +85,5 @@ def stream_rate_usage(spark, sf_dir):
     )
     out, checkpoint = fresh_folder(spark, "rates"), fresh_folder(spark, "checkpoint")
     # Files of a backlog come in no time order, so nothing may count as late here.
-    write_updates(rate_usage_stream(asked, delay="365 days"), out, checkpoint).awaitTermination()
+    write_updates(rate_usage_stream(asked, delay=None), out, checkpoint).awaitTermination()
     return current_usage(spark, out).withColumn("minute", F.col("minute").cast("timestamp_ntz"))

@@ -389,37 +389,6 @@ def rate_usage(spark, sf_dir):
     return limits.rate_usage(_event_requests(spark, sf_dir))
 
 
-# Packing by a recursive query: one step per request of a user.
-ADMISSION_SQL = """
-with recursive asked as (
-  select user_id, event_id, event_id * 7919 % 30000 + 1 as tokens,
-         row_number() over (partition by user_id order by event_id) as pos
-  from events where event_id * 7919 % 30000 + 1 <= 29000
-),
-packed as (
-  select user_id, event_id, tokens, pos, tokens as used, 1 as sent, 0::bigint as minute from asked where pos = 1
-  union all
-  select a.user_id, a.event_id, a.tokens, a.pos,
-         case when p.used + a.tokens > 29000 or p.sent + 1 > 3 then a.tokens else p.used + a.tokens end,
-         case when p.used + a.tokens > 29000 or p.sent + 1 > 3 then 1 else p.sent + 1 end,
-         case when p.used + a.tokens > 29000 or p.sent + 1 > 3 then p.minute + 1 else p.minute end
-  from packed p join asked a on a.user_id = p.user_id and a.pos = p.pos + 1
-)
-select user_id, event_id, tokens, minute from packed
-union all
-select user_id, event_id, event_id * 7919 % 30000 + 1, null from events
-where event_id * 7919 % 30000 + 1 > 29000"""
-
-
-@query(ADMISSION_SQL)
-def admission_plan(spark, sf_dir):
-    """Limits low enough that minutes fill up and some requests can never go."""
-    return limits.admission_plan(
-        _event_requests(spark, sf_dir), ["user_id"], ["event_id"], block_of("event_id"),
-        token_limit=29_000, request_limit=3,
-    )
-
-
 CODES = ("200", "429", "500", "400", "503")
 MESSAGES = (
     "Error code: 401 - bad key", "HTTP 429 Too Many Requests", "400: unknown MODEL", "400 bad payload",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,7 +22,6 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-_fallback_folder: str | None = None
 _made: list[str] = []
 _shipped: set[str] = set()
 
@@ -59,18 +59,16 @@ def ship_package(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is absent, which is
-    the case in local tests.
+    Where it is unset and the driver runs all tasks itself, as in tests, it is set
+    to a new folder; a cluster has no folder to fall back on.
     """
-    global _fallback_folder
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/inkwell"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _fallback_folder is None:
-        _fallback_folder = tempfile.mkdtemp(prefix="inkwell-")
-    return _fallback_folder
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="inkwell-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/") + "/inkwell"
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
@@ -96,10 +94,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core rows of a scan that has fewer splits than there are cores.
+    """Deal rows out to as many tasks as ``inkwell.spread`` says; without that setting the scan's splits stay.
 
-    A file with one row group is one task however long the work per row is. A
-    table with at least a split per core is left as it is, without a shuffle.
+    For inputs that cannot be split, such as one file with one row group.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    tasks = df.sparkSession.conf.get("inkwell.spread", None)
+    return df.repartition(int(tasks), *keys) if tasks else df

@@ -11,9 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from inkwell.operators.limits import rate_usage
 
 
-def rate_usage_stream(requests: DataFrame, delay: str = "10 minutes", **options: Any) -> DataFrame:
-    """``rate_usage`` of a stream with ``ts, tokens``; state is dropped ``delay`` after its minute."""
-    return rate_usage(requests.withWatermark("ts", delay), **options)
+def rate_usage_stream(requests: DataFrame, delay: str | None = "10 minutes", **options: Any) -> DataFrame:
+    """``rate_usage`` of a stream with ``ts, tokens``; state is dropped ``delay`` after its minute.
+
+    Without a delay no row is ever late and all minutes are kept: for backlogs,
+    which end, and whose files come in no time order.
+    """
+    return rate_usage(requests if delay is None else requests.withWatermark("ts", delay), **options)
 
 
 def write_updates(usage: DataFrame, path: str, checkpoint: str, **trigger: Any) -> StreamingQuery:

@@ -107,7 +107,9 @@ def follow_status(
         rows = written(batch.select("id", "status", "ts"), "seen")
         counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
         before, known, live = f"{state}/epoch={epoch - 1}", None, rows
-        if path_exists(spark, before):
+        if epoch > 0 and not path_exists(spark, before):
+            raise RuntimeError(f"the state of epoch {epoch - 1} is missing in {state}; going on would repeat changes")
+        if epoch > 0:
             known = spark.read.schema(rows.schema).parquet(before)
             live = still_open(live, counts, known)
         if terminal:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.functions import answers, pricing, text, times
-from inkwell.functions.evaluation import Evaluator
+from inkwell.functions.evaluation import RULES, add_rule, scored
 
 EDGES = [
     "áb x\u00a0", "½ ² ③", "snake_case don't", "日本語。", "", "a\u200bb\u00adc\ue000d", "tab\there\nline\r", "x\x1cy\x85z",
@@ -169,36 +169,41 @@ def test_retries(column):
 
 
 def verdicts(column, name, criteria, values):
-    return [tuple(r) for r in column(lambda c: Evaluator().evaluate(name, c, criteria), values)]
+    return [tuple(r) for r in column(lambda c: scored(name, c, criteria), values)]
 
 
 def test_keyword_rule(column):
-    fox = "The Quick brown fox jumps over the LAZY dog"
-    assert verdicts(column, "keyword", {"keywords": ["quick", "lazy"]}, [fox]) == [(True, 1.0, "found 2/2 keywords")]
-    assert verdicts(column, "keyword", {"keywords": ["missing"]}, ["A simple sentence"]) == [(False, 0.0, "found 0/1 keywords")]
-    assert verdicts(column, "keyword", {"keywords": ["fox", "cat"]}, [fox]) == [(False, 0.5, "found 1/2 keywords")]
-    assert verdicts(column, "keyword", {"keywords": []}, [fox]) == [(True, 1.0, "no keywords specified")]
+    tide = "High water at NOON, low water by evening"
+    assert verdicts(column, "keyword", {"keywords": ["noon", "High"]}, [tide]) == [(True, 1.0, "found 2/2 keywords")]
+    assert verdicts(column, "keyword", {"keywords": ["storm"]}, ["Calm seas today"]) == [(False, 0.0, "found 0/1 keywords")]
+    assert verdicts(column, "keyword", {"keywords": ["water", "storm"]}, [tide]) == [(False, 0.5, "found 1/2 keywords")]
+    assert verdicts(column, "keyword", {"keywords": []}, [tide]) == [(True, 1.0, "no keywords specified")]
 
 
 def test_keyword_rule_takes_an_array_column(spark):
     df = spark.createDataFrame([("a b", ["a", "C"]), ("x", [])], "r string, k array<string>")
-    got = df.select(Evaluator().evaluate("keyword", F.col("r"), {"keywords": F.col("k")}).alias("v")).select("v.*").collect()
+    got = df.select(scored("keyword", F.col("r"), {"keywords": F.col("k")}).alias("v")).select("v.*").collect()
     assert [tuple(r) for r in got] == [(False, 0.5, "found 1/2 keywords"), (True, 1.0, "no keywords specified")]
 
 
 def test_regex_and_length_rules(column):
-    assert verdicts(column, "regex", {"pattern": r"Order ID: \d+"}, ["Order ID: 12345"])[0][:2] == (True, 1.0)
-    assert verdicts(column, "regex", {"pattern": r"\d+"}, ["No numbers here"])[0][:2] == (False, 0.0)
+    assert verdicts(column, "regex", {"pattern": r"berth [A-F]\d"}, ["moored at berth C7"])[0][:2] == (True, 1.0)
+    assert verdicts(column, "regex", {"pattern": r"[0-9]{3}"}, ["berth C7"])[0][:2] == (False, 0.0)
     assert verdicts(column, "regex", {"pattern": ""}, ["x"]) == [(True, 1.0, "no pattern specified")]
     assert verdicts(column, "length", {"min_length": 3}, ["abcd", "ab"]) == [(True, 4.0, "length=4"), (False, 2.0, "length=2")]
     assert verdicts(column, "length", {"max_length": 3}, ["abcd", ""]) == [(False, 4.0, "length=4"), (True, 0.0, "length=0")]
 
 
 def test_registry(column):
-    evaluator = Evaluator()
-    with pytest.raises(ValueError):
-        evaluator.evaluate("unknown", F.col("v"), {})
-    evaluator.register_strategy(
-        "shout", lambda response, _: F.struct((F.upper(response) == response).alias("passed"))
-    )
-    assert [r[0] for r in column(lambda c: evaluator.evaluate("shout", c, {}), ["A", "a"])] == [True, False]
+    with pytest.raises(ValueError, match="no rule is called 'rhyme'; known are keyword, length, regex"):
+        scored("rhyme", F.col("v"), {})
+
+    def shout(response, _):
+        return F.struct((F.upper(response) == response).alias("passed"))
+
+    add_rule("shout", shout)
+    try:
+        for rule in ("shout", shout):
+            assert [r[0] for r in column(lambda c: scored(rule, c, {}), ["A", "a"])] == [True, False]
+    finally:
+        del RULES["shout"]

@@ -137,32 +137,6 @@ def test_budget_cutoff(spark, cut, request):
         assert all(r["admitted"] for r in limits.budget_cutoff(df, ["k"], ["i"], "cost", free, block_of("i")).collect())
 
 
-def greedy(rows, token_limit, request_limit):
-    minutes, used, sent, minute = {}, 0, 0, 0
-    for i, t in rows:
-        if t > token_limit:
-            minutes[i] = None
-            continue
-        if used + t > token_limit or sent + 1 > request_limit:
-            used, sent, minute = 0, 0, minute + 1
-        used, sent = used + t, sent + 1
-        minutes[i] = minute
-    return minutes
-
-
-@pytest.mark.parametrize("piece_rows", [5, 17, 64, 4_000_000])
-def test_admission_plan_equals_the_sequential_fold(spark, small_limits, piece_rows):
-    rng = random.Random(piece_rows)
-    data = {k: [(i, rng.randrange(1, 130 if k == "hot" else 60)) for i in range(n)] for k, n in
-            (("hot", 400), ("a", 1), ("b", 5), ("c", 37), ("d", 64))}
-    df = spark.createDataFrame([(k, i, t) for k, v in data.items() for i, t in v], "key string, i bigint, tokens bigint")
-    got = limits.admission_plan(df, ["key"], ["i"], block_of("i"), 100, 5, piece_rows).collect()
-    want = {(k, i): m for k, v in data.items() for i, m in greedy(v, 100, 5).items()}
-    assert {(r["key"], r["i"]): r["minute"] for r in got} == want
-    with pytest.raises(ValueError):
-        limits.admission_plan(df, ["key"], ["i"], block_of("i"), 100, 5, 4)
-
-
 def test_rate_usage(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:10", 59_000), ("2024-01-01 00:00:59", 1_001), ("2024-01-01 00:01:00", 60_000)], "t string, tokens bigint")
     got = limits.rate_usage(df.withColumn("ts", F.col("t").cast("timestamp"))).orderBy("minute").collect()
