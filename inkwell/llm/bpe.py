@@ -156,12 +156,12 @@ class WordCodec:
             self.known = {}
         plain = {w: w.lower() for w in words if w.isalpha() and w.isascii()}  # one piece each
         cut = {}
-        for word in words - plain.keys():
+        for word in words.difference(plain):
             parts = self.cut.split(word) if self.cut else [word]
             cut[word] = [p if p in self.special else self.pieces(p) for p in parts if p]
         new = {p for parts in cut.values() for part in parts if not isinstance(part, str) for p in part}
         new.update(plain.values())
-        new = list(new - self.known.keys())
+        new = [p for p in new if p not in self.known]
         self.known.update(zip(new, self.index.encode(new)))
         ids_of = self.known.__getitem__
         self.words.update(zip(plain, map(ids_of, plain.values())))
@@ -177,8 +177,8 @@ class WordCodec:
         needed = set(chain.from_iterable(split))
         needed.discard("")
         if len(self.words) + len(needed) > REMEMBERED:
-            self.words = {w: self.words[w] for w in needed & self.words.keys()}
-        self.learn(needed - self.words.keys())
+            self.words = {w: self.words[w] for w in needed if w in self.words}
+        self.learn({w for w in needed if w not in self.words})
         ids_of = self.words.__getitem__
         return [b"".join(map(ids_of, filter(None, s))) for s in split]
 

@@ -86,10 +86,11 @@ class Lengths:
     def counts(self, texts: list[str | None]) -> list[int]:
         cut = [units(t) if t else [] for t in texts]
         starts = self.encoded([u[0] if u else "" for u in cut])
-        missing = set(chain.from_iterable(u[1:] for u in cut)) - self.frequent.keys() - self.known.keys()
+        own = set(chain.from_iterable(u[1:] for u in cut))
+        missing = {u for u in own if u not in self.frequent and u not in self.known}
         if len(self.known) + len(missing) > REMEMBERED:
             self.known = {}
-            missing = set(chain.from_iterable(u[1:] for u in cut)) - self.frequent.keys()
+            missing = own.difference(self.frequent)
         new = list(missing)
         self.known.update(zip(new, self.encoded([" " + u for u in new])))
         frequent, known = self.frequent.get, self.known
