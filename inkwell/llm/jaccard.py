@@ -18,7 +18,6 @@ components is missed. Sets that are equal are one node from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from inkwell.llm.bpe import kind
 from inkwell.llm.common import SLICE, bound_batches
@@ -39,8 +39,6 @@ COMMON, MOST_COMMON = 32, 1 << 20
 OPEN_PAIRS, PIVOTS = 4_096, 16
 #: Bits of the map of texts whose sets are needed; false positives cost time only.
 BITMAP = 1 << 26
-REMEMBERED = 300_000
-
 _FACTORS = np.array([0x9E3779B97F4A7C15 + 2 * (i * 0x632BE59BD9B4E019 % 2**62) for i in range(WORDS)], np.uint64)
 
 
@@ -52,30 +50,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> dict[bytes, int]:
-    """What the worker remembers of words."""
-    return {}
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; with fewer words than a shingle has, of all words as one."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    known = word_hashes()
-    if len(known) > REMEMBERED:
-        known.clear()
-    for word in set(words) - known.keys():
-        known[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(WORDS, len(h))
     with np.errstate(over="ignore"):
         rows = len(h) - n + 1
         total = np.full(rows, n, np.uint64)
         for i in range(n):
             total = total * np.uint64(0x100000001B3) + h[i : i + rows] * _FACTORS[i]
-    return np.unique(mixed(total))
+    total = mixed(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def node_of(found: np.ndarray, salt: int) -> tuple[int, int]:
