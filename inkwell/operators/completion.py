@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import random
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions.answers import RETRY_STATUS
 from inkwell.functions.text import words
 from inkwell.operators.chunking import chunk_words
 from inkwell.operators.documents import merge_chunks
 from inkwell.operators.groups import SEGMENT_CHARS, block_of
-from inkwell.session import written
+from inkwell.operators.tracking import path_exists
+from inkwell.session import fresh_folder
 
 OUTCOME = (
     "response string, error string, id string, success boolean, status_code int, attempts int"
 )
 
+# Fixed value: calls that the service's client keeps open.
+IN_FLIGHT = 5
+
 Completion = Callable[[str], Mapping[str, Any]]
 
 
@@ -48,7 +55,8 @@ def _one(complete: Completion, prompt: str, max_retries: int, base_delay: float)
                     "response": None, "error": str(failure), "id": None,
                     "success": False, "status_code": status, "attempts": attempt + 1,
                 }
-        time.sleep(base_delay * 2**attempt)
+        # Up to half as long again, so that calls refused together do not come back together.
+        time.sleep(base_delay * 2**attempt * random.uniform(1.0, 1.5))
         attempt += 1
 
 
@@ -59,12 +67,14 @@ def map_completions(
     max_retries: int = 3,
     base_delay: float = 1.0,
     partitions: int | None = None,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """Add the outcome of each prompt. ``factory`` makes one client per partition.
 
-    ``partitions`` bounds how many calls run at once. A task that runs again
-    repeats its calls, so write the outcomes by key once and read them back
-    before using them twice.
+    A task keeps ``in_flight`` calls open, so the client must allow calls from
+    several threads, and hands on outcomes as they come in small groups;
+    ``partitions`` bounds how many tasks run at once. A task that runs again
+    repeats its calls: ``complete_into`` keeps what is done.
     """
     if partitions:
         prompts = prompts.repartition(partitions)
@@ -72,32 +82,74 @@ def map_completions(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = factory()
-        for frame in frames:
-            done = [_one(complete, p, max_retries, base_delay) for p in frame[prompt]]
-            outcome = pd.DataFrame(done, columns=[f.split()[0] for f in OUTCOME.split(", ")], dtype=object)
-            yield pd.concat([frame.reset_index(drop=True), outcome], axis=1)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                for at in range(0, len(frame), 8 * in_flight):
+                    part = frame.iloc[at : at + 8 * in_flight].reset_index(drop=True)
+                    done = list(pool.map(lambda p: _one(complete, p, max_retries, base_delay), part[prompt]))
+                    outcome = pd.DataFrame(done, columns=[f.split()[0] for f in OUTCOME.split(", ")], dtype=object)
+                    yield pd.concat([part, outcome], axis=1)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.mapInPandas(run, f"{types}, {OUTCOME}").select(*columns, *[f.split()[0] for f in OUTCOME.split(", ")])
 
 
+def complete_into(
+    prompts: DataFrame,
+    path: str,
+    factory: Callable[[], Completion],
+    keys: Sequence[str] = ("batch_id", "custom_id"),
+    waves: int = 8,
+    again: Column | None = None,
+    **options: Any,
+) -> DataFrame:
+    """Outcomes of all prompts from the store at ``path``, calling only those without one.
+
+    Prompts go in ``waves`` by the hash of their keys, each appended to the store
+    when it is through, so a run that stops repeats at most a wave. ``again``, a
+    condition on stored outcomes, says which are to be called once more; of
+    several outcomes of a key a success counts before a failure.
+    """
+    spark = prompts.sparkSession
+    schema = T.StructType([*prompts.schema.fields, *T.StructType.fromDDL(OUTCOME).fields])
+
+    def stored() -> DataFrame | None:
+        return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
+
+    for wave in range(waves):
+        open_ = prompts.where(F.pmod(F.xxhash64(*keys), F.lit(waves)) == wave)
+        before = stored()
+        if before is not None:
+            done = before if again is None else before.where(~F.coalesce(again, F.lit(False)))
+            open_ = open_.join(done.select(*keys), list(keys), "left_anti")
+        map_completions(open_, factory, **options).write.mode("append").parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    kept = stored().groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("success", "attempts")).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*schema.names)
+
+
 def document_responses(
     documents: DataFrame,
     factory: Callable[[], Completion],
     max_words: int = 2000,
     overlap: int = 50,
-    store: Callable[[DataFrame], DataFrame] | None = None,
+    store: str | None = None,
     segment_chars: int = SEGMENT_CHARS,
     **options: Any,
 ) -> DataFrame:
     """Documents in, merged answers out: chunk, complete, keep, merge.
 
-    ``store`` writes the outcomes and gives them back, so that no call is made
-    twice; by default they go to the shared work folder.
+    Outcomes are kept by ``doc_id, chunk_index`` in the folder ``store``, from
+    which a later run goes on; by default in a new one of the shared folder.
     """
     chunks = chunk_words(documents.select("doc_id", "text"), max_words, overlap)
-    answered = map_completions(chunks.withColumnRenamed("content", "prompt"), factory, **options)
-    answered = store(answered) if store is not None else written(answered, "answers")
+    answered = complete_into(
+        chunks.withColumnRenamed("content", "prompt"),
+        store or fresh_folder(documents.sparkSession, "answers"),
+        factory,
+        keys=("doc_id", "chunk_index"),
+        **options,
+    )
     return merge_chunks(
         answered, ["doc_id"], ["chunk_index"], F.col("response"), block_of("chunk_index"), segment_chars
     )

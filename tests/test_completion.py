@@ -1,8 +1,19 @@
 """Completions with a fake service."""
 
+import os
+import time
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators.completion import CompletionError, document_responses, map_completions, request_tokens
+from inkwell.operators.completion import (
+    CompletionError,
+    complete_into,
+    document_responses,
+    map_completions,
+    request_tokens,
+)
 
 
 def flaky():
@@ -37,16 +48,65 @@ def test_every_prompt_ends_as_a_row(spark):
 def test_document_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y"), (3, "bad q")], "doc_id bigint, text string")
 
-    def store(answered):
-        answered.write.mode("overwrite").parquet(str(tmp_path / "answers"))
-        return spark.read.parquet(str(tmp_path / "answers"))
-
-    for kept in (None, store):
+    for kept in (None, str(tmp_path / "answers")):
         got = document_responses(df, flaky, 3, 1, store=kept, base_delay=0.0)
         assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "A B C\nC D E\nE F G\nG", 2: "X Y", 3: ""}
     assert spark.read.parquet(str(tmp_path / "answers")).count() == 6
 
 
+def counting(folder, limit=None):
+    """Leaves a file per call; a worker that finds ``limit`` of them dies before it starts."""
+
+    def factory():
+        if limit is not None and len(os.listdir(folder)) >= limit:
+            raise RuntimeError("the run stops here")
+
+        def complete(prompt):
+            with open(f"{folder}/{prompt}-{uuid.uuid4().hex}", "w"):
+                pass
+            if prompt == "p3":
+                raise CompletionError("bad", 400)
+            return {"content": prompt.upper(), "id": prompt}
+
+        return complete
+
+    return factory
+
+
+def test_a_stopped_run_goes_on_without_repeating_calls(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = spark.createDataFrame([("b", str(i), f"p{i}") for i in range(60)], "batch_id string, custom_id string, prompt string")
+    with pytest.raises(Exception, match="the run stops here"):
+        complete_into(prompts, store, counting(str(calls), 20), waves=6, partitions=1)
+    half = len(os.listdir(calls))
+    assert 20 <= half < 60
+    got = complete_into(prompts, store, counting(str(calls)), waves=6, partitions=1)
+    assert {r["custom_id"]: r["response"] for r in got.collect()} == {str(i): None if i == 3 else f"P{i}" for i in range(60)}
+    assert sorted(n.split("-")[0] for n in os.listdir(calls)) == sorted(f"p{i}" for i in range(60))
+    # Failures are called again only where asked for.
+    complete_into(prompts, store, counting(str(calls)), waves=2)
+    assert len(os.listdir(calls)) == 60
+    complete_into(prompts, store, counting(str(calls)), waves=2, again=~F.col("success"))
+    assert sorted(n.split("-")[0] for n in os.listdir(calls)).count("p3") == 2
+
+
+def test_several_calls_are_open_at_once(spark):
+    def slow():
+        def complete(prompt):
+            time.sleep(0.3)
+            return {"content": prompt, "id": None}
+
+        return complete
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "k int, prompt string")
+    map_completions(df.limit(1), slow, partitions=1).collect()
+    start = time.perf_counter()
+    got = map_completions(df, slow, partitions=1, in_flight=10).orderBy("k").collect()
+    assert [r["response"] for r in got] == [f"p{i}" for i in range(10)]
+    assert time.perf_counter() - start < 2.5
+
+
 def test_request_tokens(column):
     assert column(lambda c: request_tokens(c, 10), ["a b c", ""]) == [13, 10]
     assert column(lambda c: request_tokens(F.col("v"), 0), ["x"]) == [1]
