@@ -37,7 +37,9 @@ WORDS, PERCENT = 5, 75
 COMMON, MOST_COMMON = 32, 1 << 20
 #: A cell with more open pairs than this goes on through pivots, this many at a time.
 OPEN_PAIRS, PIVOTS = 4_096, 16
-#: Bits of the map of texts whose sets are needed; false positives cost time only.
+#: Bits of the map of shingles in several documents, and by how much the upper 32 bits are shifted for it.
+SHARED_BITS, SHARED_SHIFT = 1 << 27, 5
+#: Bits of the map of texts whose sets are needed. False positives of either map cost time only.
 BITMAP = 1 << 26
 _FACTORS = np.array([0x9E3779B97F4A7C15 + 2 * (i * 0x632BE59BD9B4E019 % 2**62) for i in range(WORDS)], np.uint64)
 
@@ -79,16 +81,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def common_shingles(texts: DataFrame, n_docs: int) -> np.ndarray:
-    """The upper 32 bits of common shingles' hashes above their level, sorted: ``bits << 8 | level``.
+def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is known of document frequencies: the common shingles' levels, and a map of those in several documents.
 
     Every document's distinct shingles are counted, in as many ranges of the hash
-    as keep a range's numbers few; what is returned has at most ``MOST_COMMON``
-    entries, the most frequent. Two shingles with the same 32 bits count as one,
-    which may only change the order of shingles.
+    as keep a range's numbers few. Counted are the upper 32 bits; two shingles
+    that have them in common count as one, which only makes them seem less rare.
+    The first result has at most ``MOST_COMMON`` entries ``bits << 8 | level``,
+    sorted, the most frequent; the second has ``SHARED_BITS`` bits by the upper
+    bits of the hash, set where a shingle may stand in more than one document.
     """
-    ranges = 1 << max(6, min(20, (max(n_docs, 1) // 500).bit_length()))
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    width = max(6, min(20, (max(n_docs, 1) // 500).bit_length()))
+    shift, per_range = np.uint64(64 - width), SHARED_BITS >> width
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -116,18 +120,33 @@ def common_shingles(texts: DataFrame, n_docs: int) -> np.ndarray:
         if size:
             yield flush()
 
-    def frequent(table: pa.Table) -> pa.Table:
+    def counted(table: pa.Table) -> pa.Table:
         values = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("data").to_pylist()])
         bits, n = np.unique(values, return_counts=True)
+        number = table.column("range")[0].as_py()
+        marks = np.zeros(per_range, np.uint8)
+        marks[(bits[n > 1] >> SHARED_SHIFT).astype(np.int64) - number * per_range] = 1
         kept = n > COMMON
-        return pa.table({"bits": pa.array(bits[kept].astype(np.int64)), "n": pa.array(n[kept].astype(np.int64))})
-
-    counted = (
-        texts.mapInArrow(dealt, "range int, data binary").groupBy("range").applyInArrow(frequent, "bits bigint, n bigint")
+        none = [None] * int(kept.sum())
+        return pa.table({
+            "bits": pa.array([None, *bits[kept].tolist()], pa.int64()),
+            "n": pa.array([None, *n[kept].tolist()], pa.int64()),
+            "range": pa.array([number, *none], pa.int32()),
+            "marks": pa.array([np.packbits(marks, bitorder="little").tobytes(), *none], pa.binary()),
+        })
+
+    found = written(
+        texts.mapInArrow(dealt, "range int, data binary").groupBy("range")
+        .applyInArrow(counted, "bits bigint, n bigint, range int, marks binary"),
+        "shingle-counts",
     )
-    found = counted.orderBy(F.desc("n"), "bits").limit(MOST_COMMON).toPandas()
-    levels = np.log2(np.maximum(found["n"].to_numpy(np.float64), 1)).astype(np.int64) if len(found) else np.zeros(0, np.int64)
-    return np.sort(found["bits"].to_numpy(np.int64) << 8 | levels)
+    common = found.where("bits is not null").select("bits", "n").orderBy(F.desc("n"), "bits").limit(MOST_COMMON).toPandas()
+    levels = np.log2(np.maximum(common["n"].to_numpy(np.float64), 1)).astype(np.int64)
+    shared = np.zeros(SHARED_BITS // 8, np.uint8)
+    for r in found.where("range is not null").select("range", "marks").collect():
+        start = r["range"] * per_range // 8
+        shared[start : start + per_range // 8] = np.frombuffer(bytes(r["marks"]), np.uint8)
+    return np.sort(common["bits"].to_numpy(np.int64) << 8 | levels), shared
 
 
 def ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -140,26 +159,38 @@ def ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, level))]
 
 
-def first_shingles(docs: DataFrame, common: Broadcast, salt: int, percent: int) -> DataFrame:
-    """``id, k, n, node, check, first``: of each row the set's size, number, and the cells it belongs to."""
+def first_shingles(docs: DataFrame, common: Broadcast, shared: Broadcast, salt: int, percent: int) -> DataFrame:
+    """``id, k, n, p, node, check, first``: each row's set size and number, and the cells it belongs to.
+
+    Of the first ``p`` shingles those that stand in no other document are left
+    out of ``first``: their cells would have one member.
+    """
     id_type = kind(docs, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(common.value, np.int64)
+        marks = np.frombuffer(shared.value, np.uint8)
+
+        def cells(found: np.ndarray) -> np.ndarray:
+            bit = (found >> np.uint64(32 + SHARED_SHIFT)).astype(np.int64)
+            return found[(marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1].view(np.int64)
+
         for part in slices(batches):
             sets = [shingles(t) for t in part.column("text").to_pylist()]
             nodes = [node_of(s, salt) if len(s) else (None, None) for s in sets]
             # A partner has at least percent of the size and so shares one of these.
-            first = [ordered(s, known)[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64) for s in sets]
+            lengths = [len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0 for s in sets]
+            first = [cells(ordered(s, known)[:p]) for s, p in zip(sets, lengths)]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])])
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                part.column("id"), part.column("k"), pa.array([len(s) for s in sets], pa.int64()),
+                part.column("id"), part.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(lengths, pa.int64()),
                 pa.array([n for n, _ in nodes], pa.int64()), pa.array([c for _, c in nodes], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
-            ], names=["id", "k", "n", "node", "check", "first"])
+            ], names=["id", "k", "n", "p", "node", "check", "first"])
 
-    return docs.mapInArrow(run, f"id {id_type}, k bigint, n bigint, node bigint, check bigint, first array<bigint>")
+    ddl = f"id {id_type}, k bigint, n bigint, p bigint, node bigint, check bigint, first array<bigint>"
+    return docs.mapInArrow(run, ddl)
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
@@ -191,9 +222,10 @@ def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
 
     placed = docs.select("text", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     found = written(placed.mapInArrow(run, "node bigint, items array<bigint>"), "sets")
-    found = found.join(needed.select("node"), "node", "left_semi")
-    twice = found.groupBy("node").count().where("count > 1").isEmpty()
-    return found if twice else found.dropDuplicates(["node"])
+    if np.unpackbits(bitmap).mean() > 0.05:  # so full that it lets through much that is not needed
+        found = found.join(needed.select("node"), "node", "left_semi")
+    once = found.groupBy("node").count().where("count > 1").isEmpty()
+    return found if once else found.dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,6 +235,7 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones, are tied to the smallest, until all edges lead to it.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -211,10 +244,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        print_ = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if print_ == last:
             tied = after.select(F.col("u").alias("node"), F.col("v").alias("comp"))
             return tied.unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        edges = after
+        edges, last = after, print_
 
 
 class Join:
@@ -222,27 +256,38 @@ class Join:
 
     def __init__(self, docs: DataFrame, rows: DataFrame, salt: int, percent: int):
         self.docs, self.salt, self.percent = docs, salt, percent
-        self.nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), F.first("n").alias("n")), "nodes")
-        cells = rows.where("node is not null").select("node", F.explode("first").alias("s"))
+        # Rows with one node have one set, so any of them stands for it.
+        sets = rows.where("node is not null").groupBy("node").agg(
+            F.min("k").alias("k"), F.min("n").alias("n"), F.min("p").alias("p"), F.first("first").alias("first")
+        )
+        self.nodes = written(sets, "nodes")
+        cells = self.nodes.select("node", F.explode("first").alias("s"))
         shared = cells.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
-        self.cells = written(cells.join(shared.select("s", "pivot"), "s").distinct(), "cells")
-        near = self.cells.select("node").distinct()
-        self.sets = written(sets_of(docs, self.nodes.join(near, "node"), salt), "node-sets") if not near.isEmpty() else None
+        self.cells = written(cells.join(shared.select("s", "pivot"), "s"), "cells")
+        self.sets: DataFrame | None = None
         self.distances: DataFrame | None = None
         self.links: DataFrame | None = None
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow a link and that were not compared before."""
+        """Distinct pairs that were not compared before and may link by their sizes and first shingles.
+
+        What two sets share beyond the first shingles of the one whose order ends
+        first is at most the rest of that one.
+        """
         ordered_ = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if self.distances is not None:
             ordered_ = ordered_.join(self.distances.select("a", "b"), ["a", "b"], "left_anti")
-        size = self.nodes.select("node", "n")
-        sized = ordered_.join(size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        sized = sized.join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        return sized.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        for side in ("b", "a"):
+            own = [F.col(c).alias(f"{c}_{side}" if c != "node" else side) for c in ("node", "n", "p", "first")]
+            ordered_ = ordered_.join(self.nodes.select(*own), side)
+        sized = ordered_.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        most = F.size(F.array_intersect("first_a", "first_b")) + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+        return sized.where((100 + self.percent) * most >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
 
     def compare(self, pairs: DataFrame) -> None:
         """Exact distances of possible pairs; the links among them."""
+        pairs = written(pairs, "pairs")
+        self.gather(pairs)
         items = self.sets.select("node", "items")
         wide = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
         wide = wide.join(items.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a")
@@ -252,6 +297,17 @@ class Join:
         self.distances = found if self.distances is None else self.distances.unionByName(found)
         self.links = linked if self.links is None else self.links.unionByName(linked)
 
+    def gather(self, pairs: DataFrame) -> None:
+        """Have the whole sets of the pairs' nodes at hand."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.sets is not None:
+            needed = needed.join(self.sets.select("node"), "node", "left_anti")
+        needed = written(self.nodes.select("node", "k").join(needed, "node"), "needed")
+        if self.sets is None:
+            self.sets = sets_of(self.docs, needed, self.salt)
+        elif not needed.isEmpty():
+            self.sets = self.sets.unionByName(sets_of(self.docs, needed, self.salt).join(needed.select("node"), "node", "left_semi"))
+
     def run(self) -> DataFrame:
         """``node, comp`` of all linked nodes."""
         # Every member of a cell meets the cell's pivot, which is then done there.
@@ -324,20 +380,20 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     bound_batches(spark)
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("k"), F.col(text).alias("text"))
     n_docs = docs.count()
-    common = spark.sparkContext.broadcast(common_shingles(docs.select(F.col(text).alias("text")), n_docs).tobytes())
+    # Both have a fixed greatest size.
+    common, shared = (
+        spark.sparkContext.broadcast(x.tobytes()) for x in shingle_counts(docs.select(F.col(text).alias("text")), n_docs)
+    )
     salt = 0
     while True:
-        rows = written(first_shingles(texts, common, salt, percent), "first-shingles")
+        rows = written(first_shingles(texts, common, shared, salt, percent), "first-shingles")
         doubled = rows.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
         if doubled.isEmpty():
             break
         salt += 1  # two sets had one number
     join = Join(texts.select("k", "text"), rows, salt, percent)
     found = rows.select("id", "n", "node")
-    if join.sets is None:
-        grouped = found.withColumn("comp", F.col("node"))
-    else:
-        grouped = found.join(join.run(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = found.join(join.run(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
     return grouped.join(least, "comp", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
