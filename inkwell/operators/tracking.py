@@ -18,7 +18,7 @@ from inkwell.functions.text import fixed_text, grouped_digits
 from inkwell.functions.times import format_time, older_than, utc_clock
 from inkwell.operators.groups import latest_by, previous_in_group
 from inkwell.schemas import BATCH
-from inkwell.session import written
+from inkwell.session import scratch, written
 
 # Statuses a batch is still worked on in, and those it ends in.
 ACTIVE = ("in_progress", "validating")
@@ -390,7 +390,11 @@ def store_upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
     A stored row is replaced by an update that is not before it in ``order``, so
     updates may come in any order over any number of calls.
     """
-    updates = written(updates.withColumn("version", version_of(updates, order)), "updates")
+    with scratch(updates.sparkSession):
+        _upsert(written(updates.withColumn("version", version_of(updates, order)), "updates"), path, order)
+
+
+def _upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
     touched = _touched(updates)
     if touched:
         stored = _stored(updates.sparkSession, path).where(_bucket().isin(*touched))
@@ -407,5 +411,6 @@ def store_delete(ids: DataFrame, path: str) -> None:
     """Delete ids from the stored table. Only their buckets are rewritten."""
     touched = _touched(ids)
     if touched:
-        stored = _stored(ids.sparkSession, path).where(_bucket().isin(*touched))
-        _replace(delete_batches(stored, ids), path, touched)
+        with scratch(ids.sparkSession):
+            stored = _stored(ids.sparkSession, path).where(_bucket().isin(*touched))
+            _replace(delete_batches(stored, ids), path, touched)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from zipfile import ZipFile
 
@@ -22,7 +25,7 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-_made: list[str] = []
+_made: list[tuple[int, str]] = []
 _shipped: set[str] = set()
 
 
@@ -74,16 +77,30 @@ def work_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A folder name not used before. Nothing is deleted until ``clean_work``."""
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.append((threading.get_ident(), path))
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what this thread wrote inside; nothing may be read from it later."""
+    before = set(_made)
+    yield
+    for entry in [e for e in _made if e not in before and e[0] == threading.get_ident()]:
+        _made.remove(entry)
+        delete_path(spark, entry[1])
+
+
 def clean_work(spark: SparkSession) -> None:
     """Delete the intermediate tables this process wrote; results read from them must be saved first."""
-    context = spark.sparkContext
     while _made:
-        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, _made.pop()[1])
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

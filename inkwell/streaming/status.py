@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.operators.groups import join_to_one, latest_by
 from inkwell.operators.tracking import TERMINAL, path_exists, status_changes
-from inkwell.session import written
+from inkwell.session import delete_path, scratch, written
 
 STATE = "status string, ts timestamp, closed boolean"
 
@@ -82,8 +82,8 @@ def follow_status(
 ) -> StreamingQuery:
     """Write changes of ``id, status, ts`` to ``out/epoch=N``, with ``previous``.
 
-    The last row per id is kept in ``state/epoch=N``, one folder per micro-batch;
-    only the newest is read. A micro-batch that runs again replaces its folders.
+    The last row per id is kept in ``state/epoch=N``, one folder per micro-batch,
+    of which the last two stay; only the newest is read. A micro-batch that runs again replaces its folders.
     ``block`` must not decrease with ``ts``.
     """
 
@@ -103,6 +103,13 @@ def follow_status(
         )
 
     def apply(batch: DataFrame, epoch: int) -> None:
+        with scratch(batch.sparkSession):
+            follow(batch, epoch)
+        # The state before the last is kept for this micro-batch, should it run again.
+        if epoch > 1:
+            delete_path(batch.sparkSession, f"{state}/epoch={epoch - 2}")
+
+    def follow(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = written(batch.select("id", "status", "ts"), "seen")
         counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
