@@ -181,6 +181,24 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(docs, SURROGATE_SECRET).select("doc_id", "n_entities", "text")
 
 
-@query()
+@query(
+    r"""with recursive words as (
+           select doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+           from documents
+       ), shingles as (
+           select doc_id, unnest(list_distinct(list_transform(
+               range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from words where len(w) > 0
+       ), sizes as (select doc_id, count(*) as n from shingles group by 1),
+       shared as (
+           select a.doc_id as x, b.doc_id as y, count(*) as i from shingles a join shingles b using (s)
+           where a.doc_id < b.doc_id group by 1, 2
+       ), links as (
+           select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * i >= 75 * (a.n + b.n - i)
+       ), edges as (select x, y from links union all select y, x from links),
+       reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+       select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(least_id, doc_id)) as component_id
+       from words left join sizes using (doc_id) left join (select x as doc_id, min(y) as least_id from reach group by 1) using (doc_id)"""
+)
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
