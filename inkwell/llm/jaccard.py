@@ -35,8 +35,8 @@ from inkwell.session import written
 WORDS, PERCENT = 5, 75
 #: Shingles in more documents than this are common, and the most common so many have their frequency known.
 COMMON, MOST_COMMON = 32, 1 << 20
-#: A cell with more open pairs than this goes on through pivots, this many at a time.
-OPEN_PAIRS, PIVOTS = 4_096, 16
+#: A cell with more open pairs than this goes on in a region, whose pivots make about so many pairs at a time.
+OPEN_PAIRS, PIVOT_PAIRS = 4_096, 1 << 20
 #: Bits of the map of shingles in several documents, and by how much the upper 32 bits are shifted for it.
 SHARED_BITS, SHARED_SHIFT = 1 << 27, 5
 #: Bits of the map of texts whose sets are needed. False positives of either map cost time only.
@@ -308,17 +308,30 @@ class Join:
         elif not needed.isEmpty():
             self.sets = self.sets.unionByName(sets_of(self.docs, needed, self.salt).join(needed.select("node"), "node", "left_semi"))
 
+    def from_pivot(self, members: DataFrame) -> DataFrame:
+        """``s, node, d``: members of regions (``s, pivot, node``) that their pivots have been compared with, without the pivots."""
+        self.compare(self.possible(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
+        sides = F.array(
+            F.struct(F.col("a").alias("pivot"), F.col("b").alias("node")), F.struct(F.col("b").alias("pivot"), F.col("a").alias("node"))
+        )
+        gap = self.distances.select(F.explode(sides).alias("_p"), (1 - F.col("i") / F.col("u")).alias("d"))
+        gap = gap.select("_p.pivot", "_p.node", "d")
+        others = members.where("node <> pivot")
+        return written(others.join(gap, ["pivot", "node"], "left").select("s", "node", "d"), "open")
+
+    def merged(self, many: DataFrame) -> DataFrame:
+        """The cells as regions ``s, pivot, node``: cells with a member in common are one, and its smallest node is the pivot.
+
+        Copies of one text share hundreds of cells; as one region they meet once.
+        """
+        least = many.groupBy("s").agg(F.min("node").alias("b"))
+        tied = components(many.select("s", F.col("node").alias("a")).join(least, "s").select("a", "b"))
+        return tied.select(F.col("comp").alias("s"), F.col("comp").alias("pivot"), "node")
+
     def run(self) -> DataFrame:
         """``node, comp`` of all linked nodes."""
         # Every member of a cell meets the cell's pivot, which is then done there.
-        self.compare(self.possible(self.cells.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
-        gap = written(self.distances.select(
-            F.explode(F.array(F.struct(F.col("a").alias("pivot"), F.col("b").alias("node")), F.struct(F.col("b").alias("pivot"), F.col("a").alias("node")))).alias("_p"),
-            (1 - F.col("i") / F.col("u")).alias("d"),
-        ).select("_p.pivot", "_p.node", "d"), "gaps")
-        open_ = written(
-            self.cells.where("node <> pivot").join(gap, ["pivot", "node"], "left").select("s", "node", "d"), "open"
-        )
+        open_, regions = self.from_pivot(self.cells), False
         while True:
             comps = written(components(self.links), "components")
             now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -326,21 +339,26 @@ class Join:
             by_comp = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m"))
             by_cell = by_comp.groupBy("s").agg(
                 F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max_by("comp", "m").alias("largest")
-            ).where("all * all > within").select("s", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "largest")
-            now = written(now.join(by_cell, "s"), "open-now")
+            ).where("all * all > within")
+            pairs = (F.col("all") * F.col("all") - F.col("within")) / 2
+            now = written(now.join(by_cell.select("s", "all", pairs.alias("pairs"), "largest"), "s"), "open-now")
             if now.isEmpty():
                 return comps
             few = now.where(F.col("pairs") <= OPEN_PAIRS)
             many = now.where(F.col("pairs") > OPEN_PAIRS)
-            chosen = (
-                many.where("comp <> largest").groupBy("s", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("_part"))
-                .agg(F.min("node").alias("node")).select("s", "node")
-            )
-            chosen = written(chosen, "pivots")
-            asked = few.select("s", "node", "comp", "d").unionByName(
-                many.join(chosen, ["s", "node"], "left_semi").select("s", "node", "comp", "d")
-            )
-            self.compare(self.possible(self.windows(asked, now.select("s", "node", "comp", "d"))))
+            if not regions:
+                # All pairs of small cells at once; what large ones hold goes on in regions.
+                self.compare(self.possible(self.windows(few, few)))
+                if many.isEmpty():
+                    return written(components(self.links), "components")
+                open_, regions = self.from_pivot(self.merged(many)), True
+                continue
+            # As many pivots at a time as make about PIVOT_PAIRS pairs with the members.
+            parts = F.greatest(F.lit(16), F.least(F.lit(1024), F.lit(PIVOT_PAIRS) / F.col("all"))).cast("int")
+            chosen = many.where("comp <> largest").groupBy("s", F.pmod(F.xxhash64("node"), parts).alias("_part")).agg(F.min("node").alias("node"))
+            chosen = written(chosen.select("s", "node"), "pivots")
+            asked = few.unionByName(many.join(chosen, ["s", "node"], "left_semi"), allowMissingColumns=True)
+            self.compare(self.possible(self.windows(asked, now)))
             open_ = written(many.select("s", "node", "d").join(chosen, ["s", "node"], "left_anti"), "open")
 
     def windows(self, asked: DataFrame, members: DataFrame) -> DataFrame:
@@ -358,7 +376,7 @@ class Join:
         def spread(lower: Column, upper: Column) -> Column:
             return F.explode(F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.sequence(lower, upper)))
 
-        left = asked.withColumn("w", spread(own, own))
+        left = asked.select("s", "node", "comp", "d").withColumn("w", spread(own, own))
         right = members.select("s", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"), F.col("d"))
         right = right.withColumn("w", spread(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(last)))).drop("d")
         met = left.join(right, ["s", "w"]).where((F.col("comp") != F.col("comp_b")) & (F.col("node") != F.col("b")))

@@ -75,7 +75,7 @@ def test_groups_and_passages(spark):
 @pytest.mark.parametrize("seed", [2])
 def test_large_group_goes_through_pivots(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "OPEN_PAIRS", 150)
-    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "PIVOT_PAIRS", 200)
     monkeypatch.setattr(jaccard, "COMMON", 3)
     # Copies around the threshold: some link directly, some through others, some not at all.
     check(spark, made(seed, 2, [50], [0.01, 0.03, 0.05, 0.08], [60, 90]))
