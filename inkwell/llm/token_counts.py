@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import kind, narrow
 from inkwell.llm.common import SLICE, map_slices, parsed_tokenizer, shared_file
+from inkwell.session import written
 
 #: Units in the broadcast table, and counters of a task that looks for them.
 FREQUENT = 32_768
@@ -64,11 +65,12 @@ def frequent_units(docs: DataFrame, text: str = "text", limit: int = FREQUENT, c
             {"unit": pa.array([u for u, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())}
         )
 
-    return (
-        docs.select(text).mapInArrow(summary, "unit string, n bigint")
-        .groupBy("unit").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "unit").limit(limit)
+    counted = written(
+        docs.select(text).mapInArrow(summary, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")), "units"
     )
+    # By counting, fewer than 8 * limit units can have such a share, so no more are sorted, however many tasks there were.
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("n") * (8 * limit) >= total).orderBy(F.desc("n"), "unit").limit(limit)
 
 
 class Lengths:
