@@ -132,6 +132,9 @@ def fit(bag_rows: list, n_features: int) -> dict:
     Of 1 - P = (1 - leak) * product of (1 - p_s), the gradient of the logarithm
     is simple: for a document labelled 1 the step of a sentence is
     -p_s (1 - P) / P, for one labelled 0 it is p_s.
+
+    Meant for a rare label: where a third of all documents are labelled 1, the
+    leak can come to explain them in place of the sentences.
     """
     y = np.array([r["y"] for r in bag_rows], float)
     doc, row, f = [], [], []

@@ -81,8 +81,9 @@ def test_odd_texts_and_tables(odd, none, learnt, spark):
 
 
 def test_gradient_lowers_the_loss():
-    bags = [{"y": 1, "n": 3, "at": [0, 1], "f": [0, 1]}, {"y": 0, "n": 4, "at": [0], "f": [1]}, {"y": 0, "n": 400, "at": [], "f": []}] * 20
-    model = toxicity.fit(bags, 2)
+    toxic = [{"y": 1, "n": 3, "at": [0, 1], "f": [0, 1]}] * 20
+    clean = [{"y": 0, "n": 4, "at": [0], "f": [1]}, {"y": 0, "n": 400, "at": [], "f": []}] * 90
+    model = toxicity.fit(toxic + clean, 2)
     assert model["weights"][0] > 4 and model["weights"][1] < 1 and model["leak"] < 0.05
 
 
