@@ -222,7 +222,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
 
     placed = docs.select("text", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     found = written(placed.mapInArrow(run, "node bigint, items array<bigint>"), "sets")
-    if np.unpackbits(bitmap).mean() > 0.05:  # so full that it lets through much that is not needed
+    if np.bitwise_count(bitmap).sum() > 0.05 * BITMAP:  # so full that it lets through much that is not needed
         found = found.join(needed.select("node"), "node", "left_semi")
     once = found.groupBy("node").count().where("count > 1").isEmpty()
     return found if once else found.dropDuplicates(["node"])
