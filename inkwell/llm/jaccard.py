@@ -29,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 
 from inkwell.llm.bpe import kind
 from inkwell.llm.common import SLICE, bound_batches
-from inkwell.session import written
+from inkwell.session import fresh_folder, written
 
 #: Words in a shingle; links need 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -264,6 +264,7 @@ class Join:
         cells = self.nodes.select("node", F.explode("first").alias("s"))
         shared = cells.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
         self.cells = written(cells.join(shared.select("s", "pivot"), "s"), "cells")
+        self.compared = fresh_folder(docs.sparkSession, "distances")
         self.sets: DataFrame | None = None
         self.distances: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -292,10 +293,11 @@ class Join:
         wide = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
         wide = wide.join(items.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a")
         both = F.size(F.array_intersect("i_a", "i_b"))
-        found = written(wide.select("a", "b", both.alias("i"), (F.col("n_a") + F.col("n_b") - both).alias("u")), "distances")
-        linked = found.where(100 * F.col("i") >= self.percent * F.col("u")).select("a", "b")
-        self.distances = found if self.distances is None else self.distances.unionByName(found)
-        self.links = linked if self.links is None else self.links.unionByName(linked)
+        found = wide.select("a", "b", both.alias("i"), (F.col("n_a") + F.col("n_b") - both).alias("u"))
+        # One folder for all rounds, so that plans do not grow with them.
+        found.write.mode("append").parquet(self.compared)
+        self.distances = found.sparkSession.read.schema(found.schema).parquet(self.compared)
+        self.links = self.distances.where(100 * F.col("i") >= self.percent * F.col("u")).select("a", "b")
 
     def gather(self, pairs: DataFrame) -> None:
         """Have the whole sets of the pairs' nodes at hand."""
