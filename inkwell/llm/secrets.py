@@ -35,7 +35,8 @@ IDENT = re.compile(
     r"(?:client_?id|account_?id|user_?name|login|user)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}|AKIA[A-Z0-9]{8,13}(?![A-Z0-9])",
     re.IGNORECASE | re.ASCII,
 )
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+# '=' may stand before a key (NAME=KEY); behind it, it is padding only.
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(
     r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:[0-9]{2,5}(?![0-9])"
 )
