@@ -38,13 +38,15 @@ PATTERNS = {
 ENTITY = "|".join(PATTERNS.values())
 TITLE = rf"^(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
 FEMALE_TITLE = rf"^(?:{'|'.join(FEMALE)})\.? "
+#: A mention without a title; no other entity has letters only.
+MENTION = r"^\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}$"
 #: Digits of a phone number that tell it apart; what stands before is the country's.
 PHONE_DIGITS = 10
 
 
 def type_of(e: Column) -> Column:
     return (
-        F.when(e.contains("@"), "email").when(e.rlike(TITLE), "name").when(e.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
+        F.when(e.contains("@"), "email").when(e.rlike(TITLE) | e.rlike(MENTION), "name").when(e.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike("^[A-Z]"), "iban")
         .when(e.rlike(r"^(?:\d{4}[ -]){3}\d{4}$|^\d{13,19}$"), "card").otherwise("phone")
     )
@@ -74,6 +76,32 @@ def members(e: Column) -> Column:
     ).otherwise(F.array(F.struct(kind.alias("type"), canon.alias("canon"))))
 
 
+def known_names(entities: Column) -> Column:
+    """``token, type, canon`` of the name tokens among a text's entities, in their order, each once."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(entities, lambda e: e.rlike(TITLE)), lambda e: F.zip_with(
+        name_tokens(e), members(e), lambda t, m: F.struct(t.alias("token"), m["type"].alias("type"), m["canon"].alias("canon"))
+    ))))
+
+
+def with_mentions(names: Column) -> Column:
+    """The pattern of entities and of up to three known name tokens in a row, as whole words."""
+    # Tokens are letters only, so they need no quoting. Most words fail at their first letter.
+    one = F.concat(F.lit(r"(?=\p{Lu})(?:"), F.array_join(F.array_distinct(names["token"]), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return bind(one, lambda o: F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])"), o, F.lit("(?:[ -]"), o, F.lit("){0,2}")))
+
+
+def mentioned(e: Column, names: Column) -> Column:
+    """``type, canon`` of the tokens of a mention without a title, as in the text's names with one.
+
+    The last token is a surname if it is one in the text, the others are given
+    names if they are; of two genders the first in the text counts.
+    """
+    return F.transform(F.split(e, "[ -]"), lambda t, i: bind(F.filter(names, lambda n: n["token"] == t), lambda own: bind(
+        F.coalesce(F.get(F.filter(own, lambda n: (n["type"] == "surname") == (i == F.size(F.split(e, "[ -]")) - 1)), 0), F.get(own, 0)),
+        lambda n: F.struct(n["type"].alias("type"), n["canon"].alias("canon")),
+    )))
+
+
 def drawn(seed: Column, place: Column | int, n: int) -> Column:
     """A number below ``n`` for a place of a seed."""
     return F.pmod(F.xxhash64(seed, F.lit(place) if isinstance(place, int) else place), F.lit(n)).cast("int")
@@ -172,10 +200,11 @@ def poured(original: Column, filling: Column, taken: str) -> Column:
     )), "")
 
 
-def replacement(e: Column, attempts: Column, secret: str) -> Column:
-    """What stands for an entity: its members' surrogates in the format of the original."""
+def replacement(e: Column, attempts: Column, names: Column, secret: str) -> Column:
+    """What stands for an entity or mention: its members' surrogates in the format of the original."""
     kind = type_of(e)
-    found = F.transform(members(e), lambda m: surrogate(
+    untitled = ~e.rlike(TITLE) & e.rlike(MENTION)
+    found = F.transform(F.when(untitled, mentioned(e, names)).otherwise(members(e)), lambda m: surrogate(
         m["type"], m["canon"], F.coalesce(F.element_at(attempts, F.concat_ws(":", m["type"], m["canon"])), F.lit(0)), secret
     ))
     title = F.regexp_extract(e, TITLE, 0)
@@ -233,7 +262,9 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text", count: st
     NULL and empty texts stay and count 0; equal texts get equal results; an
     input column named ``count`` is replaced. ``secret`` is the key: another key
     gives other surrogates. Names are those after a title, whose gender they
-    keep; a token of a name has one surrogate wherever it stands.
+    keep, and all other mentions of their tokens in the same text that are
+    written alike, as whole words; each is replaced by the same surrogate and
+    counts as an entity. A name that has a title nowhere in its text is not found.
     """
     body = F.col(text)
     found = docs.select(F.explode(F.array_distinct(entities_of(body))).alias("_e"))
@@ -254,13 +285,21 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text", count: st
         rows = rows.withColumn("_k", F.xxhash64(body)).join(written(per_text, "attempts"), "_k", "left").drop("_k")
         rows = rows.withColumn("_attempts", F.coalesce("_attempts", none))
 
-    def rewritten(e: Column) -> Column:
-        new = F.transform(e, lambda x: replacement(x, F.col("_attempts"), secret))
-        gaps = F.split(body, ENTITY, -1)
+    def rewritten(e: Column, names: Column, pattern: Column) -> Column:
+        new = F.transform(e, lambda x: replacement(x, F.col("_attempts"), names, secret))
+        gaps = F.split(body, pattern, -1)
         return F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
 
+    def result(e: Column, names: Column, pattern: Column) -> Column:
+        return F.struct(F.when(F.size(e) > 0, rewritten(e, names, pattern)).otherwise(body).alias("t"), F.size(e).cast("bigint").alias("n"))
+
     entities = F.coalesce(entities_of(body), F.array().cast("array<string>"))
-    out = bind(entities, lambda e: F.struct(F.when(F.size(e) > 0, rewritten(e)).otherwise(body).alias("t"), F.size(e).cast("bigint").alias("n")))
+    # Only texts with names are searched again, by a pattern of their own.
+    out = bind(entities, lambda e: bind(known_names(e), lambda names: bind(
+        F.when(F.size(names) > 0, with_mentions(names)).otherwise(F.lit(ENTITY)), lambda pattern: bind(
+            F.when(F.size(names) > 0, F.regexp_extract_all(body, pattern, F.lit(0))).otherwise(e),
+            lambda all_: result(all_, names, pattern),
+        ))))
     done = rows.withColumn("_out", out)
     columns = [F.col("_out.t").alias(text) if c == text else F.col(c) for c in docs.columns if c != count]
     return done.select(*columns, F.col("_out.n").alias(count))

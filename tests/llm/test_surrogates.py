@@ -51,6 +51,36 @@ def test_names_keep_gender_script_and_tokens(spark):
     assert re.fullmatch(r"Κυρία [Α-Ω][α-ωςάέήίόύώ]+", got[3])
 
 
+def test_mentions_without_a_title(spark):
+    texts = [
+        "Mr John Smith called. Smith (or John Smith) said John's Smithson and blacksmith know John_Smith; Smith-John, Smith.",
+        "Smith came first, then Mrs Smith.", "Smith and John have no title here.",
+        "Господин Иван Петров. Петров, Иван Петров, Петрова", "Mr Kim Lee, Mrs Lee Kim: Kim Lee, Lee Kim, Kim, Lee",
+        "Herr Iban wrote Iban@foo.com from DE89 3704 0044 0532 0130 00, Iban", "Mr John Smith: " + "John Smith " * 20_000,
+    ]
+    got = replaced(spark, texts)
+    john, smith = re.match(r"Mr (\w+) (\w+) called", got[0][0]).groups()
+    assert got[0] == (
+        f"Mr {john} {smith} called. {smith} (or {john} {smith}) said {john}'s Smithson and blacksmith know John_Smith; "
+        f"{smith}-{john}, {smith}.", 6,
+    )
+    assert got[1] == (f"{smith} came first, then Mrs {smith}.", 2) and got[2] == (texts[2], 0)
+    ivan, petrov = re.match(r"Господин (\w+) (\w+)", got[3][0]).groups()
+    assert got[3] == (f"Господин {ivan} {petrov}. {petrov}, {ivan} {petrov}, Петрова", 3)
+    kim_m, lee, lee_f, kim = re.match(r"Mr (\w+) (\w+), Mrs (\w+) (\w+):", got[4][0]).groups()
+    assert got[4] == (f"Mr {kim_m} {lee}, Mrs {lee_f} {kim}: {kim_m} {lee}, {lee_f} {kim}, {kim}, {lee}", 6)
+    iban = got[5][0].split(" ")[1]
+    assert got[5][0].endswith(f", {iban}") and got[5][1] == 4 and "Iban" not in got[5][0]
+    assert "John" not in got[6][0] and "Smith" not in got[6][0] and got[6][0].count(f"{john} {smith}") == 20_001
+
+
+def test_redrawn_surrogates_reach_mentions(spark, monkeypatch):
+    plain = replaced(spark, ["Mr. John Smith. Smith."])[0][0]
+    monkeypatch.setattr(surrogates, "redrawn", lambda entities, secret: entities.withColumn("attempt", F.lit(3)))
+    other = replaced(spark, ["Mr. John Smith. Smith."])[0][0]
+    assert other != plain and re.fullmatch(r"Mr\. \w+ (\w+)\. \1\.", other) and "Smith" not in other
+
+
 def test_same_key_same_surrogates(spark):
     texts = ["call 743-555-3824 now", "or (743) 555-3824", "BOB@FOO.COM bob@foo.com ann@foo.com"]
     first, again, other = replaced(spark, texts), replaced(spark, texts[::-1]), replaced(spark, texts, "another")
