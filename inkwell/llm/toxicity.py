@@ -38,6 +38,8 @@ STEPS, RATE, SHRINK = 300, 0.15, 0.02
 #: Beginnings of words that are features beside the whole word.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
+#: The leak stays well below the threshold, or it would put every text over it.
+MOST_LEAK = 0.05
 REMEMBERED = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,6 +128,15 @@ def bags(rows: DataFrame, number: dict[str, int]) -> DataFrame:
     return map_slices(rows, run, "y int, n int, at array<int>, f array<int>")
 
 
+def starts(y: np.ndarray, doc: np.ndarray, f: np.ndarray, n_features: int) -> np.ndarray:
+    """Log-odds of label 1 among the documents with a feature, less those of all; none below 0."""
+    own = np.unique(doc * np.int64(n_features) + f)
+    n = np.bincount(own % n_features, minlength=n_features)
+    t = np.bincount(own % n_features, y[own // n_features], minlength=n_features)
+    all_ = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    return np.maximum(np.log((t + 0.5) / (n - t + 0.5)) - all_, 0.0)
+
+
 def fit(bag_rows: list, n_features: int) -> dict:
     """Weights, bias and leak that make the labels likeliest, by full-batch steps with decaying averages (Adam).
 
@@ -133,8 +144,9 @@ def fit(bag_rows: list, n_features: int) -> dict:
     is simple: for a document labelled 1 the step of a sentence is
     -p_s (1 - P) / P, for one labelled 0 it is p_s.
 
-    Meant for a rare label: where a third of all documents are labelled 1, the
-    leak can come to explain them in place of the sentences.
+    The leak is at most ``MOST_LEAK``, so it cannot come to explain the labels in
+    place of the sentences, however common label 1 is. Weights start from how
+    far a feature's documents are labelled 1 more often than all.
     """
     y = np.array([r["y"] for r in bag_rows], float)
     doc, row, f = [], [], []
@@ -146,9 +158,11 @@ def fit(bag_rows: list, n_features: int) -> dict:
         f += r["f"]
         base += n
     doc, row, f = (np.array(x, np.int64) for x in (doc, row, f))
+    most_leak = math.log(MOST_LEAK / (1 - MOST_LEAK))
     plain = np.array([r["n"] for r in bag_rows], float) - np.bincount(doc, minlength=len(y))
     weight = np.zeros(n_features + 2)  # then the bias of a sentence and the leak, both as logits
     weight[-2], weight[-1] = -6.0, math.log(0.02 / 0.98)
+    weight[:-2] = starts(y, doc[row], f, n_features)
     first, second = np.zeros_like(weight), np.zeros_like(weight)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weight[f], minlength=base) + weight[-2]
@@ -168,6 +182,7 @@ def fit(bag_rows: list, n_features: int) -> dict:
         weight -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
         # A sentence without any kept feature stays near harmless however many of them a document has.
         weight[-2] = min(weight[-2], -6.0)
+        weight[-1] = min(weight[-1], most_leak)
     return {"weights": weight[:-2], "bias": float(weight[-2]), "leak": float(1 / (1 + math.exp(-weight[-1])))}
 
 
@@ -178,14 +193,14 @@ def train(
     """The model: ``words`` (feature to weight), ``bias`` and ``leak``.
 
     Fitted to at most ``sample`` labelled documents. Without labels of both
-    values there are no features and the leak is the share of label 1.
+    values there are no features and the leak is the share of label 1, at most ``MOST_LEAK``.
     """
     bound_batches(docs.sparkSession)
     rows = written(training_rows(docs, labels, trainable, key, text, label, sample), "training")
     kept = screened(rows, limit)
     if not kept:
         n, toxic = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
-        return {"words": {}, "bias": -20.0, "leak": (toxic or 0) / n if n else 0.0}
+        return {"words": {}, "bias": -20.0, "leak": min((toxic or 0) / n, MOST_LEAK) if n else 0.0}
     number = {f: i for i, (f, _, _) in enumerate(kept)}
     model = fit(bags(rows, number).collect(), len(kept))
     words = {f: float(w) for (f, _, _), w in zip(kept, model["weights"]) if abs(w) > 1e-4}

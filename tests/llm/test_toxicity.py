@@ -87,6 +87,31 @@ def test_gradient_lowers_the_loss():
     assert model["weights"][0] > 4 and model["weights"][1] < 1 and model["leak"] < 0.05
 
 
+def test_common_labels_are_explained_by_sentences():
+    bags = [{"y": 1, "n": 3, "at": [0, 1], "f": [0, 1]}, {"y": 0, "n": 4, "at": [0], "f": [1]}, {"y": 0, "n": 400, "at": [], "f": []}] * 20
+    model = toxicity.fit(bags, 2)
+    assert model["weights"][0] > 4 and model["weights"][1] < 1 and model["leak"] <= 0.05
+
+
+@pytest.mark.parametrize("toxic, n", [(12, 60), (20, 60), (300, 600)])
+def test_common_labels_are_recalled(spark, toxic, n):
+    texts = [f"plain words stand here. {'blorf comes' if i < toxic else 'nothing comes'}. more words." for i in range(n)]
+    docs = spark.createDataFrame([*enumerate(texts), (n, ""), (n + 1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(n)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    found = toxicity.score(docs, model).where("predicted = 1").collect()
+    assert {r["doc_id"] for r in found} == set(range(toxic))
+    assert toxicity.keep_harmless(docs, model).count() == n + 2 - toxic
+
+
+def test_leak_is_bounded_without_features(spark):
+    docs = spark.createDataFrame([(i, "all words alike") for i in range(40)], "doc_id long, text string")
+    for share in (0.5, 1.0):
+        labels = spark.createDataFrame([(i, int(i < 40 * share)) for i in range(40)], "doc_id long, toxic int")
+        model = toxicity.train(docs, labels, F.lit(True))
+        assert not model["words"] and toxicity.keep_harmless(docs, model).count() == 40
+
+
 def test_query(spark):
     rows = QUERIES["op4_noisy_or_toxicity"](spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
