@@ -195,12 +195,13 @@ def first_shingles(docs: DataFrame, common: Broadcast, shared: Broadcast, salt:
 
 def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
     """``node, items``: the whole sets of the needed nodes, each once. Only texts that the bitmap lets through are cut up."""
-    place = F.pmod("k", F.lit(BITMAP))
+    # Places count from 1: the bucket of place 0 is one of its own.
+    place = F.pmod("k", F.lit(BITMAP)) + 1
     bits = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
     )
     # At most BITMAP / 8 bytes, whatever is needed.
-    bitmap = np.zeros(BITMAP // 8 + 4096, np.uint8)
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
     for r in bits.collect():
         start = (r["b"] - 1) * 4096
         bitmap[start : start + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -209,7 +210,6 @@ def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
         for part in slices(batches):
-            # Bit positions count from 1 in the bucket after the one of 0.
             bit = part.column("bit").to_numpy()
             bucket = part.column("bucket").to_numpy()
             at = (bucket - 1) * 4096 + (bit >> 3)

@@ -119,3 +119,13 @@ def test_common_order_is_a_bijection():
     got = jaccard.ordered(items, common)
     assert sorted(got.tolist()) == items.tolist()
     assert set(got[-len(common):].tolist()) == set(items[::7].tolist())
+
+
+def test_sets_of_rows_at_the_ends_of_the_bitmap(spark):
+    keys = [0, 1, jaccard.BITMAP - 1, jaccard.BITMAP, -jaccard.BITMAP, 32767, 32768, 5]
+    docs = spark.createDataFrame([(k, f"words of the text number {n} alone") for n, k in enumerate(keys)], "k long, text string")
+    for wanted in (keys, [0], [jaccard.BITMAP - 1]):
+        texts = [r["text"] for r in docs.collect() if r["k"] % jaccard.BITMAP in {k % jaccard.BITMAP for k in wanted}]
+        nodes = {int(jaccard.node_of(jaccard.shingles(t), 7)[0]) for t in texts}
+        needed = spark.createDataFrame([(k, 0) for k in wanted], "k long, node long")
+        assert {r["node"] for r in jaccard.sets_of(docs, needed, 7).collect()} == nodes
