@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, jaccard, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
+from inkwell.llm import bpe, jaccard, lines, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +202,23 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""with cut as (
+           select rid, doc_id, line, place, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+           from (select rid, doc_id, unnest(v) as line, generate_subscripts(v, 1) as place
+                 from (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as v from documents))
+       ), often as (
+           select k, max(doc_id) as last from cut where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+       ), judged as (
+           select c.*, o.k is not null and (doc_id is null or doc_id < last) as goes from cut c left join often o on c.k = o.k
+       )
+       select doc_id, count(*) as n_lines, count(*) filter (goes) as n_dropped,
+              sha256(coalesce(string_agg(line, chr(10) order by place) filter (not goes), '')) as kept_sha256
+       from judged group by rid, doc_id"""
+)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
