@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, jaccard, lines, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity
+from inkwell.llm import bpe, jaccard, lines, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity, whitening
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +222,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
