@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, jaccard, lines, packing, quality, secrets, sharding, surrogates, token_counts, topk, toxicity, whitening
+from inkwell.llm import bpe, jaccard, lines, packing, phrases, quality, secrets, sharding, surrogates, token_counts, topk, toxicity, whitening
 from inkwell.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +227,38 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    r"""with pieces as (
+           select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents
+       ), words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+       totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+       grams as materialized (
+           select lang, g, len(string_split(g, ' ')) as k, count(*)::hugeint as f from (
+               select lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                   list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as g from words
+           ) group by lang, g
+       ), candidates as (select lang, g, k, f as a, string_split(g, ' ') as v from grams where k > 1 and f >= 10),
+       halves as (
+           select lang, g, a, cut, array_to_string(v[1:cut], ' ') as x, array_to_string(v[cut + 1:], ' ') as y
+           from (select *, unnest(range(1, k)) as cut from candidates)
+       ), cuts as (
+           select h.lang, h.g, h.a, cut, x.f as l, y.f as r, 1000000 * h.a * h.a // (x.f * y.f) as score
+           from halves h join grams x on x.lang = h.lang and x.g = h.x join grams y on y.lang = h.lang and y.g = h.y
+       ), lowest as (select *, row_number() over (partition by lang, g order by score, cut) as place from cuts),
+       longer as (
+           select lang, v[1] || ' ' || v[2] as g, a from candidates where k = 3
+           union all select lang, v[2] || ' ' || v[3], a from candidates where k = 3
+       ), covered as (
+           select distinct c.lang, c.g from candidates c join longer o on o.lang = c.lang and o.g = c.g where 100 * o.a >= 50 * c.a
+       ), ranked as (
+           select lang, row_number() over (partition by lang order by score desc, a desc, g) as rank, g as phrase, a, l, r, score
+           from lowest anti join covered using (lang, g) where place = 1
+       )
+       select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n, cast(score as bigint) as score
+       from ranked join totals using (lang) where rank <= 2000"""
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
