@@ -30,8 +30,8 @@ PARTED = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 NO_LANGUAGE = "und"
 
 #: A task counts so many words or bytes at a time, then hands its sums on.
-SLICE_WORDS = 3_000_000
-SLICE_BYTES = 32 << 20
+SLICE_WORDS = 1_000_000
+SLICE_BYTES = 12 << 20
 #: A text is cut up so many bytes at a time, between words.
 CHUNK = 1 << 20
 #: Bits of a word's number in a slice; three numbers fit into 64 bits.
@@ -164,7 +164,7 @@ def sums(piece: Slice, orders: tuple[int, ...], passes: Callable | None) -> Iter
             total = np.bincount(of[ids[0]], weights=counts, minlength=len(names)).astype(np.int64)
             met = np.flatnonzero(total)
             yield batch(names.take(pa.array(met)), pa.array([""] * len(met), pa.string()), total[met])
-        step = max(1, min(1 << 16, (1 << 26) // max(map(len, piece.words))))
+        step = max(1, min(1 << 16, (1 << 26) // (1 + max(map(len, piece.words)))))
         for at in range(0, len(counts), step):
             taken = [words.take(pa.array(i[at : at + step])) for i in ids]
             phrase = pc.binary_join_element_wise(*taken, b" ") if order > 1 else taken[0]
