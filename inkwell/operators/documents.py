@@ -19,7 +19,6 @@ from inkwell.operators.groups import (
     dense_index,
     ordered_segments,
     ordered_text,
-    running_before,
 )
 
 
@@ -49,14 +48,9 @@ def document_from_pages(
         tables = F.coalesce("tables", F.array().cast("array<array<array<string>>>"))
         text = F.concat(text, F.array_join(F.transform(tables, titled), ""))
         found = F.size(tables)
-    # array_size-style counting happens per page, before any text moves.
-    facts = pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.sum(found).cast("bigint").alias("tables"),
-        F.bool_or(F.coalesce("has_images", F.lit(False))).alias("has_images"),
-    )
-    texts = ordered_text(pages, ["doc_id"], ["page_no"], text, "", block_of("page_no"), segment_chars)
-    return texts.drop("pieces").join(facts, "doc_id")
+    facts = {"pages": F.lit(1), "tables": found, "images": F.coalesce("has_images", F.lit(False)).cast("int")}
+    texts = ordered_text(pages, ["doc_id"], ["page_no"], text, "", block_of("page_no"), segment_chars, facts=facts)
+    return texts.select("doc_id", "segment_no", "text", "pages", "tables", (F.col("images") > 0).alias("has_images"))
 
 
 def document_from_blocks(blocks: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
@@ -65,29 +59,24 @@ def document_from_blocks(blocks: DataFrame, segment_chars: int = SEGMENT_CHARS)
     Paragraphs that are not blank come first, then the tables, numbered.
     ``kind`` is ``paragraph``, ``table`` or ``image``.
     """
-    is_table = F.col("kind") == "table"
-    said = (F.col("kind") == "paragraph") & F.col("text").rlike(f"[^{SPACE}]")
-    parts = blocks.where(is_table | said).withColumn("part", is_table.cast("int"))
+    is_table = F.coalesce(F.col("kind") == "table", F.lit(False))
+    said = F.coalesce((F.col("kind") == "paragraph") & F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
+    parts = blocks.withColumn("part", is_table.cast("int"))
     # Blocks of the second part follow all blocks of the first.
     span = F.col("part").cast("bigint") * F.lit(1 << 40) + block_of("seq")
-    order = ["part", "seq"]
-    # Paragraphs count nothing, so what runs before a table is the number of tables.
-    numbered = running_before(parts, ["doc_id"], order, F.col("part").cast("bigint"), span, "_table")
-    title = F.format_string("\nTable %d:\n", F.col("_table") + 1)
-    piece = F.when(is_table, F.concat(title, _table_rows(F.col("cells")), F.lit("\n"))).otherwise(
-        F.concat("text", F.lit("\n"))
+    piece = F.when(is_table, F.concat(_table_rows(F.col("cells")), F.lit("\n"))).when(said, F.concat("text", F.lit("\n")))
+    facts = {
+        "paragraphs": said.cast("int"), "tables": is_table.cast("int"),
+        "images": F.coalesce(F.col("kind") == "image", F.lit(False)).cast("int"),
+    }
+    texts = ordered_text(
+        parts, ["doc_id"], ["part", "seq"], piece, "", span, segment_chars, facts=facts, skip_null=True, mark=F.col("part"),
+        # Paragraphs count nothing, so what runs before a table is the number of tables.
+        prefix=lambda before: F.when(F.col("part") == 1, F.format_string("\nTable %d:\n", before + 1)),
     )
-    facts = blocks.groupBy("doc_id").agg(
-        F.count_if(said).alias("paragraphs"),
-        F.count_if(is_table).alias("tables"),
-        F.bool_or(F.col("kind") == "image").alias("has_images"),
+    return texts.select(
+        "doc_id", "segment_no", "text", "paragraphs", "tables", (F.col("images") > 0).alias("has_images")
     )
-    texts = ordered_text(numbered, ["doc_id"], order, piece, "", span, segment_chars)
-    none = F.struct(F.lit(0).cast("bigint").alias("segment_no"), F.lit("").alias("text"))
-    joined = facts.join(texts.select("doc_id", F.struct("segment_no", "text").alias("_t")), "doc_id", "left")
-    return joined.select(
-        "doc_id", F.coalesce("_t", none).alias("_t"), "paragraphs", "tables", "has_images"
-    ).select("doc_id", "_t.segment_no", "_t.text", "paragraphs", "tables", "has_images")
 
 
 def table_text(
@@ -108,11 +97,10 @@ def table_text(
     }
     line = F.concat(F.to_csv(F.struct(*columns), options), F.lit("\n"))
     header = F.concat(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in columns]), options), F.lit("\n"))
-    facts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    texts = ordered_text(rows, keys, order, line, "", block, segment_chars)
+    texts = ordered_text(rows, keys, order, line, "", block, segment_chars, facts={"rows": F.lit(1)})
     first = F.when(F.col("segment_no") == 0, F.concat(header, F.col("text"))).otherwise(F.col("text"))
-    return texts.select(*keys, "segment_no", first.alias("text")).join(facts, list(keys)).withColumn(
-        "columns", F.lit(len(columns)).cast("bigint")
+    return texts.select(
+        *keys, "segment_no", first.alias("text"), "rows", F.lit(len(columns)).cast("bigint").alias("columns")
     )
 
 
@@ -173,10 +161,8 @@ def combined_metadata(
     """Names and types of the combined files, in order: ``keys, segment_no, files, file_types, total_files``."""
     files, block = _blocked(files, keys, order, block)
     entry = F.struct("filename", "file_type")
-    lists = ordered_segments(files, keys, order, entry, F.lit(1), block, segment_items)
-    totals = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_files"))
-    joined = lists.join(totals, list(keys)) if keys else lists.crossJoin(F.broadcast(totals))
-    return joined.select(
+    lists = ordered_segments(files, keys, order, entry, F.lit(1), block, segment_items, {"total_files": F.lit(1)})
+    return lists.select(
         *keys, "segment_no", F.col("items.filename").alias("files"), F.col("items.file_type").alias("file_types"),
         "total_files",
     )

@@ -13,7 +13,8 @@ Group keys must not be NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,28 +116,102 @@ def ordered_segments(
     size: Column,
     block: Column,
     segment_size: int = SEGMENT_CHARS,
+    facts: Mapping[str, Column] | None = None,
+    mark: Column | None = None,
+    prefix: Callable[[Column], Column] | None = None,
+    skip_null: bool = False,
 ) -> DataFrame:
-    """Ordered lists of ``item`` per group, cut into segments of bounded size.
+    """Ordered lists of ``item`` per group, cut into segments of bounded size: ``keys, segment_no, items, facts``.
 
     An item belongs to the segment in which it starts, so a segment is at most
     ``segment_size`` plus one item, and a group smaller than that is one row.
-    The segments of a group, in order, are the whole list.
+    The segments of a group, in order, are the whole list. ``order`` must be
+    unique within the group; keys may be NULL here.
+
+    ``facts`` are whole numbers summed over the group and given with each of its
+    segments. With ``mark`` each text item gets ``prefix(marks before it)`` put
+    ahead. With ``skip_null`` rows without an item count in facts and marks only.
+
+    Items move once, by (group, block): sums of sizes alone say where in its
+    group a block begins. Only segments on the border of two blocks, which heavy
+    groups alone have, are put together in a second exchange.
     """
-    placed = running_before(
-        df.select(*keys, *order, item.alias("_item"), size.cast("bigint").alias("_size"), block.alias("_span")),
-        keys,
-        order,
-        F.col("_size"),
-        F.col("_span"),
-        "_start",
+    facts = {name: value.cast("bigint") for name, value in (facts or {}).items()}
+    # A struct is never NULL, so joins add no filter and all uses below share one exchange.
+    group = ["_group"] if keys else []
+    whole = [F.struct(*keys).alias("_group")] if keys else []
+    inside = [*group, "_block"]
+    rows = _blocked(
+        df.select(
+            *whole, *order, item.alias("_item"), size.cast("bigint").alias("_size"), F.coalesce(block, F.lit(0)).alias("_span"),
+            F.struct(*[value.alias(name) for name, value in facts.items()], F.lit(0).alias("_none")).alias("_facts"),
+            (F.lit(0) if mark is None else mark).cast("bigint").alias("_mark"),
+        ),
+        group, F.coalesce("_span", F.lit(0)),
+    ).withColumn("_block", F.coalesce("_block", F.lit(0)))
+    earlier = Window.partitionBy(*inside).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy("_block")
+    zero = F.lit(0).cast("bigint")
+
+    def marked(part: DataFrame) -> DataFrame:
+        """Sizes with the prefix, and the prefix."""
+        if prefix is None:
+            return part
+        totals = rows.where("_heavy").groupBy(*inside).agg(F.sum("_mark").alias("_marks"))
+        base = totals.select(*inside, (F.sum("_marks").over(across) - F.col("_marks")).alias("_marks_base"))
+        local = part.withColumn("_marks_local", F.coalesce(F.sum("_mark").over(earlier), zero))
+        before = F.coalesce("_marks_base", zero) + F.col("_marks_local")
+        ahead = local.join(base, inside, "left").withColumn("_prefix", prefix(before))
+        return ahead.withColumn("_size", F.col("_size") + F.coalesce(F.length("_prefix"), zero)).drop("_marks_base", "_marks_local")
+
+    # Sizes only, and of heavy groups only; without one AQE leaves all of this out.
+    narrow = rows.where("_heavy").select(*inside, *order, "_size", "_mark", "_facts")
+    blocks = marked(narrow).groupBy(*inside).agg(
+        F.sum("_size").alias("_total"), *[F.sum(f"_facts.{name}").alias(f"_f_{name}") for name in facts]
     )
-    segment = F.floor(F.col("_start") / F.lit(segment_size)).cast("bigint")
-    entry = F.struct(*order, "_item")
-    return (
-        placed.groupBy(*keys, segment.alias("segment_no"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(*keys, "segment_no", F.transform("_entries", lambda e: e["_item"]).alias("items"))
+    all_of = Window.partitionBy(*group)
+    base = blocks.select(
+        *inside, (F.sum("_total").over(across) - F.col("_total")).alias("_base"), F.sum("_total").over(across).alias("_end"),
+        (F.row_number().over(across) == 1).alias("_first"), F.lead("_block").over(across).isNull().alias("_last"),
+        *[F.sum(f"_f_{name}").over(all_of).alias(f"_t_{name}") for name in facts],
     )
+    placed = marked(rows).withColumn("_local", F.coalesce(F.sum("_size").over(earlier), zero))
+    value = F.col("_item") if prefix is None else F.concat(F.coalesce("_prefix", F.lit("")), "_item")
+
+    def number(start: Column) -> Column:
+        return F.floor(start / F.lit(segment_size)).cast("bigint")
+
+    def cut(joined: DataFrame, on_border: bool) -> DataFrame:
+        """Segments within a block; those on its border are parts of a segment."""
+        segment = number(F.coalesce("_base", zero) + F.col("_local"))
+        border = (~F.col("_first") & (segment == number(F.col("_base")))) | (~F.col("_last") & (segment == number(F.col("_end"))))
+        border = F.coalesce(border, F.lit(False))
+        sums = [F.sum(f"_facts.{name}").alias(f"_f_{name}") for name in facts]
+        known = [F.first(f"_t_{name}").alias(f"_t_{name}") for name in facts]
+        parts = joined.where(border if on_border else ~border).groupBy(*inside, segment.alias("segment_no")).agg(
+            F.collect_list(F.struct(*order, value.alias("_item"))).alias("_entries"), *sums, *known
+        )
+        if on_border:
+            # Named although the total is there: both branches must read the same columns to share one exchange.
+            totals = [F.coalesce(F.first(f"_t_{name}"), F.sum(f"_f_{name}")).alias(name) for name in facts]
+            return parts.groupBy(*group, "segment_no").agg(F.flatten(F.collect_list("_entries")).alias("_entries"), *totals)
+        # Of a group in one block the facts are those of its segments.
+        block_of_part = Window.partitionBy(*inside)
+        return parts.select(
+            *group, "segment_no", "_entries",
+            *[F.coalesce(f"_t_{name}", F.sum(f"_f_{name}").over(block_of_part)).alias(name) for name in facts],
+        )
+
+    inner = cut(placed.join(base, inside, "left"), False)
+    border = cut(placed.join(base, inside), True)
+    entries = F.array_sort("_entries")
+    if skip_null:
+        entries = F.filter(entries, lambda e: e["_item"].isNotNull())
+    out = inner.unionByName(border).select(
+        *[F.col(f"_group.{k}").alias(k) for k in keys], "segment_no",
+        F.transform(entries, lambda e: e["_item"]).alias("items"), *facts,
+    )
+    return out.where((F.size("items") > 0) | (F.col("segment_no") == 0)) if skip_null else out
 
 
 def ordered_text(
@@ -147,21 +222,24 @@ def ordered_text(
     separator: str,
     block: Column,
     segment_chars: int = SEGMENT_CHARS,
+    **more: Any,
 ) -> DataFrame:
-    """Pieces of each group joined in order: ``keys, segment_no, pieces, text``.
+    """Pieces of each group joined in order: ``keys, segment_no, pieces, text`` and the facts asked for.
 
-    A NULL piece keeps its place as an empty string. Segments are joined by the
-    same separator as pieces.
+    A NULL piece keeps its place as an empty string, unless ``skip_null`` is
+    asked for. Segments are joined by the same separator as pieces. ``more`` is
+    handed to ``ordered_segments``.
     """
-    piece = F.coalesce(piece, F.lit(""))
-    segments = ordered_segments(
-        df, keys, order, piece, F.length(piece) + len(separator), block, segment_chars
-    )
+    if not more.get("skip_null"):
+        piece = F.coalesce(piece, F.lit(""))
+    size = F.coalesce(F.length(piece) + len(separator), F.lit(0))
+    segments = ordered_segments(df, keys, order, piece, size, block, segment_chars, **more)
     return segments.select(
         *keys,
         "segment_no",
         F.size("items").cast("bigint").alias("pieces"),
         F.array_join("items", separator).alias("text"),
+        *(more.get("facts") or ()),
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as contract
 import check_oracle
 from inkwell.plans.registry import ORACLE, QUERIES
+from tests.plan_nodes import exchanges, scans
 
 SF = "/root/testdata/sf0.001"
 ORDERED = [
@@ -59,3 +60,21 @@ def test_scans_are_pruned(spark):
     assert re.search(r"ReadSchema: struct<doc_id:bigint>", plan_of(spark, "assign_batches_by_key"))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan_of(spark, "recent_events")
     assert "text" not in re.findall(r"ReadSchema: \S+", plan_of(spark, "filter_batches"))[0]
+
+
+ONCE = ["merge_chunks", "combine_files", "conversation_log", "pages_to_documents", "blocks_to_documents", "table_to_csv"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_texts_move_once(spark, name):
+    got = contract.queries()[name](spark, SF)
+    assert len(exchanges(got, "_item")) == 1 and not exchanges(got, "buf") and not exchanges(got, "text")
+    assert len(scans(got, "c_name" if name == "table_to_csv" else "text")) <= 2
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_texts_move_once_when_groups_are_cut(spark, small_limits, name):
+    got = contract.queries()[name](spark, SF)
+    # Border segments are put together from their parts; whole texts do not move again.
+    assert len(exchanges(got, "_item")) == 1 and len(exchanges(got, "buf")) <= 1 and not exchanges(got, "text")
+    assert len(scans(got, "c_name" if name == "table_to_csv" else "text")) <= 2

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import groups
+from tests.plan_nodes import exchanges, scans
 
 
 @pytest.fixture
@@ -93,3 +94,57 @@ def test_join_to_one(spark, rows, cut, request):
 def test_latest_by(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "id string, seq int, s string")
     assert sorted(map(tuple, groups.latest_by(df, "id", ["seq"]).collect())) == [("a", 3, "z"), ("b", 1, None)]
+
+
+def test_null_keys_are_a_group_of_their_own(spark, small_limits):
+    data = [(None if i % 2 else "a", i, "xy"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(data, "k string, o int, s string")
+    got = groups.ordered_text(df, ["k"], ["o"], F.col("s"), "", groups.block_of("o"), facts={"n": F.lit(1)}).collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", 0, 15, "x" * 15, 15), (None, 0, 15, "y" * 15, 15)]
+
+
+@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize("size", [5, 1_000_000])
+def test_facts_marks_and_absent_items(spark, rows, cut, size, request):
+    if cut:
+        request.getfixturevalue("small_limits")
+    item = F.when(F.col("s") != "a", F.col("s"))
+    got = groups.ordered_text(
+        rows, ["k"], ["o"], item, "", groups.block_of("o"), size, facts={"v": F.col("v"), "n": F.lit(1)}, skip_null=True,
+        mark=(F.col("s") == "b").cast("int"), prefix=lambda before: F.concat(F.lit("<"), before.cast("string"), F.lit(">")),
+    )
+    want, facts = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["o"]):
+        text, marks = want.get(r["k"], ("", 0))
+        want[r["k"]] = (text if r["s"] == "a" else f"{text}<{marks}>{r['s']}", marks + (r["s"] == "b"))
+        v, n = facts.get(r["k"], (0, 0))
+        facts[r["k"]] = (v + r["v"], n + 1)
+    whole = {}
+    for r in sorted(got.collect(), key=lambda r: (r["k"], r["segment_no"])):
+        whole[r["k"]] = whole.get(r["k"], "") + r["text"]
+        assert (r["v"], r["n"]) == facts[r["k"]]
+    assert whole == {k: text for k, (text, _) in want.items()}
+
+
+def test_segments_do_not_depend_on_blocks(rows, monkeypatch):
+    def run():
+        return sorted(map(tuple, groups.ordered_text(rows, ["k"], ["o"], F.col("s"), "-", groups.block_of("o"), 9).collect()))
+
+    want = run()
+    monkeypatch.setattr(groups, "HEAVY_FLOOR", 2)
+    for span in (1, 4, 50):
+        monkeypatch.setattr(groups, "BLOCK_SPAN", span)
+        assert run() == want
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_texts_move_once(spark, tmp_path, rows, cut, request):
+    """One exchange of items; of groups that are cut only border segments move again, as collected lists."""
+    if cut:
+        request.getfixturevalue("small_limits")
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    texts = lambda: groups.ordered_text(stored, ["k"], ["o"], F.col("s"), "-", groups.block_of("o"))
+    assert len(exchanges(texts(), "_item")) == 1
+    assert len(exchanges(texts(), "buf")) <= (1 if cut else 0)
+    assert len(scans(texts(), "s")) <= 2
