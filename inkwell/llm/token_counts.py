@@ -117,7 +117,9 @@ def length_table(docs: DataFrame, content: Broadcast, text: str) -> Broadcast:
     """Frequent units with their token counts: at most ``FREQUENT`` units of ``LONGEST`` characters."""
     found = [u for u, _ in frequent_units(docs, text).collect() if " " not in u and u]
     encoded = parsed_tokenizer(content.value).encode_batch([" " + u for u in found], add_special_tokens=False)
-    table = pickle.dumps((" ".join(found), bytes(min(len(e.ids), 255) for e in encoded)))
+    # A length is one byte here; the few units of more tokens are encoded where they occur.
+    short = [(u, len(e.ids)) for u, e in zip(found, encoded) if len(e.ids) < 256]
+    table = pickle.dumps((" ".join(u for u, _ in short), bytes(n for _, n in short)))
     return docs.sparkSession.sparkContext.broadcast(table)
 
 

@@ -97,6 +97,16 @@ def test_frequent_units_cover_all_documents(spark):
     assert [r["unit"] for r in limited] == ["common"]
 
 
+def test_frequent_units_of_many_tokens(spark):
+    """A frequent unit of 64 characters has more tokens than a byte can say."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join([chr(0x12000) * 64] * 10), " ".join([chr(0x20000) * 64] * 3), "a " * 9] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in token_counts.count_tokens(docs, path).collect())
+    want = [(i, len(t.encode()), len(library_ids(path, t))) for i, t in enumerate(texts)]
+    assert got == want and want[0][2] > 10 * 255
+
+
 def test_query_digests(spark):
     from inkwell.llm.queries import QUERIES
 
