@@ -27,4 +27,4 @@ def as_rows(df):
 
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
