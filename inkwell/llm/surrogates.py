@@ -25,6 +25,9 @@ SCRIPTS = {
     "Greek": ("βγδκλμνπρστφ", "αεηιο", ("ος", "ης", "ων"), ("ια", "ινα", "εα")),
     "Latin": ("bcdfgklmnprstv", "aeiou", ("an", "or", "ick"), ("ana", "ia", "elle")),
 }
+#: A name's token may have capitals and apostrophes inside (McDonald, O'Brien); initials stand before or between tokens.
+TOKEN = r"\p{Lu}(?:\p{L}|['’](?=\p{L}))++(?!\.\p{Lu}\.)"
+INITIALS = r"(?:\p{Lu}\.)++"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -33,13 +36,19 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "card": r"(?<![\p{L}\p{N}_])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\p{L}\p{N}_])",
     "phone": r"(?<![\p{L}\p{N}_+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}_]|[.-]\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
+    # As many tokens as there are; possessive, so that no shorter name is found where a digit follows.
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
+    rf"(?:{INITIALS} ?)*+{TOKEN}(?:[ -](?:{INITIALS}|{TOKEN}))*+(?![\p{{L}}\p{{N}}_])",
 }
 ENTITY = "|".join(PATTERNS.values())
 TITLE = rf"^(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
 FEMALE_TITLE = rf"^(?:{'|'.join(FEMALE)})\.? "
+#: Initials written up against the token that follows are a token of their own.
+INITIALED = rf"({INITIALS})(?=\p{{L}})"
 #: A mention without a title; no other entity has letters only.
-MENTION = r"^\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}$"
+MENTION = r"^\p{Lu}[\p{L}'’]++(?:[ -]\p{Lu}[\p{L}'’]++)*+$"
+#: A corpus with more entities of a type than free surrogates cannot keep them distinct; after so many draws it is an error.
+MOST_DRAWS = 200
 #: Digits of a phone number that tell it apart; what stands before is the country's.
 PHONE_DIGITS = 10
 
@@ -57,7 +66,7 @@ def digits(e: Column) -> Column:
 
 
 def name_tokens(e: Column) -> Column:
-    return F.split(F.regexp_replace(e, TITLE, ""), "[ -]")
+    return F.split(F.regexp_replace(F.regexp_replace(e, TITLE, ""), INITIALED, "$1 "), "[ -]")
 
 
 def members(e: Column) -> Column:
@@ -71,21 +80,26 @@ def members(e: Column) -> Column:
     return F.when(
         kind == "name",
         bind(name_tokens(e), lambda t: F.transform(
-            t, lambda x, i: F.struct(F.when(i == F.size(t) - 1, "surname").otherwise(given).alias("type"), F.lower(x).alias("canon"))
+            t, lambda x, i: F.struct(
+                F.when(x.endswith("."), "initials").when(i == F.size(t) - 1, "surname").otherwise(given).alias("type"),
+                F.lower(x).alias("canon"),
+            )
         )),
     ).otherwise(F.array(F.struct(kind.alias("type"), canon.alias("canon"))))
 
 
 def known_names(entities: Column) -> Column:
     """``token, type, canon`` of the name tokens among a text's entities, in their order, each once."""
-    return F.array_distinct(F.flatten(F.transform(F.filter(entities, lambda e: e.rlike(TITLE)), lambda e: F.zip_with(
+    every = F.flatten(F.transform(F.filter(entities, lambda e: e.rlike(TITLE)), lambda e: F.zip_with(
         name_tokens(e), members(e), lambda t, m: F.struct(t.alias("token"), m["type"].alias("type"), m["canon"].alias("canon"))
-    ))))
+    )))
+    # Initials alone are no mention.
+    return F.array_distinct(F.filter(every, lambda n: n["type"] != "initials"))
 
 
 def with_mentions(names: Column) -> Column:
-    """The pattern of entities and of up to three known name tokens in a row, as whole words."""
-    # Tokens are letters only, so they need no quoting. Most words fail at their first letter.
+    """The pattern of entities and of up to three known name tokens in a row, as whole words; longer rows are several mentions."""
+    # Tokens are letters and apostrophes only, so they need no quoting. Most words fail at their first letter.
     one = F.concat(F.lit(r"(?=\p{Lu})(?:"), F.array_join(F.array_distinct(names["token"]), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     return bind(one, lambda o: F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])"), o, F.lit("(?:[ -]"), o, F.lit("){0,2}")))
 
@@ -136,8 +150,11 @@ def new_card(canon: Column, seed: Column) -> Column:
     ).cast("string")))
 
 
-def new_name(canon: Column, kind: Column, seed: Column) -> Column:
-    """An invented name of the same script, with an ending of the gender if it is a given name."""
+def new_name(canon: Column, kind: Column, seed: Column, attempt: Column) -> Column:
+    """An invented name of the same script, with an ending of the gender if it is a given name.
+
+    Each further draw has one syllable more, so the space of names never is full.
+    """
 
     def made(consonants: str, vowels: str, male: tuple, female: tuple) -> Column:
         syllables = [pick(s, drawn(seed, n, len(s))) for n, s in enumerate((consonants, vowels) * 2 + (consonants,))]
@@ -146,7 +163,13 @@ def new_name(canon: Column, kind: Column, seed: Column) -> Column:
             return F.get(F.array(*map(F.lit, choices)), drawn(seed, 9, len(choices)))
 
         surname = F.concat(pick(vowels, drawn(seed, 7, len(vowels))), pick(consonants, drawn(seed, 8, len(consonants))))
-        return F.concat(*syllables, F.when(kind == "given_m", ending(male)).when(kind == "given_f", ending(female)).otherwise(surname))
+        further = F.array_join(F.transform(F.slice(F.sequence(F.lit(10), F.lit(10) + attempt), F.lit(2), attempt), lambda n: F.concat(
+            pick(consonants, drawn(seed, n * 2, len(consonants))), pick(vowels, drawn(seed, n * 2 + 1, len(vowels)))
+        )), "")
+        initials = F.array_join(F.transform(
+            F.split(canon, ""), lambda c, n: F.when(c == ".", c).otherwise(pick(consonants, drawn(seed, n, len(consonants))))
+        ), "")
+        return F.when(kind == "initials", initials).otherwise(F.concat(*syllables[:-1], further, syllables[-1], F.when(kind == "given_m", ending(male)).when(kind == "given_f", ending(female)).otherwise(surname)))
 
     name = made(*SCRIPTS["Latin"])
     for script in ("Cyrillic", "Greek"):
@@ -173,6 +196,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Colu
 
     def ip(seed: Column) -> Column:
         private = F.regexp_extract(canon, r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)", 1)
+        # A private range with more entities than addresses goes on in the widest one.
+        private = F.when((attempt >= 8) & (F.length(private) > 0), "10.").otherwise(private)
         kept = F.when(F.length(private) > 0, private).otherwise(F.concat((11 + drawn(seed, 0, 89)).cast("string"), F.lit(".")))
         octets = F.transform(F.sequence(F.lit(1), 4 - F.size(F.split(kept, r"\.")) + 1), lambda i: (1 + drawn(seed, i, 254)).cast("string"))
         return F.concat(kept, F.array_join(octets, "."))
@@ -185,7 +210,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, secret: str) -> Colu
         return (
             F.when(kind == "email", email(seed)).when(kind == "ip", ip(seed)).when(kind == "card", new_card(canon, seed))
             .when(kind == "iban", F.concat(F.left(canon, F.lit(2)), F.substr(same_classes(canon, seed), F.lit(3), F.length(canon))))
-            .when(kind.isin("given_m", "given_f", "surname"), new_name(canon, kind, seed)).otherwise(number(seed))
+            .when(kind.isin("given_m", "given_f", "surname", "initials"), new_name(canon, kind, seed, attempt)).otherwise(number(seed))
         )
 
     return bind(seeded(canon, attempt), chosen)
@@ -208,12 +233,12 @@ def replacement(e: Column, attempts: Column, names: Column, secret: str) -> Colu
         m["type"], m["canon"], F.coalesce(F.element_at(attempts, F.concat_ws(":", m["type"], m["canon"])), F.lit(0)), secret
     ))
     title = F.regexp_extract(e, TITLE, 0)
-    breaks = F.regexp_extract_all(F.regexp_replace(e, TITLE, ""), F.lit("[ -]"), F.lit(0))
+    breaks = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(e, TITLE, ""), INITIALED, "$1 "), F.lit("[ -]"), F.lit(0))
 
     def form(s: Column) -> Column:
         one = F.get(s, 0)
         name = F.concat(title, F.array_join(F.flatten(F.zip_with(
-            F.transform(s, F.initcap), breaks, lambda t, b: F.array(t, F.coalesce(b, F.lit("")))
+            F.transform(s, lambda t: F.when(t.endswith("."), F.upper(t)).otherwise(F.initcap(t))), breaks, lambda t, b: F.array(t, F.coalesce(b, F.lit("")))
         )), ""))
         return (
             F.when(kind == "name", name).when(kind == "ip", one)
@@ -231,7 +256,7 @@ def redrawn(entities: DataFrame, secret: str) -> DataFrame:
     entities that share a surrogate the first by canonical form keeps it.
     """
     state = written(entities.select("type", "canon", F.lit(0).alias("attempt")), "entities")
-    while True:
+    for _ in range(MOST_DRAWS):
         drawn_ = state.withColumn("s", surrogate(F.col("type"), F.col("canon"), F.col("attempt"), secret))
         # One row per surrogate: who draws it, and whether it is an entity itself.
         sides = drawn_.select("type", F.col("s").alias("v"), "canon").unionByName(
@@ -250,6 +275,7 @@ def redrawn(entities: DataFrame, secret: str) -> DataFrame:
             ),
             "entities",
         )
+    raise ValueError(f"no distinct surrogates in {MOST_DRAWS} draws: a type has more entities than free forms")
 
 
 def entities_of(text: Column) -> Column:
@@ -260,7 +286,9 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text", count: st
     """All rows and columns, with surrogates in ``text`` and the number of replaced entities in ``count``.
 
     NULL and empty texts stay and count 0; equal texts get equal results; an
-    input column named ``count`` is replaced. ``secret`` is the key: another key
+    input column named ``count`` is replaced; a very long text is searched as a
+    whole. Initials get initials, which need not be distinct. A corpus with more
+    entities of a type than there are surrogates is an error. ``secret`` is the key: another key
     gives other surrogates. Names are those after a title, whose gender they
     keep, and all other mentions of their tokens in the same text that are
     written alike, as whole words; each is replaced by the same surrogate and
@@ -269,6 +297,7 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text", count: st
     body = F.col(text)
     found = docs.select(F.explode(F.array_distinct(entities_of(body))).alias("_e"))
     distinct = found.select(F.explode(members(F.col("_e"))).alias("_m")).select("_m.type", "_m.canon").distinct()
+    distinct = distinct.where("type <> 'initials'")  # too few to be distinct
     exceptions = redrawn(distinct, secret)
     rest = [c for c in docs.columns if c not in (text, count)]
     rows = docs.select(*rest, text)

@@ -137,3 +137,33 @@ def test_documents_lose_their_entities(documents):
         assert not any(x in r["text"] for x in old)
         assert r["n_entities"] or r["text"] == r["old"]
     assert seen
+
+
+def test_names_of_any_length_and_shape(spark):
+    texts = [
+        "Mr John Paul George Henry Smith left.", "Mr McDonald and Mrs O'Brien met Ms D’Arcy-McGee.", "Mr J. Smith, Mr J.R. Smith; Mr J.R.Smith",
+        "Mr John Smith1 stays", "Mr John Paul George Smith: John Paul George Smith, McSmith.",
+    ]
+    got = replaced(spark, texts)
+    assert not re.search("John|Paul|George|Henry|Smith", got[0][0]) and len(got[0][0].split()) == 7 and got[0][1] == 1
+    assert not re.search("McDonald|O'Brien|Arcy|McGee", got[1][0]) and got[1][1] == 3
+    smith = re.fullmatch(r"Mr [B-Z]\. (\w+), Mr [B-Z]\.[B-Z]\. \1; Mr [B-Z]\.[B-Z]\. \1", got[2][0])
+    assert smith and smith[1] != "Smith" and got[2][1] == 3
+    assert got[3] == (texts[3], 0)
+    parts = re.fullmatch(r"Mr (\w+ \w+ \w+ \w+): \1, McSmith\.", got[4][0])
+    assert parts and got[4][1] == 3  # a row of four is two mentions
+
+
+def test_a_full_space_is_an_error(spark, monkeypatch):
+    """Five forms for six entities: draws end."""
+    monkeypatch.setattr(surrogates, "MOST_DRAWS", 6)
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, canon, attempt, secret: F.concat(F.lit("s"), F.pmod(F.xxhash64(canon, attempt), F.lit(5)).cast("string")))
+    six = spark.createDataFrame([("phone", f"e{n}") for n in range(6)], "type string, canon string")
+    with pytest.raises(ValueError, match="free forms"):
+        surrogates.redrawn(six, "key")
+    assert surrogates.redrawn(six.limit(1), "key").count() == 0
+
+
+def test_further_draws_of_a_name_are_longer(spark):
+    made = spark.range(40).select(surrogates.surrogate(F.lit("surname"), F.lit("smith"), F.col("id").cast("int"), "key").alias("s")).collect()
+    assert [len(r["s"]) for r in made] == [7 + 2 * n for n in range(40)]
