@@ -9,23 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkwell.functions.pricing import REPORT_DEFAULT, REPORT_PRICES, Price, dollars, price_of
 from inkwell.functions.text import fixed_text, grouped_digits
 from inkwell.functions.times import format_time, older_than, utc_clock
+from inkwell.operators.batch_table import read_batches, store_delete, store_upsert  # noqa: F401
 from inkwell.operators.groups import latest_by, previous_in_group
-from inkwell.schemas import BATCH
-from inkwell.session import scratch, written
+from inkwell.session import path_exists  # noqa: F401
 
 # Statuses a batch is still worked on in, and those it ends in.
 ACTIVE = ("in_progress", "validating")
 TERMINAL = ("completed", "failed", "expired", "cancelled")
 
-BUCKETS = 32
-
 
 def _iso(moment: Column) -> Column:
     return F.date_format(utc_clock(moment), "yyyy-MM-dd'T'HH:mm:ss")
@@ -308,109 +305,3 @@ def poll_timeouts(
     final = F.coalesce("_status", F.lit("unknown"))
     overdue = ~final.isin(*TERMINAL) & (waited > timeout_minutes * 60 * 1_000_000)
     return last.select(key, "first_seen", "last_seen", final.alias("final_status"), overdue.alias("timed_out"))
-
-
-# -- the table on disk ---------------------------------------------------------
-
-
-def _bucket(batch_id: Column | str = "id") -> Column:
-    return F.pmod(F.xxhash64(batch_id), F.lit(BUCKETS)).cast("int")
-
-
-STORED = T.StructType([
-    *BATCH.fields, T.StructField("version", T.ArrayType(T.StringType())), T.StructField("bucket", T.IntegerType())
-])
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """Stored rows with their ``version``; empty if there is no table yet."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], T.StructType(STORED.fields[:-1]))
-    return spark.read.schema(STORED).parquet(path).where(F.col("id").isNotNull()).drop("bucket")
-
-
-def read_batches(spark: SparkSession, path: str, batch_id: str | None = None) -> DataFrame:
-    """The stored batch table, empty if there is none yet. One id reads one bucket."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], BATCH)
-    rows = spark.read.schema(STORED).parquet(path)
-    if batch_id is not None:
-        rows = batch_by_id(rows.where(F.col("bucket") == _bucket(F.lit(batch_id))), batch_id)
-    return rows.where(F.col("id").isNotNull()).drop("bucket", "version")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
-def save_batches(batches: DataFrame, path: str, buckets: Sequence[int] = range(BUCKETS)) -> None:
-    """Replace the given id buckets of the table by these rows. One writer at a time.
-
-    Every bucket also gets a row without an id, so that a bucket whose last batch
-    was deleted is replaced too.
-    """
-    spark = batches.sparkSession
-    marks = spark.createDataFrame([(b,) for b in buckets], "bucket int")
-    rows = batches.withColumn("bucket", _bucket()).unionByName(marks, allowMissingColumns=True)
-    (
-        rows.repartition("bucket")
-        .write.mode("overwrite").partitionBy("bucket")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
-
-
-def _touched(ids: DataFrame) -> list[int]:
-    return [r[0] for r in ids.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
-
-
-def _replace(changed: DataFrame, path: str, buckets: list[int]) -> None:
-    # Written aside first: the buckets are not read while they are replaced.
-    save_batches(written(changed, "batches"), path, buckets)
-
-
-def version_of(updates: DataFrame, order: Sequence[str]) -> Column:
-    """The values of ``order`` as texts that sort as the values do, so they can be stored beside any row."""
-    texts = []
-    for name in order:
-        kind, value = updates.schema[name].dataType, F.col(name)
-        if isinstance(kind, T.IntegralType):
-            value = F.lpad((value.cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")
-        elif isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
-            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        elif not isinstance(kind, T.StringType):
-            raise TypeError(f"{name} is {kind.simpleString()}: order by whole numbers, times or texts")
-        texts.append(F.coalesce(value, F.lit("")))
-    return F.array(*texts)
-
-
-def store_upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Upsert into the stored table. Only the buckets of updated ids are rewritten.
-
-    A stored row is replaced by an update that is not before it in ``order``, so
-    updates may come in any order over any number of calls.
-    """
-    with scratch(updates.sparkSession):
-        _upsert(written(updates.withColumn("version", version_of(updates, order)), "updates"), path, order)
-
-
-def _upsert(updates: DataFrame, path: str, order: Sequence[str]) -> None:
-    touched = _touched(updates)
-    if touched:
-        stored = _stored(updates.sparkSession, path).where(_bucket().isin(*touched))
-        columns = stored.columns
-        newest = latest_by(updates, "id", order).select(*columns).withColumn("_new", F.lit(1))
-        both = stored.withColumn("_new", F.lit(0)).unionByName(newest)
-        rank = [F.coalesce("version", F.array().cast("array<string>")).alias("v"), F.col("_new")]
-        rest = [c for c in columns if c != "id"]
-        kept = both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("_row"))
-        _replace(kept.select("id", "_row.*").select(*columns), path, touched)
-
-
-def store_delete(ids: DataFrame, path: str) -> None:
-    """Delete ids from the stored table. Only their buckets are rewritten."""
-    touched = _touched(ids)
-    if touched:
-        with scratch(ids.sparkSession):
-            stored = _stored(ids.sparkSession, path).where(_bucket().isin(*touched))
-            _replace(delete_batches(stored, ids), path, touched)

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import Any
 from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,10 +82,21 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system that holds ``path``, and the path as it takes it."""
     context = spark.sparkContext
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
 
 
 @contextmanager

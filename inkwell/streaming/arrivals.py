@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkwell.operators.tracking import detected_batches, read_batches, store_upsert
+from inkwell.operators.batch_table import read_batches, store_upsert
+from inkwell.operators.tracking import detected_batches
 
 
 def upsert_stream(
@@ -16,12 +17,13 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Upsert a stream of batch rows into the stored table.
 
-    Running an epoch again gives the same table, so a restart after a lost driver
-    is safe.
+    A micro-batch adds its own rows as one segment. An epoch that is in the table
+    is not added again, so a restart after a lost driver is safe. Fold segments
+    with ``compact_batches`` from time to time, as a job of its own.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        store_upsert(batch, table_path, order)
+        store_upsert(batch, table_path, order, checkpoint, epoch)
 
     writer = updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -43,7 +45,7 @@ def new_input_stream(
 
     def apply(batch: DataFrame, epoch: int) -> None:
         found = detected_batches(batch, read_batches(spark, table_path), F.current_timestamp())
-        store_upsert(found, table_path, ["created_at"])
+        store_upsert(found, table_path, ["created_at"], checkpoint, epoch)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
