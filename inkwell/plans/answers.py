@@ -1,5 +1,6 @@
 """Results, scoring, batch tracking and reports."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions import times
@@ -448,6 +449,15 @@ def status_changes(spark, sf_dir):
     return tracking.status_changes(seen, minute_of(), "id", ("ts", "event_id"))
 
 
+def ended(column: str) -> Column:
+    """Purchase and signup stand for terminal statuses."""
+    return F.when(F.col(column) == "purchase", "completed").when(F.col(column) == "signup", "failed").otherwise(F.col(column))
+
+
+def shown(column: str) -> Column:
+    return F.when(F.col(column) == "completed", "purchase").when(F.col(column) == "failed", "signup").otherwise(F.col(column))
+
+
 @query(
     """select id, final_status, final_status not in ('purchase', 'signup')
               and date_diff('microsecond', first_seen, timestamp '2024-01-31 00:00:00') > 29 * 86400000000::bigint as timed_out
@@ -455,18 +465,10 @@ def status_changes(spark, sf_dir):
 )
 def poll_timeout(spark, sf_dir):
     """Purchase and signup stand for terminal statuses."""
-    status = (
-        F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "signup", "failed")
-        .otherwise(F.col("event_type"))
-    )
-    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", status.alias("status"))
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", ended("event_type").alias("status"))
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
     timed = tracking.poll_timeouts(seen, as_of, timeout_minutes=29 * 1440)
-    back = (
-        F.when(F.col("final_status") == "completed", "purchase").when(F.col("final_status") == "failed", "signup")
-        .otherwise(F.col("final_status"))
-    )
-    return timed.select("id", back.alias("final_status"), "timed_out")
+    return timed.select("id", shown("final_status").alias("final_status"), "timed_out")
 
 
 @query("select count(*) as files, cast(sum(n_chars) as bigint) as bytes, sum(n_chars) / 1048576.0::double as megabytes from documents")

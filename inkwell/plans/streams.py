@@ -4,15 +4,19 @@ A query has to return a batch DataFrame, so each runs its stream over what is
 there, with its own checkpoint, and reads back what was written.
 """
 
+import math
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from inkwell.operators.tracking import read_batches
-from inkwell.plans.answers import CHANGES_SQL, LATEST_SQL, minute_of
+from inkwell.operators.batch_table import read_batches
+from inkwell.plans.answers import CHANGES_SQL, LATEST_SQL, ended, minute_of, shown
 from inkwell.plans.registry import query, table
 from inkwell.session import fresh_folder
 from inkwell.streaming.arrivals import upsert_stream
+from inkwell.streaming.keyed import keyed_status, last_summaries, read_keyed, write_keyed
 from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
-from inkwell.streaming.status import follow_status, status_change_stream
+from inkwell.streaming.status import follow_status
 
 # Bounds what one task can see of one id in a micro-batch.
 BYTES_PER_TRIGGER = 4 * 1024**3
@@ -45,21 +49,74 @@ def stream_status_changes(spark, sf_dir):
     return _read_changes(spark, out)
 
 
+#: Slices of the event time in the order in which their files come, and how many of them the disorder spans.
+SLICES, DISORDER = (1, 0, 3, 2), 2
+
+
+def _range_of(spark, sf_dir):
+    """First and last event time, and the delay that the disorder asks for, in seconds."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return first, last, math.ceil((last - first).total_seconds() / len(SLICES) * DISORDER) + 60 if last else 60
+
+
+def out_of_order(spark, sf_dir, *columns, until=None):
+    """Events as a stream of files out of time order, one a trigger; a last one moves the clock to ``until``."""
+    folder, events = fresh_folder(spark, "arriving"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last, _ = _range_of(spark, sf_dir)
+    micros = F.unix_micros("ts")
+    bounds = events.select(F.min(micros), F.max(micros)).first()
+    slice_ = F.least(F.floor((micros - bounds[0]) * len(SLICES) / F.lit(max(1, (bounds[1] or 0) - (bounds[0] or 0)))), F.lit(len(SLICES) - 1))
+    rows = events.select(*columns)
+    for n in SLICES:
+        events.where(slice_ == n).select(*columns).write.parquet(f"{folder}/{n}")
+    if until is not None:
+        clock = spark.createDataFrame([(until,)], "ts timestamp")
+        clock.select(*[F.col("ts") if c.name == "ts" else F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema]).write.parquet(f"{folder}/clock")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 @query(f"select id, status, ts, previous from ({CHANGES_SQL})")
 def stream_status_live(spark, sf_dir):
-    """The same by way of the state store."""
+    """The same in the order of event time, over files out of that order."""
+    _, last, delay = _range_of(spark, sf_dir)
+    columns = [
+        F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts"), F.col("event_id").alias("sequence")
+    ]
+    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(seconds=delay, days=2))
     out, checkpoint = fresh_folder(spark, "changes"), fresh_folder(spark, "checkpoint")
-    running = (
-        status_change_stream(_seen(spark, sf_dir), terminal=()).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write_keyed(keyed_status(seen, f"{delay} seconds", terminal=()), out, checkpoint).awaitTermination()
+    changes = read_keyed(spark, out, "long", "change")
+    return changes.select("id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), "previous")
+
+
+@query(
+    """with clock as (select max(ts) + interval 1 day as as_of from events),
+       last as (select user_id as id, min(ts) over (partition by user_id) as first_seen, ts as last_seen, event_type as final_status
+                from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
+       select id, first_seen, last_seen, final_status, final_status not in ('purchase', 'signup')
+              and date_diff('microsecond', first_seen, as_of) > 29 * 86400000000::bigint as timed_out from last, clock"""
+)
+def stream_poll_timeout(spark, sf_dir):
+    """Deadlines as timers; a day after the last event the clock stands still. Purchase and signup stand for terminal statuses."""
+    _, last, delay = _range_of(spark, sf_dir)
+    columns = [
+        F.col("user_id").alias("id"), ended("event_type").alias("status"), F.col("ts"), F.col("event_id").alias("sequence")
+    ]
+    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(days=1, seconds=delay))
+    out, checkpoint = fresh_folder(spark, "polls"), fresh_folder(spark, "checkpoint")
+    polled = keyed_status(seen, f"{delay} seconds", terminal=(), timeout_minutes=29 * 1440, changes=False)
+    write_keyed(polled, out, checkpoint).awaitTermination()
+    found = last_summaries(read_keyed(spark, out, "long", "summary"))
+    return found.select(
+        "id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")], shown("final_status").alias("final_status"),
+        "timed_out",
     )
-    running.awaitTermination()
-    return _read_changes(spark, out)
 
 
 @query(f"select cast(user_id as varchar) as id, event_type as status, 0::bigint as request_count from ({LATEST_SQL})")
 def stream_new_batches(spark, sf_dir):
-    updates = event_stream(spark, sf_dir).select(
+    """Files out of time order, each a segment of the table; the last version of an id counts."""
+    columns = [
         F.col("user_id").cast("string").alias("id"),
         F.col("event_type").alias("status"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
@@ -67,8 +124,9 @@ def stream_new_batches(spark, sf_dir):
         F.lit(0).cast("bigint").alias("request_count"),
         F.col("ts").cast("string").alias("last_updated"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        "event_id",
-    )
+        F.col("event_id"),
+    ]
+    updates = out_of_order(spark, sf_dir, *columns)
     out, checkpoint = fresh_folder(spark, "tracked"), fresh_folder(spark, "checkpoint")
     upsert_stream(updates, out, ["created_at", "event_id"], checkpoint).awaitTermination()
     return read_batches(spark, out).select("id", "status", "request_count")
