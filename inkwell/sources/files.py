@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +19,11 @@ from inkwell.functions.text import (
     word_count,
 )
 from inkwell.operators.groups import dense_index
-from inkwell.operators.tracking import path_exists
 from inkwell.schemas import BATCH_RECORD, FILE_METADATA, RESULT_LINE, STORE_LINE
+from inkwell.session import path_exists, written
+
+#: Splits whose counts may be broadcast: about 100 MB of names and numbers.
+MOST_SPLITS = 500_000
 
 
 def _is_directory(spark: SparkSession, path: str) -> bool:
@@ -41,14 +46,45 @@ def prompt_lines(spark: SparkSession, path: str, glob: str = "*.txt", object_pre
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     elif _is_directory(spark, path):
         reader = reader.option("pathGlobFilter", glob)
+    pin_splits(spark)
     lines = reader.text(path).select(
         strip(F.col("value")).alias("text"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    return dense_index(lines.where(F.col("text") != ""), ["file_path", "_at", "_line"], "prompt_idx").select(
-        "prompt_idx", "text", "file_path"
+    ).where(F.col("text") != "")
+    return number_lines(lines, ["file_path", "_at"], "prompt_idx").select("prompt_idx", "text", "file_path")
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Keep the number of tasks that a scan is planned for, which else follows executors as they come and go."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
+def number_lines(lines: DataFrame, split: Sequence[str], out: str, most_splits: int = MOST_SPLITS) -> DataFrame:
+    """Add a dense number, from 0, to lines as they lie in their file splits, which ``split`` names in order.
+
+    A task reads a split from its first line to its last, so a line's place is
+    told by counting; what has to be known of the splits before is one row per
+    split, in order. Lines are not moved or sorted. The scan runs twice, once for
+    the counts, and must be cut into the same splits both times: should settings
+    of the session have changed in between, it raises. With more than
+    ``most_splits`` splits the lines are sorted and written instead.
+    """
+    # After the filter, so that only lines that count are counted.
+    placed = lines.withColumn("_line", F.monotonically_increasing_id())
+    counts = written(placed.groupBy(*split).agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n")), "splits")
+    if counts.count() > most_splits:
+        return dense_index(placed, [*split, "_line"], out).drop("_line")
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.col("_line") - F.col("_first")
+    changed = F.raise_error(F.lit("the splits of the files have changed since their lines were counted"))
+    return (
+        placed.join(F.broadcast(offsets), list(split), "left")
+        .withColumn(out, F.when((place >= 0) & (place < F.col("_n")), F.col("_offset") + place).otherwise(changed).cast("bigint"))
+        .drop("_line", "_first", "_n", "_offset")
     )
 
 

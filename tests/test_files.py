@@ -11,6 +11,7 @@ from inkwell.operators.documents import file_summary
 from inkwell.schemas import STORE_LINE
 from inkwell.sources import files, sinks
 from inkwell.sources.readers import Readers, process_files
+from tests.plan_nodes import exchanges
 
 
 def test_prompt_lines(spark, tmp_path):
@@ -216,3 +217,39 @@ def test_store_appends(spark, tmp_path):
     sinks.append_store(row, path)
     got = files.read_store(spark, path).collect()
     assert len(got) == 2 and got[0]["response"]["content"] == "c"
+
+
+def test_numbering_lines_moves_no_text(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"f{n}.txt").write_text("\n".join(f"{n} {i} " + "x" * 90 for i in range(400)) + "\n\n \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = files.prompt_lines(spark, str(tmp_path))
+        assert not exchanges(got, "text") and not exchanges(got, "value")
+        rows = got.orderBy("prompt_idx").collect()
+        # More splits than may be broadcast give the same.
+        lines = got.drop("prompt_idx")
+        assert [r["prompt_idx"] for r in rows] == list(range(2000))
+        assert [tuple(map(int, r["text"].split()[:2])) for r in rows] == [(n, i) for n in range(5) for i in range(400)]
+        assert lines.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_too_many_splits_are_sorted(spark, tmp_path, monkeypatch):
+    for n in range(3):
+        (tmp_path / f"f{n}.txt").write_text("\n".join(f"{n} {i}" for i in range(50)))
+    got = [tuple(r) for r in files.prompt_lines(spark, str(tmp_path)).orderBy("prompt_idx").collect()]
+    monkeypatch.setattr(files.number_lines, "__defaults__", (2,))
+    assert [tuple(r) for r in files.prompt_lines(spark, str(tmp_path)).orderBy("prompt_idx").collect()] == got
+
+
+def test_changed_splits_raise(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("\n".join(f"{i} " + "x" * 90 for i in range(400)))
+    got = files.prompt_lines(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        with pytest.raises(Exception, match="splits of the files have changed"):
+            got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
