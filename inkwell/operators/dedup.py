@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import content_hash
-from inkwell.operators.groups import block_of, join_to_one, latest_by, ordered_segments
+from inkwell.operators.groups import block_of, join_to_one, latest_by, ordered_segments, without
 from inkwell.session import written
 
 
@@ -38,14 +38,25 @@ def dedup_groups(prompts: DataFrame) -> DataFrame:
     return _groups(prompts if "hash" in prompts.columns else hashed(prompts))
 
 
+def later_copies(prints: DataFrame) -> DataFrame:
+    """``idx, hash`` of the copies that are not the first of their text."""
+    groups = _groups(prints)
+    repeated = groups.where("copies > 1").select("hash", "first_idx")
+    linked = join_to_one(prints.where(F.col("hash").isNotNull()), repeated, ["hash"], groups, "copies")
+    return linked.where(F.col("idx") != F.col("first_idx")).select("idx", "hash")
+
+
 def unique_prompts(prompts: DataFrame) -> DataFrame:
-    """First copy of each text: ``idx, hash, text``. A prompt without text is left out, as in ``dedup_groups``.
+    """First copy of each text: ``idx, hash, text``. A prompt without text or index is left out.
 
-    The first copies are found on hashes; the texts move once, to meet them.
+    Copies are found on hashes, which are written once. A text without a copy
+    does not move; only rows that may be later copies meet their list.
     """
-    first = dedup_groups(prompts).select(F.col("first_idx").alias("idx"), "hash")
-    rows = prompts.select("idx", content_hash(F.col("text")).alias("hash"), "text")
-    return rows.join(first, ["idx", "hash"], "left_semi").select("idx", "hash", "text")
+    prints = fingerprints(prompts)
+    rows = prompts.select("idx", "text").where(F.col("text").isNotNull() & F.col("idx").isNotNull())
+    digest = content_hash(F.col("text"))
+    kept = without(rows, later_copies(prints.select("idx", "hash")), ["idx"], {"hash": digest})
+    return kept.select("idx", digest.alias("hash"), "text")
 
 
 def missing_prompts(prompts: DataFrame) -> DataFrame:
@@ -80,12 +91,11 @@ def expand_results(prompts: DataFrame, results: DataFrame) -> DataFrame:
     groups = _groups(prints)
     payload = [c for c in results.columns if c not in ("custom_id", "seq")]
     last = latest_by(results, "custom_id", ["seq"]).withColumnRenamed("custom_id", "_first_id")
-    answers = groups.join(last, F.col("first_idx").cast("string") == F.col("_first_id"), "left").select(
-        "hash", *payload
-    )
-    return join_to_one(prints.select("idx", "hash"), answers, ["hash"], groups, "copies").select(
-        F.col("idx").cast("string").alias("custom_id"), *payload
-    )
+    # Indices find their first copy before any answer moves; answers then move once.
+    links = join_to_one(prints.select("idx", "hash"), groups.select("hash", "first_idx"), ["hash"], groups, "copies")
+    asked = links.select("idx", F.col("first_idx").cast("string").alias("_first_id"))
+    counts = groups.select(F.col("first_idx").cast("string").alias("_first_id"), "copies")
+    return join_to_one(asked, last, ["_first_id"], counts, "copies").select(F.col("idx").cast("string").alias("custom_id"), *payload)
 
 
 def in_id_order(df: DataFrame, id_column: str = "custom_id") -> DataFrame:

@@ -14,6 +14,8 @@ Group keys must not be NULL.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -314,6 +316,49 @@ def join_to_one(many: DataFrame, one: DataFrame, on: Sequence[str], counts: Data
     return salted.join(copied, [*on, "_salt"], "left").drop("_salt")
 
 
+# A list of keys up to this length is broadcast as it is; a longer one as a filter of at most 2^27 bits (16 MB).
+SMALL_LIST = 200_000
+MOST_FILTER_BITS = 27
+BITMAP_BITS = 32_768
+
+
+def without(rows: DataFrame, gone: DataFrame, on: Sequence[str], exact: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows whose key ``on`` is not in ``gone``; only rows that may be in it are moved.
+
+    The keys of ``gone`` set bits of a filter, built as an aggregate and
+    broadcast. A row whose bit is not set is let through where it lies; the
+    others, those in ``gone`` and few more, are joined with it. A fuller filter
+    moves more rows and changes nothing. ``exact`` names further columns of
+    ``gone`` and what they are in ``rows``; they are made for rows whose key is
+    in question only. NULL keys are in no list.
+    """
+    exact = dict(exact or {})
+    gone = written(gone.select(*on, *exact).distinct(), "gone")
+    count = gone.count()
+    if not count:
+        return rows
+
+    def checked(df: DataFrame, near: bool) -> DataFrame:
+        listed = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in (*on, *exact)])
+        same = [F.col(c) == F.col(f"_gone_{c}") for c in on]
+        # Not an equality to join on: it is looked at only where the key is met.
+        same += [F.array_contains(F.array(f"_gone_{name}"), value) for name, value in exact.items()]
+        return df.join(F.broadcast(listed) if near else listed, reduce(and_, same), "left_anti")
+
+    if count <= SMALL_LIST:
+        return checked(rows, True)
+    bits = min(MOST_FILTER_BITS, (16 * count).bit_length())
+    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - bits)
+    bucket, at = F.floor(place / BITMAP_BITS).cast("int"), place % BITMAP_BITS
+    # At most 2^27 / 2^15 rows of 4 KB.
+    filled = gone.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    marked = rows.withColumn("_bucket", bucket).withColumn("_at", at.cast("int")).join(F.broadcast(filled), "_bucket", "left")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.get(F.split(F.lpad(F.conv(byte, 10, 2), 8, "0"), ""), 7 - F.col("_at") % 8) == "1", F.lit(False))
+    through = marked.where(~hit).select(*rows.columns)
+    return through.unionByName(checked(marked.where(hit).select(*rows.columns), False))
+
+
 def latest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Last row per key. Pre-aggregated before the shuffle, so a hot key is one row per task."""
     rest = [c for c in df.columns if c != key]

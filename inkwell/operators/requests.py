@@ -97,10 +97,18 @@ def assign_batches(
 
 
 def assign_batches_in_order(
-    requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000, ids: Column | None = None
+    requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000, ids: Column | None = None, unique: bool = False
 ) -> DataFrame:
-    """As ``assign_batches`` for rows without a dense index; adds ``position`` as well."""
-    placed = dense_index(requests, order, "position")
+    """As ``assign_batches`` for rows without a dense index; adds ``position`` as well.
+
+    Where ``order`` is ``unique``, positions are found on it alone and the rest
+    of the rows moves once, to meet them; else whole rows are sorted.
+    """
+    if unique:
+        positions = dense_index(requests.select(*order), order, "position")
+        placed = requests.join(positions, list(order))
+    else:
+        placed = dense_index(requests, order, "position")
     return assign_batches(placed, "position", max_batch_size=max_batch_size, ids=ids)
 
 

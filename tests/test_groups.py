@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import groups
-from tests.plan_nodes import exchanges, scans
+from tests.plan_nodes import columns, exchanges, scans
 
 
 @pytest.fixture
@@ -148,3 +148,29 @@ def test_texts_move_once(spark, tmp_path, rows, cut, request):
     assert len(exchanges(texts(), "_item")) == 1
     assert len(exchanges(texts(), "buf")) <= (1 if cut else 0)
     assert len(scans(texts(), "s")) <= 2
+
+
+@pytest.mark.parametrize("small,bits", [(200_000, 27), (0, 27), (0, 16), (0, 4)])
+def test_without(spark, tmp_path, monkeypatch, request, small, bits):
+    """The list as it is, as a filter, and as a filter that is full."""
+    monkeypatch.setattr(groups, "SMALL_LIST", small)
+    monkeypatch.setattr(groups, "MOST_FILTER_BITS", bits)
+    data = [(i, f"text {i}") for i in range(3000)] + [(5, "other"), (None, "none"), (7, "text 7")]
+    spark.createDataFrame(data, "idx long, text string").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+        request.addfinalizer(lambda name=name: spark.conf.unset(name))
+    listed = [(i, f"text {i}"[::-1]) for i in range(0, 3000, 7)] + [(5, "text 5"[::-1]), (9, "not the same"), (10**9, "x")]
+    gone = spark.createDataFrame(listed, "idx long, back string")
+    got = groups.without(rows, gone, ["idx"], {"back": F.reverse("text")})
+    out = {i for i, _ in listed if i < 10**6} - {9}
+    want = [(i, t) for i, t in data if not (i in out and t == f"text {i}")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    moved = [n for n in exchanges(got, "text") if "text" in columns(n)]
+    assert len(moved) == (0 if small else 1)
+    if bits > 8 and not small:
+        rows_moved = moved[0].metrics().apply("shuffleRecordsWritten").value()
+        assert len(out) <= rows_moved < 700
+    assert groups.without(rows, gone.limit(0), ["idx"], {"back": F.reverse("text")}).count() == len(data)
+    assert groups.without(rows, gone.select("idx"), ["idx"]).count() == len([1 for i, _ in data if i not in out | {9}])
