@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +24,16 @@ from inkwell.functions.text import words
 from inkwell.operators.chunking import chunk_words
 from inkwell.operators.documents import merge_chunks
 from inkwell.operators.groups import SEGMENT_CHARS, block_of
-from inkwell.operators.tracking import path_exists
-from inkwell.session import fresh_folder
+from inkwell.operators.limits import budget_cutoff
+from inkwell.session import fresh_folder, path_exists, written
 
 OUTCOME = (
     "response string, error string, id string, success boolean, status_code int, attempts int"
 )
 
+#: Dollars of an outcome; sums of it are exact.
+MONEY = "decimal(28,12)"
+
 # Fixed value: calls that the service's client keeps open.
 IN_FLIGHT = 5
 
@@ -128,6 +137,113 @@ def complete_into(
     return kept.select(*keys, "_row.*").select(*schema.names)
 
 
+@dataclass(frozen=True)
+class Completed:
+    """Outcomes so far, what they cost, and whether the spend limit ended the run."""
+
+    outcomes: DataFrame
+    spent: Decimal
+    stopped: bool
+
+
+class _LimitReached(Exception):
+    pass
+
+
+def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size: int) -> None:
+    """Write prompts that the store does not have yet, once, in files of at most ``wave_size``.
+
+    A key that is NULL or given twice is refused: its outcome could not be told.
+    """
+    spark, folder = prompts.sparkSession, f"{store}/_prompts"
+    new = written(prompts, "prompts")
+    bad = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
+        (F.col("_n") > 1) | reduce(or_, [F.col(k).isNull() for k in keys])
+    )
+    if not bad.isEmpty():
+        raise ValueError(f"prompts need keys {', '.join(keys)} that are not NULL and differ")
+    if path_exists(spark, f"{folder}/_SUCCESS"):
+        new = new.join(spark.read.schema(prompts.schema).parquet(folder).select(*keys), list(keys), "left_anti")
+    new.write.mode("append").option("maxRecordsPerFile", wave_size).parquet(folder)
+
+
+def complete_in_waves(
+    prompts: DataFrame,
+    store: str,
+    factory: Callable[[], Completion],
+    keys: Sequence[str] = ("batch_id", "custom_id"),
+    wave_size: int = 10_000,
+    budget: float | Decimal | None = None,
+    cost: Column | None = None,
+    most: Column | None = None,
+    **options: Any,
+) -> Completed:
+    """Outcomes of all prompts, kept in ``store``; a later run goes on where this one ends.
+
+    Prompts are written once and then streamed file by file: a file is a wave of
+    at most ``wave_size`` prompts, the stream's checkpoint is the cursor, and
+    what a wave has done is kept call group by call group, so a run that stops
+    repeats at most the calls that were open. Prompts that a later run brings in
+    addition are appended.
+
+    With a ``budget`` calls stop once it is spent. ``cost`` is what an outcome
+    cost, ``most`` the most that a prompt can cost, each over the columns at hand.
+    A wave calls as many prompts as fit if all cost the most, adds up what they
+    did cost and goes on with the rest, so the limit is passed by one call at
+    most. A later run with a larger budget calls the rest.
+    """
+    spark = prompts.sparkSession
+    schema = T.StructType([*prompts.schema.fields, *T.StructType.fromDDL(f"{OUTCOME}, cost {MONEY}").fields])
+    price = F.lit(0) if cost is None else F.coalesce(cost, F.lit(0))
+    limit = None if budget is None else Decimal(str(budget))
+    tasks = options.pop("partitions", None) or spark.sparkContext.defaultParallelism
+    reached = []
+    stage_prompts(prompts, store, keys, wave_size)
+
+    def outcomes(path: str) -> DataFrame | None:
+        return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
+
+    def spent_in(path: str) -> Decimal:
+        rows = outcomes(path)
+        return Decimal(0) if rows is None else rows.agg(F.sum("cost")).first()[0] or Decimal(0)
+
+    def spent_before(epoch: int) -> Decimal:
+        """One small row per wave, so that earlier outcomes are not added up again."""
+        path = f"{store}/_spent/epoch={epoch - 1}"
+        return spark.read.schema(f"spent {MONEY}").parquet(path).first()[0] if epoch and path_exists(spark, path) else Decimal(0)
+
+    def wave(batch: DataFrame, epoch: int) -> None:
+        own, before = f"{store}/epoch={epoch}", spent_before(epoch)
+        while True:
+            done, spent = outcomes(own), before + spent_in(own)
+            open_ = batch if done is None else batch.join(done.select(*keys), list(keys), "left_anti")
+            if open_.isEmpty():
+                break
+            if limit is not None:
+                if spent >= limit:
+                    reached.append(epoch)
+                    raise _LimitReached
+                rows = open_.withColumn("_most", F.coalesce(most if most is not None else F.lit(None), F.lit(limit)).cast(MONEY))
+                # A wave is one block of at most wave_size rows.
+                open_ = budget_cutoff(rows, [], keys, "_most", limit - spent, F.lit(0)).where("admitted").select(*batch.columns)
+            called = map_completions(open_, factory, partitions=tasks, **options).withColumn("cost", price.cast(MONEY))
+            called.write.parquet(f"{own}/round={uuid.uuid4().hex}")
+        total = spark.createDataFrame([(spent,)], f"spent {MONEY}")
+        total.coalesce(1).write.mode("overwrite").parquet(f"{store}/_spent/epoch={epoch}")
+
+    staged = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 1).parquet(f"{store}/_prompts")
+    writer = staged.writeStream.option("checkpointLocation", f"{store}/_checkpoint").foreachBatch(wave)
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    except StreamingQueryException:
+        if not reached:
+            raise
+    found = outcomes(store)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return Completed(found, found.agg(F.sum("cost")).first()[0] or Decimal(0), bool(reached))
+
+
 def document_responses(
     documents: DataFrame,
     factory: Callable[[], Completion],
@@ -139,11 +255,13 @@ def document_responses(
 ) -> DataFrame:
     """Documents in, merged answers out: chunk, complete, keep, merge.
 
-    Outcomes are kept by ``doc_id, chunk_index`` in the folder ``store``, from
-    which a later run goes on; by default in a new one of the shared folder.
+    Documents are cut up once. Outcomes are kept by ``doc_id, chunk_index`` in the
+    folder ``store``, from which a later run goes on; by default in a new one of
+    the shared folder. ``options`` are those of ``complete_in_waves``, a spend
+    limit among them; what was not called is not in the text.
     """
     chunks = chunk_words(documents.select("doc_id", "text"), max_words, overlap)
-    answered = complete_into(
+    done = complete_in_waves(
         chunks.withColumnRenamed("content", "prompt"),
         store or fresh_folder(documents.sparkSession, "answers"),
         factory,
@@ -151,7 +269,7 @@ def document_responses(
         **options,
     )
     return merge_chunks(
-        answered, ["doc_id"], ["chunk_index"], F.col("response"), block_of("chunk_index"), segment_chars
+        done.outcomes, ["doc_id"], ["chunk_index"], F.col("response"), block_of("chunk_index"), segment_chars
     )
 
 

@@ -3,12 +3,14 @@
 import os
 import time
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators.completion import (
     CompletionError,
+    complete_in_waves,
     complete_into,
     document_responses,
     map_completions,
@@ -110,3 +112,80 @@ def test_several_calls_are_open_at_once(spark):
 def test_request_tokens(column):
     assert column(lambda c: request_tokens(c, 10), ["a b c", ""]) == [13, 10]
     assert column(lambda c: request_tokens(F.col("v"), 0), ["x"]) == [1]
+
+
+def paid():
+    return dict(cost=F.when(F.col("success"), F.length("response") * 0.01).otherwise(0), most=F.lit(0.05))
+
+
+def some(spark, n, first=0):
+    return spark.createDataFrame([("b", str(i), f"p{i}") for i in range(first, first + n)], "batch_id string, custom_id string, prompt string")
+
+
+def called(folder):
+    return sorted(n.split("-")[0] for n in os.listdir(folder))
+
+
+def test_waves_go_on_after_a_stop_without_repeating_calls(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = some(spark, 60).coalesce(1)
+    with pytest.raises(Exception, match="the run stops here"):
+        complete_in_waves(prompts, store, counting(str(calls), 20), wave_size=10, partitions=1)
+    half = len(os.listdir(calls))
+    assert 20 <= half < 60
+    done = complete_in_waves(prompts, store, counting(str(calls)), wave_size=10, partitions=1)
+    assert {r["custom_id"]: r["response"] for r in done.outcomes.collect()} == {str(i): None if i == 3 else f"P{i}" for i in range(60)}
+    assert called(calls) == sorted(f"p{i}" for i in range(60)) and not done.stopped
+    # Once more: nothing is called; prompts that come in addition are.
+    complete_in_waves(prompts, store, counting(str(calls)), wave_size=10)
+    assert len(os.listdir(calls)) == 60
+    more = complete_in_waves(prompts.union(some(spark, 5, 60)), store, counting(str(calls)), wave_size=10)
+    assert called(calls) == sorted(f"p{i}" for i in range(65)) and more.outcomes.count() == 65
+
+
+def test_spending_stops_at_the_limit_and_goes_on_with_a_larger_one(spark, tmp_path):
+    """A prompt costs 0.02 or 0.03 and at most 0.05; the failing one nothing."""
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = some(spark, 40).coalesce(1)
+    done = complete_in_waves(prompts, store, counting(str(calls)), wave_size=15, budget=0.5, **paid())
+    assert done.stopped and Decimal("0.5") <= done.spent <= Decimal("0.55")
+    assert done.spent == sum((Decimal(len(r["response"])) / 100 for r in done.outcomes.collect() if r["success"]), Decimal(0))
+    before = len(os.listdir(calls))
+    assert before == done.outcomes.count() < 40
+    again = complete_in_waves(prompts, store, counting(str(calls)), wave_size=15, budget=0.5, **paid())
+    assert again.stopped and len(os.listdir(calls)) == before
+    rest = complete_in_waves(prompts, store, counting(str(calls)), wave_size=15, budget=100, **paid())
+    assert not rest.stopped and called(calls) == sorted(f"p{i}" for i in range(40)) and rest.outcomes.count() == 40
+
+
+def test_without_a_known_most_calls_go_one_by_one_near_the_limit(spark, tmp_path):
+    done = complete_in_waves(
+        some(spark, 6), str(tmp_path / "store"), flaky, budget=0.05, cost=F.lit(0.02), base_delay=0.0
+    )
+    assert done.stopped and done.spent == Decimal("0.06") and done.outcomes.count() == 3
+
+
+@pytest.mark.parametrize("rows", [[("b", "1", "x"), ("b", "1", "y")], [("b", None, "x")]])
+def test_keys_that_do_not_tell_prompts_apart_are_refused(spark, tmp_path, rows):
+    prompts = spark.createDataFrame(rows, "batch_id string, custom_id string, prompt string")
+    with pytest.raises(ValueError, match="not NULL and differ"):
+        complete_in_waves(prompts, str(tmp_path / "store"), flaky)
+    assert complete_in_waves(prompts.limit(0), str(tmp_path / "none"), flaky).outcomes.count() == 0
+
+
+def test_documents_are_cut_up_once(spark, tmp_path):
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    df = spark.createDataFrame([(i, "a b c d e f g") for i in range(6)], "doc_id bigint, text string").coalesce(1)
+
+    @F.udf("string")
+    def noted(text):
+        with open(f"{cut}/{uuid.uuid4().hex}", "w"):
+            pass
+        return text
+
+    got = document_responses(df.withColumn("text", noted.asNondeterministic()("text")), flaky, 3, 1, wave_size=2, base_delay=0.0)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: "A B C\nC D E\nE F G\nG" for i in range(6)}
+    assert len(os.listdir(cut)) == 6
