@@ -20,6 +20,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.session import written
 
@@ -30,6 +31,9 @@ SEGMENT_CHARS = 250_000
 # A key is heavy above 1/100,000 of the rows, so there are fewer than 100,000 of them.
 HEAVY_PARTS = 100_000
 HEAVY_FLOOR = 20_000
+# Splitters of a heavy key come from so many quantiles, and are searched in strides.
+QUANTILES = 4_096
+STRIDE = 64
 
 
 def block_of(order: Column | str, span: int | None = None) -> Column:
@@ -38,8 +42,14 @@ def block_of(order: Column | str, span: int | None = None) -> Column:
     return F.floor(order / F.lit(span or BLOCK_SPAN))
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    """Rows with ``_heavy`` and ``_block``; only the keys are read to find heavy groups."""
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column | None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``_heavy`` and ``_block``; only the keys are read to find heavy groups.
+
+    Without a ``block`` of its own a heavy group is cut where its order column
+    says, see ``_by_depth``.
+    """
+    if block is None:
+        return _by_depth(df, keys, order[0])
     if not keys:
         return df.withColumn("_heavy", F.lit(True)).withColumn("_block", block.cast("bigint"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -52,21 +62,61 @@ def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     )
 
 
+def _by_depth(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Blocks of about equal numbers of rows, whatever the order column's values are.
+
+    Quantile sketches of the order column, one per heavy key and merged as an
+    aggregate, give the splitters. A key is cut into as many blocks as it passes
+    the heavy limit, so all keys together have fewer than ``HEAVY_PARTS`` more
+    splitters than there are heavy keys. They are written before use: every task
+    must cut alike. Rows that are equal in the column stay in one block.
+    """
+    kind = df.schema[order].dataType
+    value = F.col(order)
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        value = F.unix_micros(value.cast("timestamp"))
+    fractions = [n / QUANTILES for n in range(1, QUANTILES)]
+    narrow = df.select(*keys, value.alias("_v")).withColumn("_all_rows", F.lit(0))
+    by = [*keys] or ["_all_rows"]
+    heavy = written(heavy_keys(narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by, "_n"), "heavy-keys")
+    every = F.greatest(F.floor(F.lit(QUANTILES) / F.col("_fan")).cast("int"), F.lit(1))
+    splitters = written(
+        narrow.join(F.broadcast(heavy), by).groupBy(*by, "_fan")
+        .agg(F.percentile_approx("_v", fractions, 10 * QUANTILES).alias("_q"))
+        .select(*by, F.array_distinct(F.filter("_q", lambda q, n: (n + 1) % every == 0)).alias("_cuts")),
+        "splitters",
+    )
+    # Two short searches in place of one along all splitters.
+    coarse = F.transform(F.sequence(F.lit(1), F.floor(F.size("_cuts") / STRIDE).cast("int")), lambda n: F.element_at("_cuts", n * STRIDE))
+    found = splitters.withColumn("_coarse", F.when(F.size("_cuts") >= STRIDE, coarse).otherwise(F.array().cast("array<bigint>")))
+    step = F.size(F.filter("_coarse", lambda c: c < F.col("_v")))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_step") * STRIDE + 1, F.lit(STRIDE)), lambda c: c < F.col("_v")))
+    return (
+        df.withColumn("_v", value).withColumn("_all_rows", F.lit(0)).join(F.broadcast(found), by, "left")
+        .withColumn("_heavy", F.col("_cuts").isNotNull())
+        .withColumn("_step", step)
+        .withColumn("_block", F.when(F.col("_heavy"), F.col("_step") * STRIDE + fine).otherwise(0).cast("bigint"))
+        .withColumn("_block", F.coalesce("_block", F.lit(0).cast("bigint")))
+        .drop("_v", "_all_rows", "_cuts", "_coarse", "_step")
+    )
+
+
 def running_before(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
-    block: Column,
+    block: Column | None,
     out: str,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group.
 
     ``block`` must not decrease along ``order``, and ``order`` must be unique
-    within the group. The rows move once, by (keys, block); the join with the
+    within the group. Without a block the first column of ``order``, a whole
+    number or a time, is cut into blocks of equal depth. The rows move once, by (keys, block); the join with the
     block totals reuses that placement.
     """
-    rows = _blocked(df.withColumn("_value", value), keys, block)
+    rows = _blocked(df.withColumn("_value", value), keys, block, order)
     within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.where("_heavy").groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
@@ -81,7 +131,7 @@ def running_before(
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None, out: str = "pos"
 ) -> DataFrame:
     """Add the dense position, from 0, of each row within its group."""
     return running_before(df, keys, order, F.lit(1).cast("bigint"), block, out)
@@ -92,11 +142,11 @@ def previous_in_group(
     keys: Sequence[str],
     order: Sequence[str],
     value: str,
-    block: Column,
+    block: Column | None,
     out: str,
 ) -> DataFrame:
-    """Add ``out``: ``value`` of the row before, NULL for the first row of the group."""
-    rows = _blocked(df, keys, block)
+    """Add ``out``: ``value`` of the row before, NULL for the first row of the group. Blocks are as in ``running_before``."""
+    rows = _blocked(df, keys, block, order)
     within = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block")
     last = rows.where("_heavy").groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))

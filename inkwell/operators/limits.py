@@ -15,7 +15,7 @@ REQUESTS_PER_MINUTE = 3_000
 
 
 def budget_cutoff(
-    requests: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, budget: float | None, block: Column
+    requests: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, budget: float | None, block: Column | None = None
 ) -> DataFrame:
     """Add ``spent_before`` and ``admitted``. A request runs while earlier ones cost
     less than the budget, so the one that crosses it still runs; 0 or None is no limit."""

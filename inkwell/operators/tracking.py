@@ -269,7 +269,7 @@ def delete_batches(current: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def status_changes(
-    seen: DataFrame, block: Column, key: str = "id", order: Sequence[str] = ("ts",), status: str = "status"
+    seen: DataFrame, block: Column | None = None, key: str = "id", order: Sequence[str] = ("ts",), status: str = "status"
 ) -> DataFrame:
     """Rows whose status differs from the one before, the first of each id included. NULL is a status like others."""
     # As a struct, a NULL status differs from there being no row before.

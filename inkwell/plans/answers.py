@@ -446,7 +446,7 @@ def status_changes(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("status")
     )
-    return tracking.status_changes(seen, minute_of(), "id", ("ts", "event_id"))
+    return tracking.status_changes(seen, None, "id", ("ts", "event_id"))
 
 
 def ended(column: str) -> Column:

@@ -174,3 +174,43 @@ def test_without(spark, tmp_path, monkeypatch, request, small, bits):
         assert len(out) <= rows_moved < 700
     assert groups.without(rows, gone.limit(0), ["idx"], {"back": F.reverse("text")}).count() == len(data)
     assert groups.without(rows, gone.select("idx"), ["idx"]).count() == len([1 for i, _ in data if i not in out | {9}])
+
+
+@pytest.mark.parametrize("stride,quantiles", [(64, 4096), (4, 64), (2, 16)])
+def test_blocks_of_equal_depth(spark, monkeypatch, stride, quantiles):
+    """One id with a third of all rows inside one minute is spread over many tasks; answers are those of plain windows."""
+    monkeypatch.setattr(groups, "HEAVY_FLOOR", 100)
+    monkeypatch.setattr(groups, "STRIDE", stride)
+    monkeypatch.setattr(groups, "QUANTILES", quantiles)
+    rng = random.Random(3)
+    data = [("hot" if i % 3 == 0 else f"k{i % 50}", rng.randrange(60_000_000) if i % 3 == 0 else i * 10**9, i, rng.choice("abc")) for i in range(9000)]
+    rows = spark.createDataFrame(data, "k string, t bigint, o bigint, s string").select(
+        "k", F.timestamp_micros("t").alias("t"), "o", F.col("o").alias("v"), "s"
+    ).repartition(6)
+    blocks = groups._blocked(rows, ["k"], None, ["t", "o"]).groupBy("k", "_heavy", "_block").count().collect()
+    sizes = [r["count"] for r in blocks if r["k"] == "hot"]
+    assert sum(sizes) == 3000 and all(r["_heavy"] == (r["k"] in ("hot",) or r["_heavy"]) for r in blocks)
+    assert len(sizes) >= min(quantiles, 30) * 0.8 and max(sizes) <= 3 * 3000 / min(quantiles, 30)
+    w = Window.partitionBy("k").orderBy("t", "o")
+    want = rows.select("k", "o", F.lag("s").over(w).alias("x"))
+    same(groups.previous_in_group(rows, ["k"], ["t", "o"], "s", None, "x").select("k", "o", "x"), want)
+    want = rows.select("k", "o", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x"))
+    same(groups.running_before(rows, ["k"], ["t", "o"], F.col("v"), None, "x").select("k", "o", "x"), want)
+    every = Window.orderBy("t", "o")
+    got = groups.position_in_group(rows, [], ["t", "o"], None, "x").select("o", "x")
+    same(got, rows.select("o", (F.row_number().over(every) - 1).alias("x")))
+
+
+def test_the_tasks_of_a_hot_id_are_of_like_size(spark, monkeypatch):
+    monkeypatch.setattr(groups, "HEAVY_FLOOR", 100)
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("o"),
+        F.lit("s").alias("s"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = groups.previous_in_group(rows, ["k"], ["o"], "s", None, "x").select("k", F.spark_partition_id().alias("p"))
+        sizes = sorted(r["count"] for r in got.where("k = 'hot'").groupBy("p").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 3000 and len(sizes) == 8 and sizes[-1] < 1000
