@@ -16,7 +16,7 @@ from inkwell.session import fresh_folder
 from inkwell.streaming.arrivals import upsert_stream
 from inkwell.streaming.keyed import keyed_status, last_summaries, read_keyed, write_keyed
 from inkwell.streaming.rates import current_usage, rate_usage_stream, write_updates
-from inkwell.streaming.status import follow_status
+from inkwell.streaming.status import follow_status, on_status_change, status_change_stream
 
 # Bounds what one task can see of one id in a micro-batch.
 BYTES_PER_TRIGGER = 4 * 1024**3
@@ -49,6 +49,8 @@ def stream_status_changes(spark, sf_dir):
     return _read_changes(spark, out)
 
 
+#: Length of a span of the keyed state: answers here come at the end anyway, so few spans serve.
+WEEK = 7 * 86_400
 #: Slices of the event time in the order in which their files come, and how many of them the disorder spans.
 SLICES, DISORDER = (1, 0, 3, 2), 2
 
@@ -82,29 +84,29 @@ def stream_status_live(spark, sf_dir):
     columns = [
         F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts"), F.col("event_id").alias("sequence")
     ]
-    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(seconds=delay, days=2))
+    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(seconds=delay + 2 * WEEK))
     out, checkpoint = fresh_folder(spark, "changes"), fresh_folder(spark, "checkpoint")
-    write_keyed(keyed_status(seen, f"{delay} seconds", terminal=()), out, checkpoint).awaitTermination()
+    write_keyed(keyed_status(seen, f"{delay} seconds", WEEK, terminal=()), out, checkpoint).awaitTermination()
     changes = read_keyed(spark, out, "long", "change")
     return changes.select("id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), "previous")
 
 
 @query(
-    """with clock as (select max(ts) + interval 1 day as as_of from events),
+    """with clock as (select max(ts) + interval 8 day as as_of from events),
        last as (select user_id as id, min(ts) over (partition by user_id) as first_seen, ts as last_seen, event_type as final_status
                 from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
        select id, first_seen, last_seen, final_status, final_status not in ('purchase', 'signup')
-              and date_diff('microsecond', first_seen, as_of) > 29 * 86400000000::bigint as timed_out from last, clock"""
+              and date_diff('microsecond', first_seen, as_of) > 36 * 86400000000::bigint as timed_out from last, clock"""
 )
 def stream_poll_timeout(spark, sf_dir):
-    """Deadlines as timers; a day after the last event the clock stands still. Purchase and signup stand for terminal statuses."""
+    """Deadlines as timers; eight days after the last event the clock stands still. Purchase and signup stand for terminal statuses."""
     _, last, delay = _range_of(spark, sf_dir)
     columns = [
         F.col("user_id").alias("id"), ended("event_type").alias("status"), F.col("ts"), F.col("event_id").alias("sequence")
     ]
-    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(days=1, seconds=delay))
+    seen = out_of_order(spark, sf_dir, *columns, until=last + timedelta(days=8, seconds=delay))
     out, checkpoint = fresh_folder(spark, "polls"), fresh_folder(spark, "checkpoint")
-    polled = keyed_status(seen, f"{delay} seconds", terminal=(), timeout_minutes=29 * 1440, changes=False)
+    polled = keyed_status(seen, f"{delay} seconds", WEEK, terminal=(), timeout_minutes=36 * 1440, changes=False)
     write_keyed(polled, out, checkpoint).awaitTermination()
     found = last_summaries(read_keyed(spark, out, "long", "summary"))
     return found.select(
@@ -145,3 +147,15 @@ def stream_rate_usage(spark, sf_dir):
     # Files of a backlog come in no time order, so nothing may count as late here.
     write_updates(rate_usage_stream(asked, delay=None), out, checkpoint).awaitTermination()
     return current_usage(spark, out).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query(f"select id, status, ts, previous from ({CHANGES_SQL})")
+def status_callback(spark, sf_dir):
+    """The callback keeps each change that it is handed."""
+    out, checkpoint = fresh_folder(spark, "told"), fresh_folder(spark, "checkpoint")
+
+    def told(changes, epoch):
+        changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    on_status_change(status_change_stream(_seen(spark, sf_dir), terminal=()), told, checkpoint).awaitTermination()
+    return _read_changes(spark, out)
