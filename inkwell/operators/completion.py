@@ -25,7 +25,7 @@ from inkwell.operators.chunking import chunk_words
 from inkwell.operators.documents import merge_chunks
 from inkwell.operators.groups import SEGMENT_CHARS, block_of
 from inkwell.operators.limits import budget_cutoff
-from inkwell.session import fresh_folder, path_exists, written
+from inkwell.session import delete_path, fresh_folder, path_exists, written
 
 OUTCOME = (
     "response string, error string, id string, success boolean, status_code int, attempts int"
@@ -150,21 +150,34 @@ class _LimitReached(Exception):
     pass
 
 
-def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size: int) -> None:
-    """Write prompts that the store does not have yet, once, in files of at most ``wave_size``.
+def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size: int) -> int:
+    """Write prompts that the store does not have yet, once, in files of at most ``wave_size``; how many files make a wave.
 
     A key that is NULL or given twice is refused: its outcome could not be told.
     """
     spark, folder = prompts.sparkSession, f"{store}/_prompts"
-    new = written(prompts, "prompts")
-    bad = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
-        (F.col("_n") > 1) | reduce(or_, [F.col(k).isNull() for k in keys])
-    )
-    if not bad.isEmpty():
-        raise ValueError(f"prompts need keys {', '.join(keys)} that are not NULL and differ")
-    if path_exists(spark, f"{folder}/_SUCCESS"):
-        new = new.join(spark.read.schema(prompts.schema).parquet(folder).select(*keys), list(keys), "left_anti")
+
+    def check(rows: DataFrame) -> None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        if not counts.where((F.col("_n") > 1) | reduce(or_, [F.col(k).isNull() for k in keys])).isEmpty():
+            raise ValueError(f"prompts need keys {', '.join(keys)} that are not NULL and differ")
+
+    def staged() -> DataFrame:
+        return spark.read.schema(prompts.schema).parquet(folder)
+
+    new, first = prompts, not path_exists(spark, f"{folder}/_checked")
+    if first:
+        delete_path(spark, folder)  # of a run that died before its prompts were checked
+    else:
+        new = written(prompts, "prompts")
+        check(new)
+        new = new.join(staged().select(*keys), list(keys), "left_anti")
     new.write.mode("append").option("maxRecordsPerFile", wave_size).parquet(folder)
+    if first:
+        check(staged())
+        spark.createDataFrame([(True,)], "ok boolean").coalesce(1).write.parquet(f"{folder}/_checked")
+    largest = staged().groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0] or 1
+    return max(1, wave_size // largest)
 
 
 def complete_in_waves(
@@ -180,8 +193,8 @@ def complete_in_waves(
 ) -> Completed:
     """Outcomes of all prompts, kept in ``store``; a later run goes on where this one ends.
 
-    Prompts are written once and then streamed file by file: a file is a wave of
-    at most ``wave_size`` prompts, the stream's checkpoint is the cursor, and
+    Prompts are written once and then streamed in files: so many files as have at
+    most ``wave_size`` prompts are a wave, the stream's checkpoint is the cursor, and
     what a wave has done is kept call group by call group, so a run that stops
     repeats at most the calls that were open. Prompts that a later run brings in
     addition are appended.
@@ -198,7 +211,7 @@ def complete_in_waves(
     limit = None if budget is None else Decimal(str(budget))
     tasks = options.pop("partitions", None) or spark.sparkContext.defaultParallelism
     reached = []
-    stage_prompts(prompts, store, keys, wave_size)
+    files = stage_prompts(prompts, store, keys, wave_size)
 
     def outcomes(path: str) -> DataFrame | None:
         return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
@@ -231,7 +244,7 @@ def complete_in_waves(
         total = spark.createDataFrame([(spent,)], f"spent {MONEY}")
         total.coalesce(1).write.mode("overwrite").parquet(f"{store}/_spent/epoch={epoch}")
 
-    staged = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 1).parquet(f"{store}/_prompts")
+    staged = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", files).parquet(f"{store}/_prompts")
     writer = staged.writeStream.option("checkpointLocation", f"{store}/_checkpoint").foreachBatch(wave)
     try:
         writer.trigger(availableNow=True).start().awaitTermination()

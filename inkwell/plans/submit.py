@@ -274,7 +274,7 @@ def build_requests(spark, sf_dir):
 )
 def submit_batches(spark, sf_dir):
     """From prompts to request records: clean, drop copies, cut into batches, shape."""
-    cleaned = documents(spark, sf_dir).select(
+    cleaned = spread_documents(spark, sf_dir).select(
         F.col("doc_id").alias("idx"), text.sanitize(F.col("text")).alias("text")
     )
     unique = dedup.unique_prompts(cleaned).drop("hash")
