@@ -62,7 +62,11 @@ def _range_of(spark, sf_dir):
 
 
 def out_of_order(spark, sf_dir, *columns, until=None):
-    """Events as a stream of files out of time order, one a trigger; a last one moves the clock to ``until``."""
+    """Events as a stream of files out of time order; a last one moves the clock to ``until``.
+
+    A trigger takes about as many files as a slice has, so that triggers do not
+    become more as a larger table is written in more files.
+    """
     folder, events = fresh_folder(spark, "arriving"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first, last, _ = _range_of(spark, sf_dir)
     micros = F.unix_micros("ts")
@@ -74,7 +78,9 @@ def out_of_order(spark, sf_dir, *columns, until=None):
     if until is not None:
         clock = spark.createDataFrame([(until,)], "ts timestamp")
         clock.select(*[F.col("ts") if c.name == "ts" else F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema]).write.parquet(f"{folder}/clock")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    files = len(spark.read.schema(rows.schema).parquet(*[f"{folder}/{n}" for n in SLICES]).inputFiles())
+    per_trigger = max(1, math.ceil(files / len(SLICES)))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/*")
 
 
 @query(f"select id, status, ts, previous from ({CHANGES_SQL})")

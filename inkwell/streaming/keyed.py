@@ -1,27 +1,31 @@
 """Status per id in the order of event time, as keyed state with timers.
 
-Rows of an id are kept in pieces per span of event time, each piece sorted as it
-came. When the watermark passes the end of a span, a timer merges its pieces and
-walks them once; what stays of an id is one value. So a micro-batch touches the
-spans it brings and no others, whatever an id has seen before, and rows that
-files deliver out of time order are put right as long as they come within the
-delay. Rows that come later still are handed on as ``late``, not dropped.
-
-A second timer per id is its deadline: polling that has not ended by then has
-run out.
+Ids are dealt to buckets by hash, and a bucket is what has state. Its rows are
+kept in pieces per span of event time, as they came. When the watermark passes
+the end of a span, a timer puts its pieces in order and walks all ids of the
+bucket at once; what stays of an id is one row of the bucket's table. So a
+micro-batch touches the spans it brings and no others, whatever an id has seen
+before, calls to the state store grow with buckets and spans and not with ids,
+and rows that files deliver out of time order are put right as long as they come
+within the delay. Rows that come later still are handed on as ``late``, not
+dropped.
+
+A second timer per bucket is the earliest deadline of its ids: polling that has
+not ended by then has run out.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from inkwell.operators.tracking import TERMINAL
@@ -34,55 +38,61 @@ RESULT = (
 )
 COLUMNS = ["id", *[part.split()[0] for part in RESULT.split(", ")]]
 
+#: Ids of a bucket are read and written together.
+BUCKETS = 256
+#: Stands for a NULL sequence on the way to Python, where whole numbers have no NULL; it is ordered last.
+NO_SEQUENCE = 2**63 - 1
 
-@dataclass
-class Last:
-    """What is known of an id. Times are microseconds; ``spans`` up to ``done`` have been walked."""
+#: The bucket of whole-number ids that are NULL.
+NO_ID = -1
 
-    seen: bool = False
-    status: str | None = None
-    first: int = 0
-    ts: int = 0
-    ended: bool = False
-    overdue: bool = False
-    done: int = -(2**62)
+#: What is known of an id. Times are microseconds; spans up to ``done`` have been walked.
+LAST = {"id": object, "status": object, "first": "int64", "ts": "int64", "ended": bool, "overdue": bool, "done": "int64"}
 
 
-LAST = "seen boolean, status string, first long, ts long, ended boolean, overdue boolean, done long"
+def _packed(frame: pd.DataFrame) -> tuple[bytes]:
+    batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: Sequence[bytes]) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value[0])).read_all().to_pandas()
 
 
 class StatusProcessor(StatefulProcessor):
     def __init__(self, span_ms: int, terminal: Sequence[str], timeout_ms: int | None, changes: bool):
-        self.span_ms, self.terminal, self.timeout_ms, self.changes = span_ms, frozenset(terminal), timeout_ms, changes
+        self.span_ms, self.terminal, self.timeout_ms, self.changes = span_ms, list(terminal), timeout_ms, changes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", LAST)
+        self.last = handle.getValueState("last", "rows binary")
         self.open = handle.getMapState("open", "span long", "pieces long")
-        self.pieces = handle.getMapState("pieces", "span long, piece long", "ts array<long>, sequence array<long>, status array<string>")
+        self.pieces = handle.getMapState("pieces", "span long, piece long", "rows binary")
 
-    def known(self) -> Last:
-        return Last(*self.last.get()) if self.last.exists() else Last()
+    def known(self) -> pd.DataFrame:
+        return _unpacked(self.last.get()) if self.last.exists() else pd.DataFrame(columns=list(LAST)).astype(LAST)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Rows without an id only move the watermark on.
-        done = self.known().done if key[0] is not None else None
+        # Rows without a bucket only move the watermark on.
+        last = None if pd.isna(key[0]) else self.known()
         for frame in rows:
-            if done is None:
+            if last is None:
                 continue
-            # The first rows of an id set up its value, so that it exists before any timer.
             spans = frame["ts"] // (self.span_ms * 1000)
-            late = frame[spans <= done]
+            walked = spans <= frame["id"].map(dict(zip(last["id"], last["done"]))).astype("float64")
+            late = frame[walked]
             if len(late):
-                yield self.result(key, "late", late["status"].tolist(), late["ts"].tolist(), late["sequence"].tolist())
-            frame = frame.assign(span=spans)[spans > done].sort_values(["ts", "sequence"], kind="stable")
-            for span, part in frame.groupby("span", sort=True):
+                yield self.result(key, "late", late["id"], late["status"], late["ts"], late["sequence"])
+            fresh = frame.loc[~walked, ["id", "ts", "sequence", "status"]]
+            for span, part in fresh.groupby(spans[~walked], sort=True):
                 self.keep(int(span), part)
 
     def keep(self, span: int, part: pd.DataFrame) -> None:
         count = self.open.getValue((span,))[0] if self.open.containsKey((span,)) else 0
-        status = [None if pd.isna(s) else s for s in part["status"]]
-        self.pieces.updateValue((span, count), (part["ts"].tolist(), part["sequence"].tolist(), status))
+        self.pieces.updateValue((span, count), _packed(part))
         self.open.updateValue((span,), (count + 1,))
         if not count:
             self.handle.registerTimer((span + 1) * self.span_ms)
@@ -90,60 +100,103 @@ class StatusProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         span = at // self.span_ms - 1
+        before = last = self.known()
+        told, found = np.zeros(len(last), dtype=bool), None
         if at % self.span_ms == 0 and self.open.containsKey((span,)):
-            yield from self.walk(key, span)
-        last = self.known()
-        if self.timeout_ms is not None and last.seen and not last.overdue and at == self.deadline(last):
-            last.overdue = True
-            self.store(last)
-            yield self.summary(key, last)
-
-    def deadline(self, last: Last) -> int:
+            last, told, found = self.walk(span, last)
+        if self.timeout_ms is not None:
+            deadline = self.deadlines(last)
+            due = ~last["overdue"].to_numpy() & ((deadline <= at) | (deadline < timerValues.getCurrentWatermarkInMs()))
+            last = last.assign(overdue=last["overdue"].to_numpy() | due)
+            told = told | due
+            # The earliest deadline has a timer; the others get theirs when it has fired.
+            if (first := self.earliest(last)) not in (None, self.earliest(before)):
+                self.handle.registerTimer(first)
+            if told.any():
+                yield self.summary(key, last[told])
+        if told.any():
+            self.last.update(_packed(last))
+        if self.changes and found is not None and len(found):
+            yield self.result(key, "change", found["id"], found["status"], found["ts"], found["sequence"], found["previous"])
+
+    def deadlines(self, last: pd.DataFrame) -> np.ndarray:
         """The first millisecond after the time allowed."""
-        return (last.first + self.timeout_ms * 1000) // 1000 + 1
-
-    def walk(self, key: Any, span: int) -> Iterator[pd.DataFrame]:
-        """The rows of a span in order: changes of status, and the id's new value."""
-        count, last = self.open.getValue((span,))[0], self.known()
-        found, started = [], last.seen
-        pieces = [zip(*self.pieces.getValue((span, n))) for n in range(count)]
-        for ts, sequence, status in heapq.merge(*pieces, key=lambda row: row[:2]):
-            if last.ended:
-                break
-            if not last.seen or status != last.status:
-                found.append((status, ts, sequence, last.status))
-            if not last.seen:
-                last.first = ts
-            last.seen, last.status, last.ts = True, status, ts
-            last.ended = status in self.terminal
-        last.done = span
+        return (last["first"].to_numpy() + self.timeout_ms * 1000) // 1000 + 1
+
+    def earliest(self, last: pd.DataFrame) -> int | None:
+        open_ = self.deadlines(last)[~last["overdue"].to_numpy()]
+        return int(open_.min()) if len(open_) else None
+
+    def walk(self, span: int, last: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
+        """The rows of a span in order: the new table, which of its ids had rows, and changes of status."""
+        count = self.open.getValue((span,))[0]
+        rows = pd.concat([_unpacked(self.pieces.getValue((span, n))) for n in range(count)], ignore_index=True)
         for n in range(count):
             self.pieces.removeKey((span, n))
         self.open.removeKey((span,))
-        self.store(last)
-        if self.timeout_ms is not None:
-            if not started:
-                self.handle.registerTimer(self.deadline(last))
-            yield self.summary(key, last)
-        if self.changes and found:
-            yield self.result(key, "change", *map(list, zip(*found)))
-
-    def store(self, last: Last) -> None:
-        self.last.update((last.seen, last.status, last.first, last.ts, last.ended, last.overdue, last.done))
-
-    def result(self, key: Any, kind: str, status: list, ts: list, sequence: list, previous: list | None = None) -> pd.DataFrame:
+        code, ids = pd.factorize(rows["id"])
+        order = np.lexsort((rows["sequence"].to_numpy(), rows["ts"].to_numpy(), code))
+        rows, code = rows.iloc[order].reset_index(drop=True), code[order]
+        ts = rows["ts"].to_numpy()
+        place = pd.Index(last["id"]).get_indexer(ids)
+        seen = place >= 0
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+
+        # NULL is a status like others and has the number -1; -2 is none yet.
+        number, names = pd.factorize(np.r_[rows["status"].to_numpy(object), last["status"].to_numpy(object)])
+        names = np.r_[names, np.array([None, None], dtype=object)]
+        status, known = number[: len(rows)], np.r_[number[len(rows) :], -2]
+        previous = np.r_[-2, status[:-1]]
+        previous[starts] = known[place]
+
+        # Nothing follows a terminal status, so what counts of an id is its first rows.
+        ends = rows["status"].isin(self.terminal).to_numpy()
+        earlier = np.cumsum(ends) - ends
+        over = np.r_[last["ended"].to_numpy(bool), False][place]
+        live = ~over[code] & (earlier == earlier[starts][code])
+        n_live = np.bincount(code, live, len(ids)).astype("int64")
+        newest = np.where(n_live > 0, starts + n_live - 1, starts)
+
+        def carried(column: str, new: np.ndarray, old: np.ndarray) -> np.ndarray:
+            return np.where(old, np.r_[last[column].to_numpy("int64"), 0][place], new)
+
+        none = n_live == 0
+        after = pd.DataFrame({
+            "id": ids,
+            "status": names[np.where(none, known[place], status[newest])],
+            "first": carried("first", ts[starts], seen),
+            "ts": carried("ts", ts[newest], none),
+            "ended": over | ends[newest],
+            "overdue": np.r_[last["overdue"].to_numpy(bool), False][place],
+            "done": span,
+        })
+        rest = last[~np.isin(np.arange(len(last)), place[seen])]
+        changed = live & (status != previous)
+        found = rows[changed].assign(previous=names[previous[changed]])
+        table = pd.concat([rest, after], ignore_index=True) if len(rest) else after
+        return table, np.arange(len(table)) >= len(rest), found
+
+    def result(
+        self, key: Any, kind: str, ids: pd.Series, status: pd.Series, ts: pd.Series, sequence: pd.Series,
+        previous: pd.Series | None = None,
+    ) -> pd.DataFrame:
         size = len(ts)
-        status = [None if pd.isna(s) else s for s in status]
-        columns = [[key[0]] * size, [kind] * size, status, pd.to_datetime(ts, unit="us"), sequence, previous or [None] * size]
+        numbers = [None if n == NO_SEQUENCE else n for n in sequence.tolist()]
+        names, old = ([None if pd.isna(s) else s for s in c] if c is not None else [None] * size for c in (status, previous))
+        columns = [self.named(key, ids), [kind] * size, names, pd.to_datetime(ts.to_numpy(), unit="us"), pd.array(numbers, "Int64"), old]
         nothing = [pd.Series([pd.NaT] * size, dtype="datetime64[us]")] * 2
-        return pd.DataFrame(dict(zip(COLUMNS, [*columns, *nothing, [None] * size])))
+        return pd.DataFrame(dict(zip(COLUMNS, [*columns, *nothing, pd.array([None] * size, "boolean")])))
 
-    def summary(self, key: Any, last: Last) -> pd.DataFrame:
-        status = "unknown" if last.status is None else last.status
-        row = [key[0], "summary", status, pd.to_datetime(last.ts, unit="us"), None, None,
-               pd.to_datetime(last.first, unit="us"), pd.to_datetime(last.ts, unit="us"), last.overdue and status not in TERMINAL]
-        frame = pd.DataFrame([row], columns=COLUMNS)
-        return frame.astype({"sequence": "Int64", "timed_out": "boolean"})
+    def named(self, key: Any, ids: pd.Series) -> list:
+        return [None] * len(ids) if key[0] == NO_ID else ids.tolist()
+
+    def summary(self, key: Any, last: pd.DataFrame) -> pd.DataFrame:
+        size = len(last)
+        status = ["unknown" if pd.isna(s) else s for s in last["status"]]
+        first, ts = (pd.to_datetime(last[c].to_numpy(), unit="us") for c in ("first", "ts"))
+        columns = [self.named(key, last["id"]), ["summary"] * size, status, ts, pd.array([None] * size, "Int64"), [None] * size, first, ts]
+        timed_out = pd.array(last["overdue"].to_numpy() & ~np.isin(status, list(TERMINAL)), "boolean")
+        return pd.DataFrame(dict(zip(COLUMNS, [*columns, timed_out])))
 
     def close(self) -> None:
         pass
@@ -156,6 +209,7 @@ def keyed_status(
     terminal: Sequence[str] = TERMINAL,
     timeout_minutes: int | None = None,
     changes: bool = True,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """What a stream of ``id, status, ts, sequence`` says of each id in the order of (ts, sequence).
 
@@ -166,18 +220,31 @@ def keyed_status(
     run out, given anew whenever it may have changed; the last one counts).
     Nothing follows a terminal status. Answers come once the watermark has passed
     a span of ``span_seconds``; rows without an id only move the watermark on, as
-    a poller that is alive but sees no news does. NULL is a status like others.
+    a poller that is alive but sees no news does (where ids are whole numbers they
+    are also an id of their own). NULL is a status like others.
 
-    An id's open spans lie in the state store piece by piece, so a micro-batch
-    writes what it brings and a closed span what it changes.
+    Open spans lie in the state store piece by piece, so a micro-batch writes what
+    it brings. Ids share ``buckets``: a closed span reads and writes one row for
+    each id of its bucket, so give more buckets where there are millions of ids.
+    Their number must stay the same over the life of a checkpoint.
     """
     span = span_seconds * 1000
     timed = seen.withColumn("_event", F.col("ts").cast("timestamp")).withWatermark("_event", delay)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    kind = seen.schema["id"].dataType
+    # Whole numbers stay such in pandas if none of them is NULL.
+    id_ = F.coalesce("id", F.lit(0)).cast(kind) if isinstance(kind, T.IntegralType) else F.col("id")
+    bucket = F.when(F.col("id").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    if isinstance(kind, T.IntegralType):
+        bucket = F.coalesce(bucket, F.lit(NO_ID))
+    bucket = F.when(F.col("ts").isNotNull(), bucket)
     # Without the watermark's column the operator sees late rows too.
-    rows = timed.select("id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("sequence").cast("bigint").alias("sequence"))
+    rows = timed.select(
+        bucket.alias("_bucket"), id_.alias("id"), "status", F.coalesce(micros, F.lit(0)).alias("ts"),
+        F.coalesce(F.col("sequence").cast("bigint"), F.lit(NO_SEQUENCE)).alias("sequence"),
+    )
     processor = StatusProcessor(span, terminal, None if timeout_minutes is None else timeout_minutes * 60_000, changes)
-    id_type = seen.schema["id"].dataType.simpleString()
-    return rows.groupBy("id").transformWithStateInPandas(processor, f"id {id_type}, {RESULT}", "append", "EventTime")
+    return rows.groupBy("_bucket").transformWithStateInPandas(processor, f"id {kind.simpleString()}, {RESULT}", "append", "EventTime")
 
 
 @contextmanager

@@ -104,3 +104,52 @@ def test_the_setting_is_put_back(spark, before):
     finally:
         spark.conf.unset(PROVIDER)
     assert spark.conf.get(PROVIDER, None) == own
+
+
+def test_ids_share_the_state(spark, tmp_path):
+    """Calls to the store grow with buckets: as many ids as there are make one timer a span and bucket."""
+    rows = [(f"k{n % 40}", "abc"[n * 7 % 11 % 3], n // 8, n) for n in range(400)]
+    for k in (1, 0):
+        drop(tmp_path / "in", str(k), rows[k * 200 : k * 200 + 200])
+    drop(tmp_path / "in", "clock", [(None, None, 10_000, None)])
+    stream = spark.readStream.schema(SEEN).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    polled = keyed_status(stream, "3 hours", 1800, terminal=("c",), timeout_minutes=30, buckets=2)
+    query = write_keyed(polled, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    timers = [s["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < sum(timers) <= 2 * (2 + 40)
+    seen = spark.createDataFrame([(i, s, START + timedelta(minutes=m), n) for i, s, m, n in rows], SEEN)
+    ended = seen.where("status = 'c'").groupBy("id").agg(F.min("sequence").alias("_end"))
+    live = seen.join(ended, "id", "left").where("_end is null or sequence <= _end").drop("_end")
+    want = [(r["id"], r["status"], r["sequence"], r["previous"]) for r in status_changes(live, F.lit(0), "id", ("ts", "sequence")).collect()]
+    got = [(i, s, n, p) for i, s, _, n, p in answers(spark, tmp_path, "change")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r["id"] for r in last_summaries(read_keyed(spark, str(tmp_path / "out"), "string", "summary")).collect()} == {r[0] for r in rows}
+
+
+def test_whole_numbers_and_missing_values(spark, tmp_path):
+    """Ids and sequences past 2^53 stay exact beside rows without an id (an id of its own here), a time or a sequence."""
+    big, at = 2**60 + 1, START.isoformat()
+    lines = [{"id": big, "status": "a", "ts": at, "sequence": big}, {"id": big, "status": "b", "ts": at}, {"status": "a", "ts": at, "sequence": 1},
+             {"id": big, "status": "a", "sequence": 5}, {"id": 0, "status": None, "ts": at, "sequence": big + 1}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(map(json.dumps, lines)))
+    time.sleep(0.02)
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"ts": (START + timedelta(days=9)).isoformat()}))
+    stream = spark.readStream.schema(SEEN.replace("id string", "id long")).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    write_keyed(keyed_status(stream, "3 hours", 1800, terminal=(), buckets=1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [(r["id"], r["status"], r["sequence"], r["previous"]) for r in read_keyed(spark, str(tmp_path / "out"), "long", "change").collect()]
+    assert sorted(got, key=repr) == sorted([(big, "a", big, None), (big, "b", None, "a"), (0, None, big + 1, None), (None, "a", 1, None)], key=repr)
+
+
+def test_triggers_do_not_grow_with_files(spark, tmp_path):
+    """A table in more files is dealt to as many triggers."""
+    from inkwell.plans.streams import out_of_order
+
+    rows = [(n, START + timedelta(minutes=n)) for n in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = []
+    stream = out_of_order(spark, str(tmp_path), F.col("event_id"), F.col("ts"))
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: sizes.append(b.count()))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == 400 and len(sizes) <= 5
