@@ -37,6 +37,11 @@ MONEY = "decimal(28,12)"
 # Fixed value: calls that the service's client keeps open.
 IN_FLIGHT = 5
 
+#: Prompts of a staged file, and of a wave unless there are so many that they would make more than ``WAVES`` of them.
+WAVE, WAVES = 10_000, 64
+#: Outcomes of a task are kept as soon as it is through, also if the wave is not.
+KEEP_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 Completion = Callable[[str], Mapping[str, Any]]
 
 
@@ -150,8 +155,8 @@ class _LimitReached(Exception):
     pass
 
 
-def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size: int) -> int:
-    """Write prompts that the store does not have yet, once, in files of at most ``wave_size``; how many files make a wave.
+def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size: int) -> tuple[int, int]:
+    """Write prompts that the store does not have yet, once, in files of at most ``wave_size``; how many files there are, and rows in the largest.
 
     A key that is NULL or given twice is refused: its outcome could not be told.
     """
@@ -176,8 +181,8 @@ def stage_prompts(prompts: DataFrame, store: str, keys: Sequence[str], wave_size
     if first:
         check(staged())
         spark.createDataFrame([(True,)], "ok boolean").coalesce(1).write.parquet(f"{folder}/_checked")
-    largest = staged().groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0] or 1
-    return max(1, wave_size // largest)
+    found = staged().groupBy(F.col("_metadata.file_path")).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    return found[0], found[1] or 1
 
 
 def complete_in_waves(
@@ -185,7 +190,7 @@ def complete_in_waves(
     store: str,
     factory: Callable[[], Completion],
     keys: Sequence[str] = ("batch_id", "custom_id"),
-    wave_size: int = 10_000,
+    wave_size: int | None = None,
     budget: float | Decimal | None = None,
     cost: Column | None = None,
     most: Column | None = None,
@@ -194,10 +199,12 @@ def complete_in_waves(
     """Outcomes of all prompts, kept in ``store``; a later run goes on where this one ends.
 
     Prompts are written once and then streamed in files: so many files as have at
-    most ``wave_size`` prompts are a wave, the stream's checkpoint is the cursor, and
-    what a wave has done is kept call group by call group, so a run that stops
-    repeats at most the calls that were open. Prompts that a later run brings in
-    addition are appended.
+    most ``wave_size`` prompts are a wave, and the stream's checkpoint is the
+    cursor. Without a size it is ``WAVE``, or what makes ``WAVES`` waves where that
+    is more and neither a budget nor ``partitions`` asks for small ones; a task
+    has the fewer prompts then. What a task has done is kept when it is through, so
+    a run that stops repeats at most the calls of tasks that were open. Prompts
+    that a later run brings in addition are appended.
 
     With a ``budget`` calls stop once it is spent. ``cost`` is what an outcome
     cost, ``most`` the most that a prompt can cost, each over the columns at hand.
@@ -209,9 +216,14 @@ def complete_in_waves(
     schema = T.StructType([*prompts.schema.fields, *T.StructType.fromDDL(f"{OUTCOME}, cost {MONEY}").fields])
     price = F.lit(0) if cost is None else F.coalesce(cost, F.lit(0))
     limit = None if budget is None else Decimal(str(budget))
-    tasks = options.pop("partitions", None) or spark.sparkContext.defaultParallelism
+    slots = spark.sparkContext.defaultParallelism
+    asked = options.pop("partitions", None)
     reached = []
-    files = stage_prompts(prompts, store, keys, wave_size)
+    staged_files, largest = stage_prompts(prompts, store, keys, wave_size or WAVE)
+    files = max(1, (wave_size or WAVE) // largest)
+    if wave_size is None and limit is None and not asked:
+        files = max(files, -(-staged_files // WAVES))
+    tasks = asked or max(slots, -(-files * largest * slots // WAVE))
 
     def outcomes(path: str) -> DataFrame | None:
         return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
@@ -220,29 +232,33 @@ def complete_in_waves(
         rows = outcomes(path)
         return Decimal(0) if rows is None else rows.agg(F.sum("cost")).first()[0] or Decimal(0)
 
-    def spent_before(epoch: int) -> Decimal:
-        """One small row per wave, so that earlier outcomes are not added up again."""
-        path = f"{store}/_spent/epoch={epoch - 1}"
-        return spark.read.schema(f"spent {MONEY}").parquet(path).first()[0] if epoch and path_exists(spark, path) else Decimal(0)
+    def call(open_: DataFrame, own: str) -> str:
+        path = f"{own}/round={uuid.uuid4().hex}"
+        called = map_completions(open_, factory, partitions=tasks, **options).withColumn("cost", price.cast(MONEY))
+        called.write.options(**KEEP_TASKS).parquet(path)
+        return path
+
+    # Of all earlier runs; this one adds what its rounds cost.
+    spent = Decimal(0) if limit is None else spent_in(store)
 
     def wave(batch: DataFrame, epoch: int) -> None:
-        own, before = f"{store}/epoch={epoch}", spent_before(epoch)
+        nonlocal spent
+        own = f"{store}/epoch={epoch}"
         while True:
-            done, spent = outcomes(own), before + spent_in(own)
+            done = outcomes(own)
             open_ = batch if done is None else batch.join(done.select(*keys), list(keys), "left_anti")
+            if limit is None:
+                call(open_, own)
+                break
             if open_.isEmpty():
                 break
-            if limit is not None:
-                if spent >= limit:
-                    reached.append(epoch)
-                    raise _LimitReached
-                rows = open_.withColumn("_most", F.coalesce(most if most is not None else F.lit(None), F.lit(limit)).cast(MONEY))
-                # A wave is one block of at most wave_size rows.
-                open_ = budget_cutoff(rows, [], keys, "_most", limit - spent, F.lit(0)).where("admitted").select(*batch.columns)
-            called = map_completions(open_, factory, partitions=tasks, **options).withColumn("cost", price.cast(MONEY))
-            called.write.parquet(f"{own}/round={uuid.uuid4().hex}")
-        total = spark.createDataFrame([(spent,)], f"spent {MONEY}")
-        total.coalesce(1).write.mode("overwrite").parquet(f"{store}/_spent/epoch={epoch}")
+            if spent >= limit:
+                reached.append(epoch)
+                raise _LimitReached
+            rows = open_.withColumn("_most", F.coalesce(most if most is not None else F.lit(None), F.lit(limit)).cast(MONEY))
+            # A wave is one block of at most wave_size rows.
+            open_ = budget_cutoff(rows, [], keys, "_most", limit - spent, F.lit(0)).where("admitted").select(*batch.columns)
+            spent += spent_in(call(open_, own))
 
     staged = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", files).parquet(f"{store}/_prompts")
     writer = staged.writeStream.option("checkpointLocation", f"{store}/_checkpoint").foreachBatch(wave)

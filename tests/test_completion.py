@@ -189,3 +189,23 @@ def test_documents_are_cut_up_once(spark, tmp_path):
     got = document_responses(df.withColumn("text", noted.asNondeterministic()("text")), flaky, 3, 1, wave_size=2, base_delay=0.0)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: "A B C\nC D E\nE F G\nG" for i in range(6)}
     assert len(os.listdir(cut)) == 6
+
+
+def test_many_prompts_are_a_bounded_number_of_waves(spark, tmp_path, monkeypatch):
+    """And what a task of a wave has done is kept, so a stop inside one repeats only what was open."""
+    from inkwell.operators import completion
+
+    monkeypatch.setattr(completion, "WAVE", 5)
+    monkeypatch.setattr(completion, "WAVES", 3)
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = some(spark, 60).coalesce(1)
+    with pytest.raises(Exception, match="the run stops here"):
+        complete_in_waves(prompts, store, counting(str(calls), 12))
+    half = len(os.listdir(calls))
+    assert spark.read.parquet(f"{store}/epoch=0").count() > 0
+    done = complete_in_waves(prompts, store, counting(str(calls)))
+    # One more for the files of the second run.
+    assert done.outcomes.count() == 60 and len([n for n in os.listdir(store) if n.startswith("epoch=")]) <= 4
+    assert set(called(calls)) == {f"p{i}" for i in range(60)}
+    assert len(os.listdir(calls)) < 60 + half
