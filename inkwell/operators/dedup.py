@@ -52,11 +52,19 @@ def unique_prompts(prompts: DataFrame) -> DataFrame:
     Copies are found on hashes, which are written once. A text without a copy
     does not move; only rows that may be later copies meet their list.
     """
-    prints = fingerprints(prompts)
+    return unique_with_indices(prompts)[0]
+
+
+def unique_with_indices(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``unique_prompts``, and the ``idx`` of its rows alone, for which no text is read again."""
+    prints = fingerprints(prompts).select("idx", "hash")
+    # Both sides below meet the same list.
+    later = written(later_copies(prints), "later-copies")
     rows = prompts.select("idx", "text").where(F.col("text").isNotNull() & F.col("idx").isNotNull())
     digest = content_hash(F.col("text"))
-    kept = without(rows, later_copies(prints.select("idx", "hash")), ["idx"], {"hash": digest})
-    return kept.select("idx", digest.alias("hash"), "text")
+    kept = without(rows, later, ["idx"], {"hash": digest}).select("idx", digest.alias("hash"), "text")
+    known = prints.where(F.col("hash").isNotNull() & F.col("idx").isNotNull())
+    return kept, without(known, later, ["idx"], {"hash": F.col("hash")}).select("idx")
 
 
 def missing_prompts(prompts: DataFrame) -> DataFrame:

@@ -97,19 +97,25 @@ def assign_batches(
 
 
 def assign_batches_in_order(
-    requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000, ids: Column | None = None, unique: bool = False
+    requests: DataFrame, order: Sequence[str], max_batch_size: int = 5000, ids: Column | None = None, unique: bool = False,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """As ``assign_batches`` for rows without a dense index; adds ``position`` as well.
 
     Where ``order`` is ``unique``, positions are found on it alone and the rest
-    of the rows moves once, to meet them; else whole rows are sorted.
+    of the rows moves once, to meet them; else whole rows are sorted. ``keys``
+    may hold the ``order`` of all rows where that is cheaper to read than the rows.
     """
     if unique:
-        positions = dense_index(requests.select(*order), order, "position")
+        positions = dense_index((requests if keys is None else keys).select(*order), order, "position")
         placed = requests.join(positions, list(order))
     else:
         placed = dense_index(requests, order, "position")
-    return assign_batches(placed, "position", max_batch_size=max_batch_size, ids=ids)
+    # A total of the rows themselves reads them once more.
+    total = None
+    if unique and keys is not None:
+        total = keys.select(*order).join(positions.select(*order), list(order)).agg(F.count(F.lit(1)).alias("_total"))
+    return assign_batches(placed, "position", total, max_batch_size=max_batch_size, ids=ids)
 
 
 def failed_batches(batched: DataFrame, failures: DataFrame) -> DataFrame:

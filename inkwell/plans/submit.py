@@ -277,8 +277,8 @@ def submit_batches(spark, sf_dir):
     cleaned = spread_documents(spark, sf_dir).select(
         F.col("doc_id").alias("idx"), text.sanitize(F.col("text")).alias("text")
     )
-    unique = dedup.unique_prompts(cleaned).drop("hash")
-    batched = requests.assign_batches_in_order(unique, ["idx"], ids=F.col("idx"), unique=True)
+    unique, indices = dedup.unique_with_indices(cleaned)
+    batched = requests.assign_batches_in_order(unique.drop("hash"), ["idx"], ids=F.col("idx"), unique=True, keys=indices)
     return requests.build_requests(batched, "o1-mini").select(
         F.col("idx").alias("doc_id"), "batch_no", "custom_id", "start_item", "end_item",
         F.col("body.messages")[0]["content"].alias("content"), "body.reasoning_effort",

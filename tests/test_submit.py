@@ -158,3 +158,25 @@ def test_own_prices(spark):
     rows = usage(spark, [("gpt-mini", 10**6, 10**6, 10**6), ("GPT-x", 10**6, 0, 10**6), ("zzz", 5, 5, 5)])
     got = {r["model"]: r["total_cost"] for r in requests.cost_by_model(rows, own, Price("free", Decimal(0), Decimal(0))).collect()}
     assert got == {"gpt-mini": 3.0, "gpt-x": 40.0, "zzz": 0.0, None: 43.0}
+
+
+def test_submit_reads_texts_twice(spark):
+    """Once for the hashes and once for the requests: counts and positions come from the hashes."""
+    texts = [(i, f"text {i % 7 if i % 2 else i} é") for i in range(40)] + [(40, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    cleaned = spark.createDataFrame(texts, "idx bigint, text string").select("idx", noted.asNondeterministic()("text").alias("text"))
+    unique, indices = dedup.unique_with_indices(cleaned)
+    batched = requests.assign_batches_in_order(unique.drop("hash"), ["idx"], 1000, ids=F.col("idx"), unique=True, keys=indices)
+    got = sorted((r["idx"], r["position"], r["end_item"], r["text"]) for r in batched.collect())
+    first = {}
+    for i, t in texts[:-1]:
+        first.setdefault(t, i)
+    want = sorted(first.items(), key=lambda x: x[1])
+    assert got == [(i, n, len(want), t) for n, (t, i) in enumerate(want)]
+    assert read.value <= 2 * len(texts)
