@@ -12,6 +12,9 @@ from inkwell.sources.readers import Readers, process_listed
 
 LINE_SCHEMA = "custom_id string, status string, model string, choices array<struct<message struct<role string, content string>>>"
 
+#: So many characters go to a prompt file and the task that writes it, at four files or more.
+FILE_CHARS = 64 * 1024**2
+
 
 @query(
     """select cast(row_number() over (order by doc_id, n) - 1 as bigint) as prompt_idx, line as text
@@ -19,9 +22,11 @@ LINE_SCHEMA = "custom_id string, status string, model string, choices array<stru
              from (select doc_id, string_split(text, chr(10)) as lines from documents)) where line <> ''"""
 )
 def prompt_files(spark, sf_dir):
-    """Whole texts as prompt files in order; every line that is not blank is a prompt."""
+    """Whole texts as prompt files in order, of about ``FILE_CHARS`` each; every line that is not blank is a prompt."""
     folder = fresh_folder(spark, "prompts")
-    ordered = documents(spark, sf_dir).select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    chars = texts.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    ordered = texts.repartitionByRange(max(4, -(-chars // FILE_CHARS)), "doc_id").sortWithinPartitions("doc_id")
     ordered.select("text").write.text(folder)
     return files.prompt_lines(spark, folder).select("prompt_idx", "text")
 

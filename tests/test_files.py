@@ -253,3 +253,18 @@ def test_changed_splits_raise(spark, tmp_path):
             got.collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_prompt_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """A task writes a bounded part of the texts, whatever their sum."""
+    from inkwell.plans import files as plan
+
+    monkeypatch.setattr(plan, "FILE_CHARS", 200, raising=False)
+    folders = []
+    fresh = plan.fresh_folder
+    monkeypatch.setattr(plan, "fresh_folder", lambda s, n: folders.append(fresh(s, n)) or folders[-1])
+    rows = [(i, f"one {i}\n\n two {i} " + "x" * 90) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["text"] for r in plan.prompt_files(spark, str(tmp_path)).orderBy("prompt_idx").collect()]
+    assert got == [line.strip() for _, t in rows for line in t.split("\n") if line]
+    assert len(spark.read.text(folders[0]).inputFiles()) > 20
