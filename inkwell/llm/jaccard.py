@@ -1,18 +1,22 @@
-"""Exact Jaccard join of shingle sets in their metric space: cells, pivots, triangle-inequality windows, recursion.
+"""Exact Jaccard join of shingle sets in their metric space: cells, regions, pivots, triangle-inequality windows.
 
-The Jaccard distance is a metric. Its coarsest regions are the cells of single
+The Jaccard distance is a metric. Its coarsest parts are the cells of single
 shingles: two sets within the threshold share one of the first shingles of each
-in a common order, so every set is copied to the cells of its first shingles and
-no others. The order puts rare shingles first (their document frequencies are
-counted over all documents), so a common passage makes no cell of its own.
-
-Inside a cell all sets are compared with a pivot. What links to it is one
-component with it; of the others, two sets can only be within the threshold if
-their distances to the pivot differ by no more (the triangle inequality). The
-cell's open sets, those that components do not join yet, are compared within
-that window, through further pivots while they are many; each round's links join
-components and close cells. Rounds end when no cell is open, so no link between
-components is missed. Sets that are equal are one node from the start.
+in a common order, so every set belongs to the cells of its first shingles and
+no others. The order puts shingles of one document first, then rare ones (their
+document frequencies are counted over all documents): a text of its own has no
+cell at all, and a common passage makes none. Sets that are equal are one node
+from the start.
+
+Cells with a member in common are one region, so all sets within the threshold
+of each other are in one region, and a region's sets move once. In a region, sets
+are pivots one after the other: what links to a pivot is one component with it,
+and two sets of different components can only be within the threshold if their
+distances to each pivot differ by no more (the triangle inequality). A set with
+no such partner left is done, and so is the region when what is not done is one
+component. Regions of many sets are cut into blocks: blocks are done first, then
+one set of each block's largest component meets all blocks, and what is outside
+of the region's largest component then meets all blocks, group by group.
 """
 
 from __future__ import annotations
@@ -23,22 +27,30 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from inkwell.llm.bpe import kind
 from inkwell.llm.common import SLICE, bound_batches
-from inkwell.session import fresh_folder, written
+from inkwell.session import written
 
 #: Words in a shingle; links need 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
 #: Shingles in more documents than this are common, and the most common so many have their frequency known.
 COMMON, MOST_COMMON = 32, 1 << 20
-#: A cell with more open pairs than this goes on in a region, whose pivots make about so many pairs at a time.
-OPEN_PAIRS, PIVOT_PAIRS = 4_096, 1 << 20
-#: Bits of the map of shingles in several documents, and by how much the upper 32 bits are shifted for it.
-SHARED_BITS, SHARED_SHIFT = 1 << 27, 5
+#: A region with more pairs than this is cut into blocks, which have about so many pairs each.
+OPEN_PAIRS, PIVOT_PAIRS = 1 << 20, 1 << 20
+#: A block has about so many shingles at most, and a region of more is cut too.
+BLOCK_ITEMS = 1 << 20
+#: Pivots whose distances are kept for windows.
+PIVOTS = 8
+#: Places of the map of shingles in several documents, from and to, and how many a document is worth.
+SHARED_PLACES, MOST_SHARED_PLACES, SHARED_PER_DOC = 1 << 27, 1 << 29, 64
+#: Document frequencies from which a place has the levels 1 to 3.
+RARE = (2, 5, 13)
+#: Edges that a task has at a time when it reduces them.
+EDGES = 1 << 20
 #: Bits of the map of texts whose sets are needed. False positives of either map cost time only.
 BITMAP = 1 << 26
 _FACTORS = np.array([0x9E3779B97F4A7C15 + 2 * (i * 0x632BE59BD9B4E019 % 2**62) for i in range(WORDS)], np.uint64)
@@ -85,28 +97,37 @@ def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
     """What is known of document frequencies: the common shingles' levels, and a map of those in several documents.
 
     Every document's distinct shingles are counted, in as many ranges of the hash
-    as keep a range's numbers few. Counted are the upper 32 bits; two shingles
-    that have them in common count as one, which only makes them seem less rare.
-    The first result has at most ``MOST_COMMON`` entries ``bits << 8 | level``,
-    sorted, the most frequent; the second has ``SHARED_BITS`` bits by the upper
-    bits of the hash, set where a shingle may stand in more than one document.
+    as keep a range's numbers few; a task counts before it sends. Counted are the
+    range and the 32 bits below; two shingles that have them in common count as
+    one, which only makes them seem less rare. The first result is how far a
+    hash is shifted to have those bits, then at most ``MOST_COMMON`` entries
+    ``bits << 8 | level``, sorted, the most frequent; the second is a map by the
+    upper bits of the hash, two bits a place: the highest level of its shingles by
+    ``RARE``, above 0 where a shingle may stand in more than one document.
     """
     width = max(6, min(20, (max(n_docs, 1) // 500).bit_length()))
-    shift, per_range = np.uint64(64 - width), SHARED_BITS >> width
+    places_ = min(MOST_SHARED_PLACES, max(SHARED_PLACES, 1 << (SHARED_PER_DOC * n_docs - 1).bit_length()))
+    shift, low = np.uint64(64 - width), np.uint64(32 - width)
+    per_range, place_shift = places_ >> width, np.uint64(32 + width - (places_.bit_length() - 1))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            values = np.concatenate(held)
             held.clear()
-            places = (values >> shift).astype(np.int64)
+            values >>= low
+            values, n = np.unique(values, return_counts=True)
+            places = (values >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(places)) + 1
-            parts = np.split((values >> np.uint64(32)).astype(np.uint32), cut)
+            parts = np.split(values.astype(np.uint32), cut)
+            more = [(part[c > 1], (c[c > 1] - 1).astype(np.uint32)) for part, c in zip(parts, np.split(n, cut))]
             return pa.RecordBatch.from_pydict({
                 "range": pa.array(places[np.concatenate([[0], cut])].astype(np.int32)),
                 "data": pa.array([p.tobytes() for p in parts], pa.binary()),
+                "again": pa.array([p.tobytes() for p, _ in more], pa.binary()),
+                "times": pa.array([c.tobytes() for _, c in more], pa.binary()),
             })
 
         for part in slices(batches):
@@ -121,76 +142,88 @@ def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
             yield flush()
 
     def counted(table: pa.Table) -> pa.Table:
-        values = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("data").to_pylist()])
+        values, again, times = (
+            np.concatenate([np.frombuffer(b, np.uint32) for b in table.column(c).to_pylist()]) for c in ("data", "again", "times")
+        )
         bits, n = np.unique(values, return_counts=True)
+        np.add.at(n, np.searchsorted(bits, again), times)
         number = table.column("range")[0].as_py()
-        marks = np.zeros(per_range, np.uint8)
-        marks[(bits[n > 1] >> SHARED_SHIFT).astype(np.int64) - number * per_range] = 1
+        whole = bits.astype(np.uint64) | np.uint64(number << 32)
+        rare = np.zeros(per_range, np.uint8)
+        several = n >= RARE[0]
+        at = (whole[several] >> place_shift).astype(np.int64) - number * per_range
+        np.maximum.at(rare, at, np.digitize(n[several], RARE).astype(np.uint8))
+        packed = np.bitwise_or.reduce(rare.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1)
         kept = n > COMMON
         none = [None] * int(kept.sum())
         return pa.table({
-            "bits": pa.array([None, *bits[kept].tolist()], pa.int64()),
+            "bits": pa.array([None, *whole[kept].tolist()], pa.int64()),
             "n": pa.array([None, *n[kept].tolist()], pa.int64()),
             "range": pa.array([number, *none], pa.int32()),
-            "marks": pa.array([np.packbits(marks, bitorder="little").tobytes(), *none], pa.binary()),
+            "marks": pa.array([packed.tobytes(), *none], pa.binary()),
         })
 
     found = written(
-        texts.mapInArrow(dealt, "range int, data binary").groupBy("range")
+        texts.mapInArrow(dealt, "range int, data binary, again binary, times binary").groupBy("range")
         .applyInArrow(counted, "bits bigint, n bigint, range int, marks binary"),
         "shingle-counts",
     )
     common = found.where("bits is not null").select("bits", "n").orderBy(F.desc("n"), "bits").limit(MOST_COMMON).toPandas()
     levels = np.log2(np.maximum(common["n"].to_numpy(np.float64), 1)).astype(np.int64)
-    shared = np.zeros(SHARED_BITS // 8, np.uint8)
+    shared = np.zeros(places_ // 4, np.uint8)
     for r in found.where("range is not null").select("range", "marks").collect():
-        start = r["range"] * per_range // 8
-        shared[start : start + per_range // 8] = np.frombuffer(bytes(r["marks"]), np.uint8)
-    return np.sort(common["bits"].to_numpy(np.int64) << 8 | levels), shared
+        start = r["range"] * per_range // 4
+        shared[start : start + per_range // 4] = np.frombuffer(bytes(r["marks"]), np.uint8)
+    return np.concatenate([[32 - width], np.sort(common["bits"].to_numpy(np.int64) << 8 | levels)]).astype(np.int64), shared
 
 
-def ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles, rare ones first, then by how common they are, then by hash."""
-    if not len(common) or not len(found):
+def ordered(found: np.ndarray, common: np.ndarray, shift: int = 32, rare: np.ndarray | int = 0) -> np.ndarray:
+    """The shingles: those of one document, then by how rare and how common they are, then by hash."""
+    if not len(found):
         return found
-    bits = (found >> np.uint64(32)).astype(np.int64)
-    at = np.minimum(np.searchsorted(common, bits << 8), len(common) - 1)
-    level = np.where(common[at] >> 8 == bits, common[at] & 255, 0)
+    level = np.zeros(len(found), np.int64) + rare
+    if len(common):
+        bits = (found >> np.uint64(shift)).astype(np.int64)
+        at = np.minimum(np.searchsorted(common, bits << 8), len(common) - 1)
+        level = np.maximum(level, np.where(common[at] >> 8 == bits, common[at] & 255, 0))
     return found[np.lexsort((found, level))]
 
 
 def first_shingles(docs: DataFrame, common: Broadcast, shared: Broadcast, salt: int, percent: int) -> DataFrame:
-    """``id, k, n, p, node, check, first``: each row's set size and number, and the cells it belongs to.
+    """``id, k, n, node, check, first``: each row's set size and number, and the cells it belongs to.
 
-    Of the first ``p`` shingles those that stand in no other document are left
-    out of ``first``: their cells would have one member.
+    Of the first shingles those that stand in no other document are left out of
+    ``first``: their cells would have one member.
     """
     id_type = kind(docs, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(common.value, np.int64)
+        shift, known = np.split(np.frombuffer(common.value, np.int64), [1])
         marks = np.frombuffer(shared.value, np.uint8)
+        place_shift = np.uint64(65 - (len(marks) * 4).bit_length())
+
+        def rare(found: np.ndarray) -> np.ndarray:
+            place = (found >> place_shift).astype(np.int64)
+            return (marks[place >> 2] >> (2 * (place & 3)).astype(np.uint8)) & 3
 
         def cells(found: np.ndarray) -> np.ndarray:
-            bit = (found >> np.uint64(32 + SHARED_SHIFT)).astype(np.int64)
-            return found[(marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1].view(np.int64)
+            # A partner has at least percent of the size and so shares one of these.
+            first = ordered(found, known, int(shift[0]), rare(found))[: len(found) - -(-len(found) * percent // 100) + 1]
+            return first[rare(first) > 0].view(np.int64)
 
         for part in slices(batches):
             sets = [shingles(t) for t in part.column("text").to_pylist()]
             nodes = [node_of(s, salt) if len(s) else (None, None) for s in sets]
-            # A partner has at least percent of the size and so shares one of these.
-            lengths = [len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0 for s in sets]
-            first = [cells(ordered(s, known)[:p]) for s, p in zip(sets, lengths)]
+            first = [cells(s) if len(s) else s.view(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])])
             flat = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                part.column("id"), part.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(lengths, pa.int64()),
+                part.column("id"), part.column("k"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([n for n, _ in nodes], pa.int64()), pa.array([c for _, c in nodes], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
-            ], names=["id", "k", "n", "p", "node", "check", "first"])
+            ], names=["id", "k", "n", "node", "check", "first"])
 
-    ddl = f"id {id_type}, k bigint, n bigint, p bigint, node bigint, check bigint, first array<bigint>"
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, f"id {id_type}, k bigint, n bigint, node bigint, check bigint, first array<bigint>")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
@@ -228,15 +261,72 @@ def sets_of(docs: DataFrame, needed: DataFrame, salt: int) -> DataFrame:
     return found if once else found.dropDuplicates(["node"])
 
 
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        after = label.copy()
+        for ends in (u, v, label[u], label[v]):
+            np.minimum.at(after, ends, least)
+        while not np.array_equal(after, after[after]):
+            after = after[after]
+        if np.array_equal(after, label):
+            return nodes, nodes[label]
+        label = after
+
+
+def reduced(links: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that tie the same nodes: of each task at most one for a node, to the smallest it is tied to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            nodes, least = smallest(*(np.concatenate(x) for x in zip(*held)))
+            return nodes[nodes != least], least[nodes != least]
+
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+            if size > EDGES:
+                a, b = stars()
+                held, size = [(a, b)], len(a)
+                if size > EDGES // 2:
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                    held, size = [], 0
+        if size:
+            a, b = stars()
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour, which has none: then the edges lead to the smallest nodes."""
+    ends = edges.select("u", F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+    return ends.groupBy("u").agg(F.sum("n").alias("up"), F.count(F.lit(1)).alias("all")).where("up > 0 and all > 1").isEmpty()
+
+
+def labelled(links: DataFrame) -> DataFrame:
+    """``node, comp`` of the nodes of edges ``a, b`` that lead to the smallest node of each component."""
+    least = links.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(least)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp``: the smallest node of each node's component; nodes without links are left out.
 
     Large and small stars in turn: every node's larger neighbours, then the
     smaller ones, are tied to the smallest, until all edges lead to it.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = reduced(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = written(edges.where("u <> v").distinct(), "edges")
     last = None
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -245,145 +335,136 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         print_ = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        edges = after
         if print_ == last:
-            tied = after.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            return tied.unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        edges, last = after, print_
+            break
+        last = print_
+    return labelled(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
+def joined(sets: list[np.ndarray], comp: np.ndarray, asked: np.ndarray, percent: int) -> np.ndarray:
+    """Components, numbered by their smallest label, after all links between an asked set and any other.
+
+    Asked sets are pivots one after the other: counted are the shingles that each
+    set has in common with the pivot. A set without a partner in another component
+    that the sizes and the windows of the pivots before leave possible is passed
+    over. Where all sets are asked, those of the largest component are too: all
+    others have met them.
+    """
+    comp, n, total = comp.copy(), np.array([len(s) for s in sets], np.int64), len(sets)
+    owner = np.repeat(np.arange(total), n)
+    words, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    lists = owner[np.argsort(at, kind="stable")]
+    ends, starts = np.cumsum(df), np.cumsum(n) - n
+    begins = ends - df
+    distances: list[np.ndarray] = []
+    reach, every = 1 - percent / 100 + 1e-9, bool(asked.all())
+    open_ = asked.copy()
+    while True:
+        waiting = open_
+        if every:
+            labels, sizes = np.unique(comp, return_counts=True)
+            waiting = open_ & (comp != labels[sizes.argmax()])
+        if not waiting.any():
+            return comp
+        pivot = int(waiting.argmax())
+        open_[pivot] = False
+        possible = (comp != comp[pivot]) & (100 * np.minimum(n, n[pivot]) >= percent * np.maximum(n, n[pivot]))
+        for d in distances:
+            possible &= np.abs(d - d[pivot]) <= reach
+        if not possible.any():
+            continue
+        own = at[starts[pivot] : starts[pivot] + n[pivot]]
+        many = df[own]
+        places = np.repeat(begins[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(lists[places], minlength=total)
+        either = n + n[pivot] - both
+        tied = np.unique(comp[100 * both >= percent * either])
+        comp[np.isin(comp, tied)] = tied[0]
+        # The windows of pivots that are near to many sets say most.
+        distances = sorted([*distances, 1 - both / either], key=lambda d: (d >= 1).sum())[:PIVOTS]
+
+
+def region_links(members: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """``a, b``: which components ``comp`` of each group of members ``keys, comp, asked, items`` the links tie together.
+
+    At most as many rows as a group has components come out, whatever the number of links.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.asarray(s) for c in table.column("items").chunks for s in (c[i].values.to_numpy() for i in range(len(c)))]
+        before = table.column("comp").to_numpy()
+        after = joined(sets, before, table.column("asked").to_numpy(), percent)
+        pairs = np.unique(np.stack([before, after], 1)[before != after], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return members.select(*keys, "comp", "asked", "items").groupBy(*keys).applyInArrow(run, "a bigint, b bigint")
 
 
 class Join:
-    """State of one join: nodes with sizes, the pairs compared so far, the links, and the open cells."""
+    """One join: nodes, their regions and the links that tie components together."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, salt: int, percent: int):
         self.docs, self.salt, self.percent = docs, salt, percent
         # Rows with one node have one set, so any of them stands for it.
-        sets = rows.where("node is not null").groupBy("node").agg(
-            F.min("k").alias("k"), F.min("n").alias("n"), F.min("p").alias("p"), F.first("first").alias("first")
+        self.nodes = written(
+            rows.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.first("first").alias("first")),
+            "nodes",
         )
-        self.nodes = written(sets, "nodes")
-        cells = self.nodes.select("node", F.explode("first").alias("s"))
-        shared = cells.groupBy("s").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
-        self.cells = written(cells.join(shared.select("s", "pivot"), "s"), "cells")
-        self.compared = fresh_folder(docs.sparkSession, "distances")
-        self.sets: DataFrame | None = None
-        self.distances: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that were not compared before and may link by their sizes and first shingles.
-
-        What two sets share beyond the first shingles of the one whose order ends
-        first is at most the rest of that one.
-        """
-        ordered_ = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        if self.distances is not None:
-            ordered_ = ordered_.join(self.distances.select("a", "b"), ["a", "b"], "left_anti")
-        for side in ("b", "a"):
-            own = [F.col(c).alias(f"{c}_{side}" if c != "node" else side) for c in ("node", "n", "p", "first")]
-            ordered_ = ordered_.join(self.nodes.select(*own), side)
-        sized = ordered_.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        most = F.size(F.array_intersect("first_a", "first_b")) + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-        return sized.where((100 + self.percent) * most >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Exact distances of possible pairs; the links among them."""
-        pairs = written(pairs, "pairs")
-        self.gather(pairs)
-        items = self.sets.select("node", "items")
-        wide = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
-        wide = wide.join(items.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a")
-        both = F.size(F.array_intersect("i_a", "i_b"))
-        found = wide.select("a", "b", both.alias("i"), (F.col("n_a") + F.col("n_b") - both).alias("u"))
-        # One folder for all rounds, so that plans do not grow with them.
-        found.write.mode("append").parquet(self.compared)
-        self.distances = found.sparkSession.read.schema(found.schema).parquet(self.compared)
-        self.links = self.distances.where(100 * F.col("i") >= self.percent * F.col("u")).select("a", "b")
-
-    def gather(self, pairs: DataFrame) -> None:
-        """Have the whole sets of the pairs' nodes at hand."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            needed = needed.join(self.sets.select("node"), "node", "left_anti")
-        needed = written(self.nodes.select("node", "k").join(needed, "node"), "needed")
-        if self.sets is None:
-            self.sets = sets_of(self.docs, needed, self.salt)
-        elif not needed.isEmpty():
-            self.sets = self.sets.unionByName(sets_of(self.docs, needed, self.salt).join(needed.select("node"), "node", "left_semi"))
-
-    def from_pivot(self, members: DataFrame) -> DataFrame:
-        """``s, node, d``: members of regions (``s, pivot, node``) that their pivots have been compared with, without the pivots."""
-        self.compare(self.possible(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
-        sides = F.array(
-            F.struct(F.col("a").alias("pivot"), F.col("b").alias("node")), F.struct(F.col("b").alias("pivot"), F.col("a").alias("node"))
-        )
-        gap = self.distances.select(F.explode(sides).alias("_p"), (1 - F.col("i") / F.col("u")).alias("d"))
-        gap = gap.select("_p.pivot", "_p.node", "d")
-        others = members.where("node <> pivot")
-        return written(others.join(gap, ["pivot", "node"], "left").select("s", "node", "d"), "open")
 
-    def merged(self, many: DataFrame) -> DataFrame:
-        """The cells as regions ``s, pivot, node``: cells with a member in common are one, and its smallest node is the pivot.
-
-        Copies of one text share hundreds of cells; as one region they meet once.
-        """
-        least = many.groupBy("s").agg(F.min("node").alias("b"))
-        tied = components(many.select("s", F.col("node").alias("a")).join(least, "s").select("a", "b"))
-        return tied.select(F.col("comp").alias("s"), F.col("comp").alias("pivot"), "node")
+    def regions(self) -> DataFrame:
+        """``s, node, k, n, block, blocks``: the members of regions, and how each region is cut."""
+        cells = self.nodes.select("node", F.explode("first").alias("c"))
+        pivots = cells.groupBy("c").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last")
+        tied = components(cells.join(pivots, "c").where("node <> b").select(F.col("node").alias("a"), "b"))
+        members = tied.withColumnRenamed("comp", "s").join(self.nodes.select("node", "k", "n"), "node")
+        members = written(members, "members")
+        size = members.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+        parts = F.greatest(F.ceil(F.col("m") / F.sqrt(F.lit(2 * PIVOT_PAIRS))), F.ceil(F.col("items") / BLOCK_ITEMS))
+        cut = (F.col("m") * (F.col("m") - 1) / 2 > OPEN_PAIRS) | (F.col("items") > BLOCK_ITEMS)
+        size = size.select("s", F.when(cut, parts).otherwise(1).cast("int").alias("blocks"))
+        return members.join(size, "s").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
 
     def run(self) -> DataFrame:
         """``node, comp`` of all linked nodes."""
-        # Every member of a cell meets the cell's pivot, which is then done there.
-        open_, regions = self.from_pivot(self.cells), False
-        while True:
-            comps = written(components(self.links), "components")
-            now = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            # Pairs of a cell that components leave open: all pairs less those within a component.
-            by_comp = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m"))
-            by_cell = by_comp.groupBy("s").agg(
-                F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max_by("comp", "m").alias("largest")
-            ).where("all * all > within")
-            pairs = (F.col("all") * F.col("all") - F.col("within")) / 2
-            now = written(now.join(by_cell.select("s", "all", pairs.alias("pairs"), "largest"), "s"), "open-now")
-            if now.isEmpty():
-                return comps
-            few = now.where(F.col("pairs") <= OPEN_PAIRS)
-            many = now.where(F.col("pairs") > OPEN_PAIRS)
-            if not regions:
-                # All pairs of small cells at once; what large ones hold goes on in regions.
-                self.compare(self.possible(self.windows(few, few)))
-                if many.isEmpty():
-                    return written(components(self.links), "components")
-                open_, regions = self.from_pivot(self.merged(many)), True
-                continue
-            # As many pivots at a time as make about PIVOT_PAIRS pairs with the members.
-            parts = F.greatest(F.lit(16), F.least(F.lit(1024), F.lit(PIVOT_PAIRS) / F.col("all"))).cast("int")
-            chosen = many.where("comp <> largest").groupBy("s", F.pmod(F.xxhash64("node"), parts).alias("_part")).agg(F.min("node").alias("node"))
-            chosen = written(chosen.select("s", "node"), "pivots")
-            asked = few.unionByName(many.join(chosen, ["s", "node"], "left_semi"), allowMissingColumns=True)
-            self.compare(self.possible(self.windows(asked, now)))
-            open_ = written(many.select("s", "node", "d").join(chosen, ["s", "node"], "left_anti"), "open")
-
-    def windows(self, asked: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs of a cell in different components whose distances to its pivot differ by no more than a link's.
-
-        The distance is cut into windows as wide as a link; a set is copied to the
-        windows beside its own. A set whose size ruled the pivot out has no
-        distance and is in every window.
+        regions = written(self.regions(), "regions")
+        sets = sets_of(self.docs, regions.select("k", "node"), self.salt)
+        members = regions.join(sets, "node").withColumns({"comp": F.col("node"), "asked": F.lit(True)})
+        links = written(region_links(members, self.percent, "s", "block"), "links")
+        cut = regions.where("blocks > 1")
+        if cut.isEmpty():
+            # A region's links all lead to the smallest nodes of its components.
+            return labelled(links)
+        cut = written(cut.join(sets, "node").select("s", "node", "block", "blocks", "n", "items"), "cut")
+        # One set of each block's largest component meets all blocks.
+        now = self.with_comps(cut, labelled(links))
+        largest = now.groupBy("s", "block", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node"))
+        largest = largest.groupBy("s", "block").agg(F.max_by("node", "m").alias("node")).select("s", "node")
+        links = written(links.unionByName(self.across(now, now.join(largest, ["s", "node"], "left_semi"))), "links")
+        # What is outside of the largest component meets all blocks.
+        now = self.with_comps(cut, written(components(links), "components"))
+        largest = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.max_by("comp", "m").alias("comp"))
+        links = links.unionByName(self.across(now, now.join(largest, ["s", "comp"], "left_anti")))
+        return written(components(links), "components")
+
+    def with_comps(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members with ``comp``, their component so far."""
+        return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def across(self, members: DataFrame, asked: DataFrame) -> DataFrame:
+        """Links of the asked sets with the sets of all other blocks of their region.
+
+        Asked sets go in groups of a block's size, and each group meets each
+        block in a task.
         """
-        reach = 1 - self.percent / 100
-        width = max(reach, 0.01)
-        last = int(1 / width) + 1
-        own = F.floor(F.col("d") / width).cast("int")
-
-        def spread(lower: Column, upper: Column) -> Column:
-            return F.explode(F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.sequence(lower, upper)))
-
-        left = asked.select("s", "node", "comp", "d").withColumn("w", spread(own, own))
-        right = members.select("s", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"), F.col("d"))
-        right = right.withColumn("w", spread(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(last)))).drop("d")
-        met = left.join(right, ["s", "w"]).where((F.col("comp") != F.col("comp_b")) & (F.col("node") != F.col("b")))
-        near = F.coalesce(F.abs(F.col("d") - F.col("d_b")) <= reach + 1e-9, F.lit(True))
-        return met.where(near).select(F.col("node").alias("a"), "b")
+        size = asked.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+        parts = F.greatest(F.ceil(F.col("m") / F.sqrt(F.lit(2 * PIVOT_PAIRS))), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+        size = size.select("s", parts.alias("groups"))
+        columns = ["s", "block", "group", "comp", "asked", "items"]
+        stay = members.join(size, "s").withColumns({"group": F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), "asked": F.lit(False)})
+        go = asked.join(size, "s").withColumns({"group": F.pmod(F.xxhash64(F.lit(1), "node"), "groups").cast("int"), "asked": F.lit(True)})
+        go = go.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").drop("block").withColumnRenamed("to", "block")
+        return region_links(stay.select(columns).unionByName(go.select(columns)), self.percent, "s", "block", "group")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

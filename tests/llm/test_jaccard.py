@@ -129,3 +129,36 @@ def test_sets_of_rows_at_the_ends_of_the_bitmap(spark):
         nodes = {int(jaccard.node_of(jaccard.shingles(t), 7)[0]) for t in texts}
         needed = spark.createDataFrame([(k, 0) for k in wanted], "k long, node long")
         assert {r["node"] for r in jaccard.sets_of(docs, needed, 7).collect()} == nodes
+
+
+def test_texts_with_common_passages_have_no_cells(spark, monkeypatch):
+    # A passage of three texts each: such texts were copied to its cells, and all of them were one region.
+    random.seed(8)
+    passages = [" ".join(f"p{i}x{k}" for k in range(12)) for i in range(20)]
+    rows = []
+    for i in range(60):
+        words = [f"w{random.randrange(10**6)}" for _ in range(70)]
+        rows.append((i, " ".join([passages[i % 20], *words, passages[(i * 7 + 1) % 20]])))
+    seen, first = [], jaccard.first_shingles
+
+    def spied(*args):
+        seen.append(first(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard, "first_shingles", spied)
+    check(spark, rows)
+    assert seen[0].where("size(first) > 0").count() == 0
+
+
+def test_tables_of_a_group_grow_with_its_members(spark, monkeypatch):
+    # Copies around the threshold, 70 sets: their pairs were rows.
+    rows, sizes, kept = made(9, 1, [70], [0.02, 0.04, 0.05], [90]), [], jaccard.written
+
+    def spied(df, label):
+        out = kept(df, label)
+        sizes.append((out.count() if label != "shingle-counts" else 0, label))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    check(spark, rows)
+    assert max(sizes)[0] <= 2 * len(rows), max(sizes)
