@@ -26,6 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ PIVOTS = 8
 SHARED_PLACES, MOST_SHARED_PLACES, SHARED_PER_DOC = 1 << 27, 1 << 29, 64
 #: Document frequencies from which a place has the levels 1 to 3.
 RARE = (2, 5, 13)
+#: Bytes of texts that are cut up at a time, and shingles that a task counts at a time; one longer text is a slice of its own.
+SLICE_BYTES, COUNTED = 4 << 20, 1 << 20
 #: Edges that a task has at a time when it reduces them.
 EDGES = 1 << 20
 #: Bits of the map of texts whose sets are needed. False positives of either map cost time only.
@@ -88,9 +91,48 @@ def node_of(found: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``SLICE`` rows and ``SLICE_BYTES`` of ``text`` at a time: long texts make many shingles."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            most = (ends[at - 1] if at else 0) + SLICE_BYTES
+            to = max(at + 1, min(at + SLICE, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def dealt(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[pa.RecordBatch]:
+    """``range, data, again, times`` of about ``COUNTED`` shingles each: their distinct 32 bits above ``low``, and which came how often again."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        values = np.concatenate(held)
+        held.clear()
+        values >>= np.uint64(low)
+        values, n = np.unique(values, return_counts=True)
+        places = (values >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(places)) + 1
+        parts = np.split(values.astype(np.uint32), cut)
+        more = [(part[c > 1], (c[c > 1] - 1).astype(np.uint32)) for part, c in zip(parts, np.split(n, cut))]
+        return pa.RecordBatch.from_pydict({
+            "range": pa.array(places[np.concatenate([[0], cut])].astype(np.int32)),
+            "data": pa.array([p.tobytes() for p in parts], pa.binary()),
+            "again": pa.array([p.tobytes() for p, _ in more], pa.binary()),
+            "times": pa.array([c.tobytes() for _, c in more], pa.binary()),
+        })
+
+    for part in slices(batches):
+        for text in part.column("text").to_pylist():
+            found = shingles(text)
+            held.append(found)
+            size += len(found)
+        if size > COUNTED:
+            yield flush()
+            size = 0
+    if size:
+        yield flush()
 
 
 def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,40 +149,8 @@ def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
     """
     width = max(6, min(20, (max(n_docs, 1) // 500).bit_length()))
     places_ = min(MOST_SHARED_PLACES, max(SHARED_PLACES, 1 << (SHARED_PER_DOC * n_docs - 1).bit_length()))
-    shift, low = np.uint64(64 - width), np.uint64(32 - width)
     per_range, place_shift = places_ >> width, np.uint64(32 + width - (places_.bit_length() - 1))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            values = np.concatenate(held)
-            held.clear()
-            values >>= low
-            values, n = np.unique(values, return_counts=True)
-            places = (values >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(places)) + 1
-            parts = np.split(values.astype(np.uint32), cut)
-            more = [(part[c > 1], (c[c > 1] - 1).astype(np.uint32)) for part, c in zip(parts, np.split(n, cut))]
-            return pa.RecordBatch.from_pydict({
-                "range": pa.array(places[np.concatenate([[0], cut])].astype(np.int32)),
-                "data": pa.array([p.tobytes() for p in parts], pa.binary()),
-                "again": pa.array([p.tobytes() for p, _ in more], pa.binary()),
-                "times": pa.array([c.tobytes() for _, c in more], pa.binary()),
-            })
-
-        for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                found = shingles(text)
-                held.append(found)
-                size += len(found)
-            if size > 2_000_000:
-                yield flush()
-                size = 0
-        if size:
-            yield flush()
-
     def counted(table: pa.Table) -> pa.Table:
         values, again, times = (
             np.concatenate([np.frombuffer(b, np.uint32) for b in table.column(c).to_pylist()]) for c in ("data", "again", "times")
@@ -164,7 +174,7 @@ def shingle_counts(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
         })
 
     found = written(
-        texts.mapInArrow(dealt, "range int, data binary, again binary, times binary").groupBy("range")
+        texts.mapInArrow(lambda batches: dealt(batches, 32 - width), "range int, data binary, again binary, times binary").groupBy("range")
         .applyInArrow(counted, "bits bigint, n bigint, range int, marks binary"),
         "shingle-counts",
     )

@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.llm import jaccard
@@ -162,3 +165,40 @@ def test_tables_of_a_group_grow_with_its_members(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "written", spied)
     check(spark, rows)
     assert max(sizes)[0] <= 2 * len(rows), max(sizes)
+
+
+def long_texts(n):
+    return [" ".join(f"{i}w{j}" for j in range(20_000)) for i in range(n)]
+
+
+def test_slices_are_bounded_by_bytes_too():
+    texts = [*long_texts(100), None, "", *["a b"] * 1200, "x " * 5_000_000, "c d"]
+    got = [s.column("text").to_pylist() for s in jaccard.slices([pa.record_batch({"text": texts}), pa.record_batch({"text": pa.array([], pa.string())})])]
+    assert [t for part in got for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 4 << 20 for part in got) and max(map(len, got)) == jaccard.SLICE
+
+
+def test_shingles_of_long_texts_are_counted_in_bounded_memory():
+    texts = long_texts(128)
+    texts[1::2] = texts[::2]
+    batch = pa.record_batch({"text": texts})
+    tracemalloc.start()
+    # Counted text by text below.
+    times, most = {}, 0
+    for part in jaccard.dealt([batch], 20):
+        for r, data, again, more in zip(*(part.column(c).to_pylist() for c in ("range", "data", "again", "times"))):
+            data, again, more = (np.frombuffer(b, np.uint32) for b in (data, again, more))
+            n = np.ones(len(data), np.int64)
+            n[np.searchsorted(data, again)] += more
+            if r == 7:
+                for v, k in zip(data.tolist(), n.tolist()):
+                    times[v] = times.get(v, 0) + k
+        most, _ = max(most, tracemalloc.get_traced_memory()[1]), tracemalloc.reset_peak()
+    tracemalloc.stop()
+    want = {}
+    for text in texts:
+        bits = jaccard.shingles(text) >> np.uint64(20)
+        for v in (bits[bits >> np.uint64(32) == 7] & np.uint64(0xFFFFFFFF)).tolist():
+            want[v] = want.get(v, 0) + 1
+    assert times == want and len(want) > 100
+    assert most < 120 << 20
